@@ -7,15 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.catalog import table
-from loomtext.llm import mixing
+from loomtext.llm import bpe, mixing, rans
+
+#: The tokenizer file of op2 and op5, by its name in the package of public tokenizers.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rans": op2_rans,
     "op4_mixing": op4_mixing,
+    "op5_bpe": op5_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
