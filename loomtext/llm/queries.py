@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.catalog import table
-from loomtext.llm import bpe, mixing, rans
+from loomtext.llm import bpe, kneser_ney, mixing, ngram_join, rans
 
 #: The tokenizer file of op2 and op5, by its name in the package of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -31,10 +31,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, num=85, den=100))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.train_and_score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rans": op2_rans,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
+    "op7_ngram_join": op7_ngram_join,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
