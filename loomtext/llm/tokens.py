@@ -18,8 +18,8 @@ import pyarrow as pa
 from loomtext.llm.common import column_bytes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Distinct words whose ids a worker keeps at most, from one chunk to the next; more only cost time.
-KEEP = 1_500_000
+#: Distinct words whose ids a worker keeps at most, from one chunk to the next; others are looked up anew.
+KEEP = 500_000
 
 
 @lru_cache(4)
@@ -83,6 +83,23 @@ class Words:
 
     def __init__(self, path: str):
         self.path, self.index, self.offsets, self.values = path, Index(), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.chunks = np.zeros(0, np.int32)
+
+    def used(self, index: np.ndarray) -> None:
+        """Notes that one more chunk has these words."""
+        self.chunks = np.pad(self.chunks, (0, len(self.index) - len(self.chunks)))
+        self.chunks += np.bincount(index, minlength=len(self.chunks)) > 0
+
+    def prune(self) -> None:
+        """Forgets the words that one chunk alone had; all, if too many are left."""
+        stay = np.flatnonzero(self.chunks > 1)
+        if len(stay) > KEEP // 2:
+            stay = stay[:0]
+        words = list(self.index)
+        self.values, n = rows_of(self.offsets, self.values, stay)
+        self.offsets, self.chunks = np.concatenate([[0], np.cumsum(n)]), self.chunks[stay]
+        self.index = Index()
+        self.index.update(zip([words[i] for i in stay.tolist()], range(len(stay)), strict=True))
 
     def add(self) -> None:
         """Ids of the new words. Runs of words go to the library as one text each, parted by an added token, which it finds before all else."""
@@ -123,13 +140,16 @@ def encode_texts(col: pa.ChunkedArray, path: str) -> tuple[np.ndarray, np.ndarra
         found = [e.ids for e in tokenizer(path).encode_batch_fast([x.decode("utf-8") for x in texts], add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
     w = _kept.get(path)
-    if w is None or len(w.index) > KEEP:
+    if w is None:
         w = _kept[path] = Words(path)
+    elif len(w.index) > KEEP:
+        w.prune()
     split = [x.split() for x in texts]
     counts = list(map(len, split))
     index = np.fromiter(map(w.index.__getitem__, chain.from_iterable(split)), np.int32, sum(counts))
     if w.index.new:
         w.add()
+    w.used(index)
     del split
     ids, n = rows_of(w.offsets, w.values, index)
     ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
