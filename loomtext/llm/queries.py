@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.catalog import table
-from loomtext.llm import bpe, kneser_ney, mixing, ngram_join, rans
+from loomtext.llm import bpe, kneser_ney, line_dedup, mixing, mpeg_audio, ngram_join, rans, topk
 
 #: The tokenizer file of op2 and op5, by its name in the package of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -31,10 +31,23 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(table(spark, sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
+    return out.select("doc_id", "text", "n_lines", "n_removed", "removed")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, num=85, den=100))
 
 
+def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.stored_media(table(spark, sf_dir, "documents"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.train_and_score(table(spark, sf_dir, "documents"))
 
@@ -43,8 +56,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rans": op2_rans,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_ball_tree": op8_ball_tree,
+    "op9_mpeg_audio": op9_mpeg_audio,
     "op10_kneser_ney": op10_kneser_ney,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op8_ball_tree": topk.SQL}
