@@ -94,11 +94,11 @@ SENT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("keys", pa.bin
 SENT_DDL = "kind string, bucket int, keys binary, sums array<binary>"
 
 
-def _sent(rows: list[tuple]) -> pa.RecordBatch:
+def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(SENT.types)], schema=SENT)
 
 
-def _split(kind: str, keys: np.ndarray, values: list[np.ndarray], bucket: np.ndarray, width: int) -> Iterator[tuple]:
+def split_rows(kind: str, keys: np.ndarray, values: list[np.ndarray], bucket: np.ndarray, width: int) -> Iterator[tuple]:
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order].astype(np.int64)) != 0])).tolist() if len(keys) else []
     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
@@ -106,7 +106,7 @@ def _split(kind: str, keys: np.ndarray, values: list[np.ndarray], bucket: np.nda
         yield kind, int(bucket[part[0]]), packed(keys[part], width), [_numbers(v[part]) for v in values]
 
 
-def _gathered(table: pa.Table, kind: str, n_values: int, width: int) -> tuple[np.ndarray, ...]:
+def gathered(table: pa.Table, kind: str, n_values: int, width: int) -> tuple[np.ndarray, ...]:
     keys, values = [], [[] for _ in range(n_values)]
     for k, key, sums in zip(table["kind"].to_pylist(), table["keys"].to_pylist(), table["sums"].to_pylist(), strict=True):
         if k == kind:
@@ -194,11 +194,11 @@ def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Mo
         def flush() -> pa.RecordBatch:
             nonlocal seqs, keys, held
             w, c = counted(np.concatenate(seqs))
-            rows = list(_split("word", w, [c], word_bucket(w >> _32, n), 8))
+            rows = list(split_rows("word", w, [c], word_bucket(w >> _32, n), 8))
             w, c = counted(np.concatenate(keys))
-            rows += _split("pair", w, [c], pair_bucket(w, n), 8)
+            rows += split_rows("pair", w, [c], pair_bucket(w, n), 8)
             seqs, keys, held = [], [], 0
-            return _sent(rows)
+            return sent_batch(rows)
 
         for t in text_chunks(batches, "text"):
             seq, before, _ = token_pairs(t["text"])
@@ -213,25 +213,25 @@ def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Mo
     def pairs(key: tuple, t: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
         if kind == "word":
-            w, c = _gathered(t, "word", 1, 8)
+            w, c = gathered(t, "word", 1, 8)
             rows = [("word", bucket, packed(w), [_numbers(c)])]
         else:
-            k, c = _gathered(t, "pair", 1, 8)
+            k, c = gathered(t, "pair", 1, 8)
             write_file(f"{path}/pairs-{bucket:06d}", arrays_to_bytes(keys=k, counts=c.astype(np.uint32 if not len(c) or c.max() < 1 << 32 else np.uint64)))
             ones = np.ones(len(k), np.int64)
             # Contexts: tokens after them, and how many of the distinct ones came once, twice and more often.
             w, *sums = summed((k >> _32).astype(np.uint32), c, c == 1, c == 2, c > 2)
-            rows = list(_split("context", w, sums, word_bucket(w, n), 4))
+            rows = list(split_rows("context", w, sums, word_bucket(w, n), 4))
             w, types = summed((k & np.uint64(0xFFFFFFFF)).astype(np.uint32), ones)
-            rows += _split("after", w, [types], word_bucket(w, n), 4)
+            rows += split_rows("after", w, [types], word_bucket(w, n), 4)
             rows.append(("total", bucket, b"", [_numbers(_count_of_counts(c))]))
-        return pa.Table.from_batches([_sent(rows)])
+        return pa.Table.from_batches([sent_batch(rows)])
 
     def words(key: tuple, t: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        w, c = _gathered(t, "word", 1, 8)
-        ctx, *sums = _gathered(t, "context", 4, 4)
-        after, types = _gathered(t, "after", 1, 4)
+        w, c = gathered(t, "word", 1, 8)
+        ctx, *sums = gathered(t, "context", 4, 4)
+        after, types = gathered(t, "after", 1, 4)
         write_file(f"{path}/words-{bucket:06d}", arrays_to_bytes(words=w, counts=c, contexts=ctx, after_sum=sums[0], once=sums[1], twice=sums[2], more=sums[3], after=after, types=types))
         n_pairs = sum(_from_numbers(s[0], 4) for k, s in zip(t["kind"].to_pylist(), t["sums"].to_pylist(), strict=True) if k == "total") + np.zeros(4, np.int64)
         row = [int(c.sum()), len(w), int(types.sum()), *n_pairs.tolist(), *_count_of_counts(types).tolist(), int((types > 2).sum())]

@@ -6,10 +6,16 @@ coordinates. The overlap of two sets is at most the sum of the smaller of each c
 largest coordinates give less than a link needs is left out. What survives is verified on the sets themselves.
 
 Such trees prune little among unrelated documents of like sizes, so they are built within clusters that provably
-hold all links. For a range of sizes, two linked sets differ by at most d shingles, so of d + 1 + SPARE groups more
-than SPARE hold the same shingles in both. A class sends a signature of the content of each group; classes that
-share a signature fall in one cluster, and links lie within clusters. Empty groups send none, except where a class
-has more than SPARE of them: if all groups that two sets share are empty, both have more than SPARE.
+hold all links. For a range of sizes, two linked sets differ by at most d shingles, so of d + 1 + spare groups more
+than `spare` hold the same shingles in both. A class sends a signature of the content of each group; classes that
+share a signature of one range of sizes fall in one cluster of that range, and links lie within clusters. Two kinds
+of groups would tie unrelated classes together, and both can be left out without loss:
+
+* Shingles that are frequent in a bounded sample are left out before grouping. Sets that differ by d shingles differ
+  by at most d without them, whichever they are.
+* Empty groups send no signature. If a class has more than `spare` of them, all groups that it shares with another
+  one may be empty in both; such a class sends the signatures of the groups of its whole set besides, the empty
+  ones too if there are again more than `spare`. A class with fewer shares a full group with whatever links to it.
 
 Clusters above TILE classes are cut into tiles of two blocks each, so no task holds a whole cluster. A tile
 reports a spanning forest of its links; only pairs that it has not yet joined are verified, so a group of m copies
@@ -34,9 +40,12 @@ from pyspark.sql import types as T
 
 from loomtext.llm.common import column_bytes, mix64, packed, text_chunks, unpacked, word_hashes
 from loomtext.llm.graph import components
+from loomtext.llm.kneser_ney import SENT_DDL, counted, gathered, sent_batch, split_rows, word_bucket
 from loomtext.session import kept, stored
 
-SPARE, TILE, DIMENSIONS, FANOUT = 3, 1024, 64, 16
+SPARE, SPARE_SHARE, TILE, DIMENSIONS, FANOUT = 3, 0.03, 1024, 64, 16
+#: Distinct texts whose shingles are counted for the frequent ones, the count from which they are, and how many there are at most.
+SAMPLE, FREQUENT, MOST = 16_000, 4, 1 << 17
 #: Longs in the filter of candidate classes: 2 MB, whatever the input.
 FILTER_WORDS = 1 << 18
 GATHER = 16 << 20
@@ -88,32 +97,51 @@ def set_key(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signatures(sets: list[np.ndarray], sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets (none empty), and the number of the set of each."""
-    n = np.fromiter(map(len, sets), np.int64, len(sets))
-    bands = sim.bands(int(n.max())) if len(n) else np.array([1])
-    band = np.searchsorted(bands, n, side="right") - 1
-    sigs, owner = [], []
-    for i, s in enumerate(sets):
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s))])
-        for tag in (int(band[i]), int(band[i]) + 1):
-            largest = int(bands[tag] * sim.den // sim.num) if tag + 1 >= len(bands) else int(bands[tag + 1]) - 1
-            differ = 2 * largest - 2 * int(sim.need(2 * largest)) + 1
-            if differ < 1:
-                continue
-            groups = differ + 1 + SPARE
-            at = np.searchsorted(s, (np.arange(1, groups, dtype=np.float64) * (2.0**64 / groups)).astype(np.uint64))
-            at = np.concatenate([[0], at, [len(s)]])
-            with np.errstate(over="ignore"):
-                content = sums[at[1:]] - sums[at[:-1]]
-                sig = mix64(content + mix64(np.arange(groups, dtype=np.uint64) + np.uint64(tag << 32)))
-            full = at[1:] > at[:-1]
-            if groups - int(full.sum()) <= SPARE:
-                sig = sig[full]
-            sigs.append(sig)
-            owner.append(np.full(len(sig), i))
-    return np.concatenate(sigs or [np.empty(0, np.uint64)]), np.concatenate(owner or [np.empty(0, np.int64)])
+def ranges(n: int, bands: np.ndarray, sim: Similarity) -> list[tuple[int, int]]:
+    """The two ranges of sizes that a set of n shingles belongs to, and by how many shingles linked sets there differ at most; ranges of equal sets alone are left out."""
+    band, out = int(np.searchsorted(bands, n, side="right")) - 1, []
+    for tag in (band, band + 1):
+        largest = int(bands[tag] * sim.den // sim.num) if tag + 1 >= len(bands) else int(bands[tag + 1]) - 1
+        differ = 2 * largest - 2 * int(sim.need(2 * largest)) + 1
+        if differ > 0:
+            out.append((tag, differ))
+    return out
+
+
+def node(key: int, tag: int) -> int:
+    """The number of a class in a range of sizes."""
+    x = mix64(np.array([key], np.int64).view(np.uint64) ^ mix64(np.array([tag + 1], np.uint64)))
+    return int(x.view(np.int64)[0])
+
+
+def group_contents(s: np.ndarray, groups: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A signature of the content of each group of a set, and whether the group has any."""
+    at = np.searchsorted(s, (np.arange(1, groups, dtype=np.float64) * (2.0**64 / groups)).astype(np.uint64))
+    at = np.concatenate([[0], at, [len(s)]])
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s))])
+        sig = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(groups, dtype=np.uint64) + np.uint64(salt << 32)))
+    return sig, at[1:] > at[:-1]
+
+
+def signatures(keys: list[int], sets: list[np.ndarray], sim: Similarity, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets (none empty), and the node that each is of."""
+    bands = sim.bands(max(map(len, sets), default=1))
+    sigs, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for key, s in zip(keys, sets, strict=True):
+        rest = s
+        if len(frequent):
+            rest = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+        for tag, differ in ranges(len(s), bands, sim):
+            spare = SPARE + int(SPARE_SHARE * (differ + 1))
+            sig, full = group_contents(rest, differ + 1 + spare, 2 * tag)
+            own = [sig[full]]
+            if len(full) - int(full.sum()) > spare:
+                sig, full = group_contents(s, differ + 1 + spare, 2 * tag + 1)
+                own.append(sig[full] if len(full) - int(full.sum()) <= spare else sig)
+            sigs += own
+            nodes.append(np.full(sum(map(len, own)), node(key, tag), np.int64))
+    return np.concatenate(sigs), np.concatenate(nodes)
 
 
 def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -194,21 +222,42 @@ def profiles(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
 
 
+def frequent_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
+    """Shingles that FREQUENT or more of about SAMPLE distinct texts have, sorted; the MOST most frequent at most.
+
+    Which ones does not change what is found, only how much is compared."""
+    every, buckets = max(1, docs.count() // SAMPLE), 16
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in text_chunks(batches, "text", 8 << 20):
+            w, c = counted(np.concatenate(shingle_sets(t["text"], sim.words)))
+            yield sent_batch(list(split_rows("shingle", w, [c], word_bucket(w >> np.uint64(32), buckets), 8)))
+
+    def most(key: tuple, t: pa.Table) -> pa.Table:
+        w, c = gathered(t, "shingle", 1, 8)
+        w, c = w[c >= FREQUENT], c[c >= FREQUENT]
+        return pa.table({"shingles": pa.array([w[np.argsort(-c, kind="stable")[: MOST // buckets]].tobytes()], pa.binary())})
+
+    found = sample.mapInArrow(count, SENT_DDL).groupBy("bucket").applyInArrow(most, "shingles binary").collect()  # MOST longs in all
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r.shingles, np.uint64) for r in found)]))
+
+
 def clusters(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(node, label) of the classes that share a signature with another one."""
+    """(node, label) of the classes in ranges of sizes that share a signature with another one."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(48, -(-size // GATHER))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, sim))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
-            keys = np.fromiter(held, np.int64, len(held))
-            sig, owner = signatures(list(held.values()), sim)
+            sig, owner = signatures(list(held), list(held.values()), sim, frequent.value)
             bucket = (sig >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # ranges, so sorted signatures are sorted by bucket
             order = np.argsort(sig)
-            sig, owner, bucket = sig[order], keys[owner[order]], bucket[order]
+            sig, owner, bucket = sig[order], owner[order], bucket[order]
             cut = np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
             rows = [(b, packed(sig[i:j]), owner[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             held, size = {}, 0
@@ -251,9 +300,9 @@ def class_filter(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def class_sets(docs: DataFrame, keys: DataFrame, sim: Similarity) -> DataFrame:
-    """(node, members): the sets of the classes in keys (node), some of them more than once, and few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(class_filter(keys))
+def class_sets(docs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
+    """(node, key, members): the sets of the classes in nodes (node), and few others."""
+    bits = docs.sparkSession.sparkContext.broadcast(class_filter(nodes))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -261,18 +310,23 @@ def class_sets(docs: DataFrame, keys: DataFrame, sim: Similarity) -> DataFrame:
         words, seen = bits.value, set()
         for t in text_chunks(batches):
             found = {}
-            for s in shingle_sets(t["text"], sim.words):
-                if len(s) and (k := set_key(s)) not in seen:
-                    h = xxhash.xxh64_intdigest(k.to_bytes(8, "little", signed=True), 42)
+            sets = shingle_sets(t["text"], sim.words)
+            bands = sim.bands(max(map(len, sets), default=1))
+            for s in sets:
+                if not len(s) or (k := set_key(s)) in seen:
+                    continue
+                for tag, _ in ranges(len(s), bands, sim):
+                    x = node(k, tag)
+                    h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), 42)
                     h = h - (1 << 64) if h >> 63 else h
                     if int(words[h % FILTER_WORDS]) >> ((h >> 40) % 64) & 1:
-                        found[k] = s
-            if len(seen) < 1 << 20:
-                seen.update(found)
+                        found[x] = k, s
+                if len(seen) < 1 << 20:
+                    seen.add(k)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["node", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([k for k, _ in found.values()], pa.int64()), pa.array([s.tobytes() for _, s in found.values()], pa.binary())], names=["node", "key", "members"])
 
-    return docs.select("text").mapInArrow(run, "node long, members binary")
+    return docs.select("text").mapInArrow(run, "node long, key long, members binary").dropDuplicates(["node"])
 
 
 def links(docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -292,7 +346,7 @@ def links(docs: DataFrame, sim: Similarity) -> DataFrame:
 
     def verify(t: pa.Table) -> pa.Table:
         tiles: dict[tuple, dict[int, tuple[int, bytes]]] = {}
-        for r in zip(*(t[c].to_pylist() for c in ("label", "i", "j", "block", "node", "members")), strict=True):
+        for r in zip(*(t[c].to_pylist() for c in ("label", "i", "j", "block", "key", "members")), strict=True):
             tiles.setdefault(r[:3], {})[r[4]] = r[3], r[5]
         out: list[tuple[int, int]] = []
         for members in tiles.values():
@@ -302,7 +356,7 @@ def links(docs: DataFrame, sim: Similarity) -> DataFrame:
                 out += [(nodes[a], nodes[b]) for a, b in forest(sets, np.array([b for b, _ in members.values()]), sim)]
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    return rows.select(task.alias("task"), "label", "i", "j", "block", "node", "members").groupBy("task").applyInArrow(verify, "u long, v long")
+    return rows.select(task.alias("task"), "label", "i", "j", "block", "key", "members").groupBy("task").applyInArrow(verify, "u long, v long")
 
 
 def _with_labels(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:

@@ -54,6 +54,7 @@ EDGE = [(900, None), (901, ""), (902, " \n"), (903, "A b"), (904, "a  B"), (None
 @pytest.mark.parametrize(("seed", "sim"), [(1, nj.Similarity()), (2, nj.Similarity(5, 80, 100)), (3, nj.Similarity())])
 def test_components_equal_all_pairs(spark, seed, sim, monkeypatch):
     monkeypatch.setattr(nj, "TILE", 7 if seed == 3 else nj.TILE)
+    monkeypatch.setattr(nj, "FREQUENT", 9 if seed == 1 else nj.FREQUENT)
     rows = corpus(seed) + EDGE
     df = spark.createDataFrame([(d, t, 1, "s") for d, t in rows], "doc_id long, text string, key int, label string").repartition(3)
     got = nj.linked(df, sim).collect()
@@ -90,8 +91,10 @@ def test_signatures_never_miss():
                 b = np.unique(np.concatenate([keep, r.integers(0, 1 << 63, r.integers(0, n // 5 + 1), dtype=np.uint64)]))
                 both = nj.overlap(a, b)
                 if both >= sim.need(len(a) + len(b)) and not np.array_equal(a, b):
-                    sig, owner = nj.signatures([a, b], sim)
-                    assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+                    for frequent in (a[:0], a[::3], a[: len(a) * 9 // 10], a):
+                        sig, owner = nj.signatures([1, 2], [a, b], sim, np.sort(frequent))
+                        mine = [set(sig[np.isin(owner, [nj.node(k, t) for t in range(99)])].tolist()) for k in (1, 2)]
+                        assert mine[0] & mine[1]
 
 
 def test_components(spark):
