@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.catalog import table
-from loomtext.llm import bpe, kneser_ney, line_dedup, mixing, mpeg_audio, ngram_join, rans, topk
+from loomtext.llm import bpe, kneser_ney, language_id, line_dedup, mixing, mpeg_audio, ngram_join, rans, topk, toxicity
 
 #: The tokenizer file of op2 and op5, by its name in the package of public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -19,10 +19,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages alike; rows of pages have a page_id and no doc_id."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    return language_id.identify([(docs, language_id.documents_input(), ["doc_id"]), (pages, language_id.pages_input(), ["page_id"])])
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,7 +63,9 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_rans": op2_rans,
+    "op3_language": op3_language,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
