@@ -122,7 +122,8 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, text: str = "te
     """docs with text without the lines that go, and n_lines (with words), n_removed and removed (their numbers among the lines with words)."""
     own = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_hash", F.xxhash64(text))
     gone = deletions(own.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), F.col(text).alias("text")), min_words)
-    joined = own.join(gone, own["_id"].eqNullSafe(gone["doc_id"]) & (own["_hash"] == gone["text_hash"]), "left").select(*(own[c] for c in docs.columns), F.col("gone").alias("_gone"))
+    # Always by sorted shuffles, which AQE splits where they are uneven: the list of documents grows with the corpus.
+    joined = own.join(gone.hint("merge"), own["_id"].eqNullSafe(gone["doc_id"]) & (own["_hash"] == gone["text_hash"]), "left").select(*(own[c] for c in docs.columns), F.col("gone").alias("_gone"))
     new = ["n_lines", "n_removed", "removed"]
     keep = [c for c in docs.columns if c not in new]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
