@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import column_bytes, text_chunks
+from loomtext.llm.common import column_bytes, freeing, text_chunks
 from loomtext.session import kept, stored
 
 LANGUAGES = ("en", "de", "fr", "es")
@@ -128,37 +128,41 @@ def profiles(rows: list[DataFrame], languages: tuple[str, ...]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n.ravel()[at])], names=["at", "n"])
 
     n = np.zeros(len(languages) * FEATURES)
-    parts = [r.select("_text", "_markup", "_declared").mapInArrow(count, "at int, n long") for r in rows]
+    parts = [r.select("_text", "_markup", "_declared").mapInArrow(freeing(count), "at int, n long") for r in rows]
     for r in reduce(DataFrame.unionByName, parts).groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each language and feature at most
         n[r["at"]] = r["n"]
     n = n.reshape(len(languages), FEATURES) + 0.5
     return np.log(n / n.sum(1, keepdims=True))
 
 
-def evidence(rows: DataFrame, logp: np.ndarray, languages: tuple[str, ...], keep_text: bool = False) -> DataFrame:
-    """rows with _declared among languages, _n (trigrams) and _text_p, the posteriors of the text alone; _text goes unless kept."""
-    gone = {"_markup"} | (set() if keep_text else {"_text"})
-    fields = [f for f in rows.schema.fields if f.name not in gone]
+def text_evidence(t: pa.Table, logp: np.ndarray, languages: tuple[str, ...]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """For each text the language that it declares, its trigrams, and the posteriors of the text alone."""
+    declared, buf, offsets = _plain(t, languages)
+    f, ok = features(buf, offsets)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    n, s = np.zeros(len(declared), np.int64), np.zeros((len(declared), len(languages)))
+    if len(full):
+        n[full] = np.add.reduceat(ok.astype(np.int64), offsets[full])
+        for k, row in enumerate(logp):
+            s[full, k] = np.add.reduceat(np.where(ok, row[f], 0.0), offsets[full])
+    s *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+    p = np.exp(s - s.max(1, keepdims=True))
+    return declared, n, np.round(p / p.sum(1, keepdims=True), 9)
+
+
+def evidence(rows: DataFrame, logp: np.ndarray, languages: tuple[str, ...]) -> DataFrame:
+    """rows without their texts, with _declared among languages, _n (trigrams) and _text_p, the posteriors of the text alone."""
+    fields = [f for f in rows.schema.fields if f.name not in ("_markup", "_text")]
+    names = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField("_n", T.LongType()), T.StructField("_text_p", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_chunks(batches, "_text"):
-            declared, buf, offsets = _plain(t, languages)
-            f, ok = features(buf, offsets)
-            full = np.flatnonzero(np.diff(offsets) > 0)
-            n, s = np.zeros(len(declared), np.int64), np.zeros((len(declared), len(languages)))
-            if len(full):
-                n[full] = np.add.reduceat(ok.astype(np.int64), offsets[full])
-                for k, row in enumerate(logp):
-                    s[full, k] = np.add.reduceat(np.where(ok, row[f], 0.0), offsets[full])
-            s *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
-            p = np.exp(s - s.max(1, keepdims=True))
-            p = np.round(p / p.sum(1, keepdims=True), 9)
-            out = t.select([x.name for x in fields]).set_column([x.name for x in fields].index("_declared"), "_declared", pa.array(declared, pa.string()))
-            out = out.append_column("_n", pa.array(n)).append_column("_text_p", pa.array(list(p), pa.list_(pa.float64())))
-            yield from out.to_batches()
-
-    return rows.mapInArrow(run, schema)
+            declared, n, p = text_evidence(t, logp, languages)
+            out = t.select(names).set_column(names.index("_declared"), "_declared", pa.array(declared, pa.string()))
+            yield from out.append_column("_n", pa.array(n)).append_column("_text_p", pa.array(list(p), pa.list_(pa.float64()))).to_batches()
+
+    return rows.mapInArrow(freeing(run), schema)
 
 
 @dataclass(frozen=True)
@@ -170,15 +174,25 @@ class Priors:
     every: list[int]
     declared: dict[str, list[int]]
 
+    def joined(self, rows: DataFrame) -> DataFrame:
+        """rows with _by_host and _by_suffix."""
+        rows = rows.join(sized(self.hosts), rows["_host"] == self.hosts["_h"], "left").drop("_h")
+        return rows.join(sized(self.suffixes), rows["_suffix"] == self.suffixes["_s"], "left").drop("_s")
+
+
+#: Rows of a name and a few numbers that are broadcast at most; beyond, the join is by shuffles.
+BROADCAST_ROWS = 20_000
 
-def _units(k: int) -> Column:
-    return F.round(F.col("_text_p")[k] * UNIT).cast("long")
+
+def sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def priors(ev: DataFrame, languages: tuple[str, ...]) -> Priors:
     """Grouped sums of the rows whose text has a trigram."""
     ev = ev.where("_n > 0")
-    sums = [F.sum(_units(k)).alias(f"n{k}") for k in range(len(languages))]
+    units = [F.round(F.col("_text_p")[k] * UNIT).cast("long") for k in range(len(languages))]
+    sums = [F.sum(u).alias(f"n{k}") for k, u in enumerate(units)]
     pack = lambda name: F.array(*(F.col(f"n{k}") for k in range(len(languages)))).alias(name)
     hosts = kept(ev.where("_host is not null").groupBy(F.col("_host").alias("_h")).agg(*sums).select("_h", pack("_by_host")))
     suffixes = kept(ev.where("_suffix is not null").groupBy(F.col("_suffix").alias("_s")).agg(*sums).select("_s", pack("_by_suffix")))
@@ -187,43 +201,66 @@ def priors(ev: DataFrame, languages: tuple[str, ...]) -> Priors:
     return Priors(hosts, suffixes, [x or 0 for x in every], {r["_declared"]: [r[f"n{k}"] for k in range(len(languages))] for r in declared})
 
 
-def fused(ev: DataFrame, pr: Priors, languages: tuple[str, ...]) -> DataFrame:
-    """ev with language, confidence, accepted and posteriors."""
-    n, size = range(len(languages)), len(languages)
-    ev = ev.join(pr.hosts, ev["_host"] == pr.hosts["_h"], "left").join(pr.suffixes, ev["_suffix"] == pr.suffixes["_s"], "left")
-    # The row's own share in the sums is left out; rows without trigrams have none.
-    own = [F.when(F.col("_n") > 0, _units(k)).otherwise(0) for k in n]
-    zero = F.array(*(F.lit(0).cast("long") for _ in n))
-    level = lambda c, has: [(F.coalesce(F.col(c), zero)[k] - F.when(F.coalesce(F.col(c), zero)[k] > 0, own[k]).otherwise(0)) / UNIT if has else None for k in n]
-
-    def smoothed(counts: list[Column], towards: list[Column]) -> list[Column]:
-        counts = [F.greatest(c, F.lit(0.0)) for c in counts]
-        total = sum(counts, F.lit(0.0))
-        return [(c + SMOOTH * t) / (total + SMOOTH) for c, t in zip(counts, towards, strict=True)]
-
-    base = smoothed([(F.lit(pr.every[k]) - own[k]) / UNIT for k in n], [F.lit(1.0 / size)] * size)
-    prior = smoothed(level("_by_host", True), smoothed(level("_by_suffix", True), base))
-    total = [sum(v[k] for v in pr.declared.values()) / UNIT for k in n]
-    score = []
-    for k, language in enumerate(languages):
-        said = F.lit(0.0)
-        for d in languages:
-            p = (pr.declared.get(d, [0] * size)[k] / UNIT + (5 if d == language else 1)) / (total[k] + size + 4)
-            said = F.when(F.col("_declared") == d, F.lit(float(np.log(p)))).otherwise(said)
-        where = F.lit(0.0)
+class Fusion:
+    """The posterior of rows from their evidence and the sums."""
+
+    def __init__(self, pr: Priors, languages: tuple[str, ...]):
+        size = len(languages)
+        self.languages, self.every = languages, np.array(pr.every, float)
+        said = np.array([pr.declared.get(d, [0] * size) for d in languages], float) / UNIT
+        self.said = {d: np.log((said[i] + np.where(np.arange(size) == i, 5, 1)) / (said.sum(0) + size + 4)) for i, d in enumerate(languages)}
+        self.where = {}
         for s, spoken in COUNTRY.items():
-            spoken = [x for x in spoken if x in languages]
-            if spoken and len(spoken) < size:
-                p = SUFFIX_RIGHT / len(spoken) if language in spoken else (1 - SUFFIX_RIGHT) / (size - len(spoken))
-                where = F.when(F.col("_suffix") == s, F.lit(float(np.log(p)))).otherwise(where)
-        score.append(F.log(F.greatest(F.col("_text_p")[k], F.lit(1e-9))) + said + where + F.log(prior[k]))
-    ev = ev.withColumn("_score", F.array(*score))
-    ev = ev.withColumn("_odds", F.transform("_score", lambda x: F.exp(x - F.array_max("_score"))))
-    whole = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)
-    ev = ev.withColumn("posteriors", F.transform("_odds", lambda x: F.round(x / whole, 6)))
-    best = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
-    ev = ev.withColumn("language", F.element_at(F.array(*map(F.lit, languages)), best)).withColumn("confidence", F.array_max("posteriors"))
-    return ev.withColumn("accepted", (F.col("_n") > 0) & (F.col("confidence") >= LEAST))
+            known = [x for x in spoken if x in languages]
+            if known and len(known) < size:
+                self.where[s] = np.log(np.array([SUFFIX_RIGHT / len(known) if x in known else (1 - SUFFIX_RIGHT) / (size - len(known)) for x in languages]))
+
+    def posteriors(self, text_p: np.ndarray, n: np.ndarray, declared: list, suffixes: list, by_host: list, by_suffix: list) -> np.ndarray:
+        size, none = len(self.languages), np.zeros(len(self.languages))
+        # The row's own share in the sums is left out; rows without trigrams have none.
+        own = np.where((n > 0)[:, None], np.floor(text_p * UNIT + 0.5), 0)
+
+        def smoothed(sums: np.ndarray, has: np.ndarray, towards: np.ndarray) -> np.ndarray:
+            c = np.maximum(0, (sums - np.where(has, own, 0)) / UNIT)
+            return (c + SMOOTH * towards) / (c.sum(1, keepdims=True) + SMOOTH)
+
+        def level(found: list) -> tuple[np.ndarray, np.ndarray]:
+            has = np.array([x is not None for x in found], bool)[:, None]
+            return np.array([none if x is None else x for x in found], float).reshape(-1, size), has
+
+        prior = smoothed(self.every[None, :], np.ones((len(n), 1), bool), np.full((1, size), 1 / size))
+        prior = smoothed(*level(by_suffix), prior)
+        prior = smoothed(*level(by_host), prior)
+        score = np.log(np.maximum(text_p, 1e-9)) + np.log(prior)
+        score += np.array([self.said.get(d, none) for d in declared]).reshape(-1, size)
+        score += np.array([self.where.get(s, none) for s in suffixes]).reshape(-1, size)
+        odds = np.exp(score - score.max(1, keepdims=True, initial=-np.inf))
+        return np.round(odds / odds.sum(1, keepdims=True), 6)
+
+
+def fused(ev: DataFrame, pr: Priors, languages: tuple[str, ...], keep: list[str], logp: np.ndarray | None = None, only_accepted: bool = False) -> DataFrame:
+    """Columns `keep` of ev with language, confidence, accepted and posteriors. With logp, ev are rows with texts whose evidence is still to be found."""
+    out = ["language", "confidence", "accepted", "posteriors"]
+    fields = [ev.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("accepted", T.BooleanType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))])
+    fusion = Fusion(pr, languages)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in text_chunks(batches, "_text") if logp is not None else (pa.Table.from_batches([b]) for b in batches if b.num_rows):
+            if logp is None:
+                declared, n = t["_declared"].to_pylist(), t["_n"].to_numpy()
+                p = np.array(t["_text_p"].to_pylist(), float)
+            else:
+                declared, n, p = text_evidence(t, logp, languages)
+            q = fusion.posteriors(p, n, declared, t["_suffix"].to_pylist(), t["_by_host"].to_pylist(), t["_by_suffix"].to_pylist())
+            best, sure = q.argmax(1), q.max(1)
+            ok = (n > 0) & (sure >= LEAST)
+            r = t.select(keep)
+            for name, values in zip(out, (pa.array([languages[b] for b in best], pa.string()), pa.array(sure), pa.array(ok), pa.array(list(q), pa.list_(pa.float64()))), strict=True):
+                r = r.append_column(name, values)
+            yield from (r.filter(pa.array(ok)) if only_accepted else r).to_batches()
+
+    return pr.joined(ev).mapInArrow(freeing(run), schema)
 
 
 def identify(tables: list[tuple[DataFrame, Input, list[str]]], languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -237,7 +274,7 @@ def identify(tables: list[tuple[DataFrame, Input, list[str]]], languages: tuple[
         own = [F.col(f"k{keep.index(c)}").alias(c) if c in keep else F.lit(None).cast(next(x.schema[c].dataType for x, _, k in tables if c in k)).alias(c) for c in names]
         parts.append(e.select(*own, "_declared", "_host", "_suffix", "_n", "_text_p"))
     ev = stored(reduce(DataFrame.unionByName, parts), "evidence")
-    return fused(ev, priors(ev, languages), languages).select(*names, "language", "confidence", "accepted", "posteriors")
+    return fused(ev, priors(ev, languages), languages, names)
 
 
 def accepted(df: DataFrame, source: Input, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -247,7 +284,7 @@ def accepted(df: DataFrame, source: Input, languages: tuple[str, ...] = LANGUAGE
     rows = source.rows(df, [c for c in columns if c != source.text])
     logp = profiles([rows], languages)
     pr = priors(stored(evidence(rows.select("_text", "_markup", "_declared", "_host", "_suffix"), logp, languages), "evidence"), languages)
-    out = fused(evidence(rows, logp, languages, keep_text=True), pr, languages).where("accepted")
+    out = fused(rows, pr, languages, ["_text", *(c for c in rows.columns if c[0] != "_")], logp, only_accepted=True)
     place = iter(range(len(columns)))
     return out.select(*(F.col("_text").alias(c) if i == text else F.col(f"k{next(place)}").alias(c) for i, c in enumerate(columns)))
 
