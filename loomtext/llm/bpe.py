@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import column_bytes, text_chunks
+from loomtext.llm.common import column_bytes, freeing, text_chunks
 from loomtext.llm.tokens import rows_of, tokenizer
 
 #: Bytes of text whose distinct words are merged at once.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 _K = np.int64(1 << 21)
 
 
@@ -238,10 +238,12 @@ def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text") -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_chunks(batches, text, CHUNK):
             ids, _ = encode_column(_texts(t[text]), tokenizer_path)
+            del _
             out = t.append_column("ids", pa.array(ids, pa.list_(pa.int32()))).append_column("n_tokens", pa.array([len(i) for i in ids], pa.int64()))
             yield from out.to_batches(max_chunksize=2000)
+            del ids, out
 
-    return docs.select(*rest).mapInArrow(run, schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()))
+    return docs.select(*rest).mapInArrow(freeing(run), schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()))
 
 
 def decode_ids(df: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> DataFrame:
@@ -254,7 +256,7 @@ def decode_ids(df: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> DataF
             found = [None if x is None else decode(x, v) for x in b[ids].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "decoded"])
 
-    return df.select(*rest).mapInArrow(run, df.select(*rest).schema.add("decoded", T.StringType()))
+    return df.select(*rest).mapInArrow(freeing(run), df.select(*rest).schema.add("decoded", T.StringType()))
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -288,6 +290,8 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 sha_ids.append(hashlib.sha256(all_ids).hexdigest())
                 sha_text.append(hashlib.sha256(b" ".join(map(as_text.__getitem__, words))).hexdigest())
             out = pa.table({"doc_id": t["doc_id"], "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": sha_ids, "decoded_sha256": sha_text})
+            # Before the next chunk is read, nothing of this one is held.
+            del texts, e, values, offsets, ends, as_ids, as_text
             yield from out.to_batches()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freeing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,16 +9,59 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Freed Arrow buffers go back to the system at once: workers live on between stages.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Words are `[^\x20\x09-\x0D]+`; these bytes part them.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def release() -> None:
+    """Gives freed memory of a worker back to the system, at the end of a task that held much."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def freeing(fn):
+    """A function of batches, of a group, or of its key and a group, that leaves no freed memory in the worker."""
+    import inspect
+
+    if inspect.isgeneratorfunction(fn):
+
+        def batches(b):
+            yield from fn(b)
+            release()
+
+        return batches
+    if len(inspect.signature(fn).parameters) == 2:
+
+        def keyed(key, t):
+            out = fn(key, t)
+            release()
+            return out
+
+        return keyed
+
+    def group(t):
+        out = fn(t)
+        release()
+        return out
+
+    return group
+
+
 def as_table(batches: list[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(batches).combine_chunks()
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.Table]:
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.Table]:
     """The rows in order, in tables of about `limit` bytes of text; a longer text makes a table of its own."""
     held, size = [], 0
     for b in batches:

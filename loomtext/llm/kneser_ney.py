@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import column_bytes, mix64, packed, text_chunks, unpacked, word_hashes
+from loomtext.llm.common import column_bytes, freeing, mix64, packed, text_chunks, unpacked, word_hashes
 from loomtext.llm.files import local_path, read_file, write_file
 from loomtext.session import workspace
 
@@ -237,10 +237,10 @@ def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Mo
         row = [int(c.sum()), len(w), int(types.sum()), *n_pairs.tolist(), *_count_of_counts(types).tolist(), int((types > 2).sum())]
         return pa.table({"totals": pa.array([row], pa.list_(pa.int64()))})
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(count, SENT_DDL)
-    by_pair = counts.groupBy("kind", "bucket").applyInArrow(pairs, SENT_DDL)
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(freeing(count), SENT_DDL)
+    by_pair = counts.groupBy("kind", "bucket").applyInArrow(freeing(pairs), SENT_DDL)
     totals = [0] * 12
-    for r in by_pair.groupBy("bucket").applyInArrow(words, "totals array<long>").collect():  # one row for each bucket
+    for r in by_pair.groupBy("bucket").applyInArrow(freeing(words), "totals array<long>").collect():  # one row for each bucket
         totals = [a + b for a, b in zip(totals, r.totals, strict=True)]
     tokens, distinct, types = totals[:3]
     d = discounts(totals[7:11])
@@ -335,7 +335,7 @@ def score(docs: DataFrame, model: Model, *, held_out: Column, text: str = "text"
             yield from pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=schema).to_batches()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def train_and_score(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import text_chunks
+from loomtext.llm.common import freeing, text_chunks
 from loomtext.session import kept, stored
 
 MIN_WORDS = 30
@@ -56,7 +56,7 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
     names = ["doc_id", "text_hash", "p", "a", "b", "parts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches, "text", 8 << 20):
+        for t in text_chunks(batches, "text", 4 << 20):
             ids, hashes, place, digests, parts = [], [], [], [], []
             for d, h, text in zip(t["doc_id"].to_pylist(), t["text_hash"].to_pylist(), t["text"].cast(pa.large_binary()).to_pylist(), strict=True):
                 counts = []
@@ -72,7 +72,7 @@ def lines(docs: DataFrame, least: int) -> DataFrame:
             cols = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(place, pa.int32()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(parts, pa.list_(pa.int32()))]
             yield from pa.table(cols, names=names).to_batches(max_chunksize=20_000)
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, p int, a long, b long, parts array<int>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(freeing(run), "doc_id long, text_hash long, p int, a long, b long, parts array<int>")
 
 
 def ranked(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -129,7 +129,7 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, text: str = "te
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches, text, 8 << 20):
+        for t in text_chunks(batches, text, 4 << 20):
             texts, counts = [], []
             for x, gone in zip(t[text].to_pylist(), t["_gone"].to_pylist(), strict=True):
                 if x is None:
@@ -151,7 +151,7 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, text: str = "te
                 out = out.append_column(name, pa.array(values, kind))
             yield from out.to_batches(max_chunksize=10_000)
 
-    return joined.select(*keep, "_gone").mapInArrow(run, schema)
+    return joined.select(*keep, "_gone").mapInArrow(freeing(run), schema)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -159,3 +159,23 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     out = deduplicated(docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns))), text=f"c{docs.columns.index(options.get('text', 'text'))}", doc_id=f"c{docs.columns.index(options.get('doc_id', 'doc_id'))}", min_words=options.get("min_words", MIN_WORDS))
     out = out.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+SQL = rf"""
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+a AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM raw),
+b AS (SELECT *, sum(CASE WHEN words > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS p FROM a),
+l AS (SELECT doc_id, p, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line, words, sum(words) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM b WHERE words > 0),
+w AS (
+  SELECT s.doc_id, s.p, min(e.p) AS q FROM l s JOIN l e ON s.doc_id = e.doc_id AND e.p >= s.p AND e.upto - s.upto + s.words >= {MIN_WORDS} GROUP BY ALL
+  UNION
+  SELECT e.doc_id, max(s.p) AS p, e.p AS q FROM l e JOIN l s ON s.doc_id = e.doc_id AND e.p >= s.p AND e.upto - s.upto + s.words >= {MIN_WORDS} GROUP BY e.doc_id, e.p),
+c AS (SELECT w.doc_id, w.p, w.q, md5(string_agg(line, chr(10) ORDER BY l.p)) AS content FROM w JOIN l ON l.doc_id = w.doc_id AND l.p BETWEEN w.p AND w.q GROUP BY w.doc_id, w.p, w.q),
+f AS (SELECT *, min((doc_id, p)) OVER (PARTITION BY content) AS stays FROM c),
+g AS (SELECT DISTINCT doc_id, unnest(range(CAST(p AS BIGINT), CAST(q + 1 AS BIGINT))) AS p FROM f WHERE (doc_id, p) > stays)
+SELECT b.doc_id, coalesce(string_agg(b.line, chr(10) ORDER BY b.k) FILTER (WHERE g.p IS NULL), '') AS text,
+  CAST(sum(CASE WHEN b.words > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_lines,
+  CAST(sum(CASE WHEN b.words > 0 AND g.p IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+  coalesce(string_agg(CAST(b.p AS VARCHAR), ',' ORDER BY b.p) FILTER (WHERE b.words > 0 AND g.p IS NOT NULL), '') AS removed
+FROM b LEFT JOIN g ON b.doc_id = g.doc_id AND b.p = g.p GROUP BY b.doc_id
+"""

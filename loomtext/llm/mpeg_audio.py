@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import column_bytes, text_chunks
+from loomtext.llm.common import column_bytes, freeing, text_chunks
 from loomtext.session import stored
 
 # Fixed values of the format: kbit/s by (MPEG-1 or not, layer), sampling rates by version, samples by layer.
@@ -277,7 +277,7 @@ def encode_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
             media = [encode(raw[a:b].ljust(max(64, -(-(b - a) // 64) * 64), b"\x00")) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield from pa.table({"doc_id": t["doc_id"], "n_bytes": np.diff(offsets), "media": pa.array(media, pa.binary())}).to_batches()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freeing(run), "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, samples long, rate long, frame_offsets array<long>"
-    return media.mapInArrow(run, ddl).withColumn("duration_s", F.when(F.col("rate") > 0, F.col("samples") / F.col("rate")).otherwise(0.0))
+    return media.mapInArrow(freeing(run), ddl).withColumn("duration_s", F.when(F.col("rate") > 0, F.col("samples") / F.col("rate")).otherwise(0.0))
 
 
 def stored_media(docs: DataFrame) -> DataFrame:

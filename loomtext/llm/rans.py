@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import text_chunks
+from loomtext.llm.common import freeing, text_chunks
 from loomtext.llm.files import read_file, write_file
 from loomtext.llm.tokens import encode_texts
 from loomtext.session import stored, workspace
@@ -183,7 +183,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, *, end
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stored(ordered.mapInArrow(write, "part int, seq int, path string, docs long, tokens long"), "token-manifest")
+    return stored(ordered.mapInArrow(freeing(write), "part int, seq int, path string, docs long, tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, *, digest: bool = False) -> DataFrame:
@@ -206,7 +206,7 @@ def read_token_files(manifest: DataFrame, *, digest: bool = False) -> DataFrame:
                     last = pa.array(map(_crc, parts), pa.int64()) if digest else pa.array([p.astype(np.int64) for p in parts], kind)
                     yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[at : at + 10_000], pa.int64()), pa.array(a + base), pa.array(z - a), last], schema=schema)
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
+    return files.mapInArrow(freeing(read), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2) -> DataFrame:

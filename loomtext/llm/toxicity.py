@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import column_bytes, text_chunks
+from loomtext.llm.common import column_bytes, freeing, text_chunks
 
 SAMPLE, WORDS, LEAST_COUNT, LEAST_G2, RIDGE, FOLDS = 20_000, 256, 5, 30.0, 0.5, 5
 CHUNK = 8 << 20
@@ -78,7 +78,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["at", "n"])
 
     n = np.zeros(ALPHABET**3)
-    for r in docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 28 ** 3 rows
+    for r in docs.select("text").mapInArrow(freeing(count), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 28 ** 3 rows
         n[r["at"]] = r["n"]
     n = n.reshape(ALPHABET, ALPHABET, ALPHABET) + 0.05
     return np.log(n / n.sum(2, keepdims=True))
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder) -> tuple[float,
         words = list(n[0] | n[1])
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[1][w] for w in words], pa.int64()), pa.array([n[0][w] for w in words], pa.int64())], names=["word", "a", "b"])
 
-    counts = sample.mapInArrow(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_COUNT)
+    counts = sample.mapInArrow(freeing(count), "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_COUNT)
     n1, n0 = next(((r.a, r.b) for r in counts.where("word = ''").collect()), (0, 0))
     if not n1 or not n0:
         n1, n0 = n1 + 0.5, n0 + 0.5
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder) -> tuple[float,
         n = Counter((label, tuple(sorted(number[w] for w in found if w in number))) for label, found in sets(batches))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([list(k[1]) for k in n], pa.list_(pa.int32())), pa.array(n.values(), pa.int64())], names=["label", "has", "n"])
 
-    rows = sample.mapInArrow(patterns, "label int, has array<int>, n long").groupBy("label", "has").agg(F.sum("n").alias("n")).collect()  # SAMPLE rows at most
+    rows = sample.mapInArrow(freeing(patterns), "label int, has array<int>, n long").groupBy("label", "has").agg(F.sum("n").alias("n")).collect()  # SAMPLE rows at most
     x = np.zeros((len(rows), len(words)))
     for i, r in enumerate(rows):
         x[i, r["has"]] = 1
@@ -294,7 +294,7 @@ def score(docs: DataFrame, decoder: Decoder, intercept: float, weights: dict[str
             yield from out.to_batches()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, hits array<string>")
+    return rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, score double, predicted int, hits array<string>")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
