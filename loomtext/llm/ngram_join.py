@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import column_bytes, mix64, packed, text_chunks, unpacked, word_hashes
+from loomtext.llm.common import column_bytes, freeing, mix64, packed, text_chunks, unpacked, word_hashes
 from loomtext.llm.graph import components
 from loomtext.llm.kneser_ney import SENT_DDL, counted, gathered, sent_batch, split_rows, word_bucket
 from loomtext.session import kept, stored
 
-SPARE, SPARE_SHARE, TILE, DIMENSIONS, FANOUT = 3, 0.03, 1024, 64, 16
+SPARE, SPARE_SHARE, TILE, DIMENSIONS, FANOUT = 3, 0.1, 1024, 64, 16
 #: Distinct texts whose shingles are counted for the frequent ones, the count from which they are, and how many there are at most.
 SAMPLE, FREQUENT, MOST = 16_000, 4, 1 << 17
 #: Longs in the filter of candidate classes: 2 MB, whatever the input.
@@ -219,7 +219,7 @@ def profiles(docs: DataFrame, sim: Similarity) -> DataFrame:
             sets = shingle_sets(t["text"], sim.words)
             yield from pa.table({"doc_id": t["doc_id"], "n_shingles": pa.array(map(len, sets), pa.int64()), "key": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())}).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), "doc_id long, n_shingles long, key long")
 
 
 def frequent_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
@@ -239,7 +239,7 @@ def frequent_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
         w, c = w[c >= FREQUENT], c[c >= FREQUENT]
         return pa.table({"shingles": pa.array([w[np.argsort(-c, kind="stable")[: MOST // buckets]].tobytes()], pa.binary())})
 
-    found = sample.mapInArrow(count, SENT_DDL).groupBy("bucket").applyInArrow(most, "shingles binary").collect()  # MOST longs in all
+    found = sample.mapInArrow(freeing(count), SENT_DDL).groupBy("bucket").applyInArrow(freeing(most), "shingles binary").collect()  # MOST longs in all
     return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r.shingles, np.uint64) for r in found)]))
 
 
@@ -285,8 +285,8 @@ def clusters(docs: DataFrame, sim: Similarity) -> DataFrame:
         more = label != nodes
         return pa.table({"u": pa.array(nodes[more], pa.int64()), "v": pa.array(label[more], pa.int64())})
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, signatures binary, keys binary")
-    return components(sent.groupBy("bucket").applyInArrow(meet, "u long, v long"))
+    sent = docs.select("text").mapInArrow(freeing(send), "bucket int, signatures binary, keys binary")
+    return components(sent.groupBy("bucket").applyInArrow(freeing(meet), "u long, v long"))
 
 
 def class_filter(keys: DataFrame) -> np.ndarray:
@@ -326,7 +326,7 @@ def class_sets(docs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([k for k, _ in found.values()], pa.int64()), pa.array([s.tobytes() for _, s in found.values()], pa.binary())], names=["node", "key", "members"])
 
-    return docs.select("text").mapInArrow(run, "node long, key long, members binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(freeing(run), "node long, key long, members binary").dropDuplicates(["node"])
 
 
 def links(docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -356,7 +356,7 @@ def links(docs: DataFrame, sim: Similarity) -> DataFrame:
                 out += [(nodes[a], nodes[b]) for a, b in forest(sets, np.array([b for b, _ in members.values()]), sim)]
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    return rows.select(task.alias("task"), "label", "i", "j", "block", "key", "members").groupBy("task").applyInArrow(verify, "u long, v long")
+    return rows.select(task.alias("task"), "label", "i", "j", "block", "key", "members").groupBy("task").applyInArrow(freeing(verify), "u long, v long")
 
 
 def _with_labels(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
@@ -387,7 +387,7 @@ def one_of_each(docs: DataFrame, sim: Similarity, *, text: str = "text", doc_id:
             keys = [set_key(s) if len(s) else None for s in shingle_sets(t[text], sim.words)]
             yield from t.append_column("_set", pa.array(keys, pa.int64())).to_batches()
 
-    own = docs.mapInArrow(run, schema)
+    own = docs.mapInArrow(freeing(run), schema)
     stay = own.join(best, (own["_set"] == best["_key"]) & own[doc_id].cast("long").eqNullSafe(best["_id"]), "left_semi")
     return stay.dropDuplicates(["_set", doc_id]).unionByName(own.where("_set is null")).drop("_set")
 
