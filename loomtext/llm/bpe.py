@@ -230,20 +230,21 @@ def encode_column(texts: list[bytes], path: str) -> tuple[list[np.ndarray], Enco
     return out, e
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text") -> DataFrame:
-    """docs with ids (array of int) and n_tokens."""
+def encode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", keep: list[str] | None = None, chunk: int = CHUNK // 2) -> DataFrame:
+    """Columns `keep` of docs (all by default) with ids (array of int) and n_tokens."""
     rest = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    schema = docs.select(*rest).schema
+    keep = rest if keep is None else keep
+    schema = docs.select(*keep).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches, text, CHUNK):
-            ids, _ = encode_column(_texts(t[text]), tokenizer_path)
-            del _
-            out = t.append_column("ids", pa.array(ids, pa.list_(pa.int32()))).append_column("n_tokens", pa.array([len(i) for i in ids], pa.int64()))
-            yield from out.to_batches(max_chunksize=2000)
-            del ids, out
-
-    return docs.select(*rest).mapInArrow(freeing(run), schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()))
+        for t in text_chunks(batches, text, chunk):
+            ids = encode_column(_texts(t[text]), tokenizer_path)[0]
+            out = t.select(keep).append_column("ids", pa.array(ids, pa.list_(pa.int32()))).append_column("n_tokens", pa.array([len(i) for i in ids], pa.int64()))
+            del ids, t
+            yield from out.to_batches(max_chunksize=1000)
+            del out
+
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(freeing(run), schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()))
 
 
 def decode_ids(df: DataFrame, tokenizer_path: str, *, ids: str = "ids") -> DataFrame:

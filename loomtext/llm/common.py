@@ -134,7 +134,7 @@ def _power(base: int, n: int) -> np.ndarray:
         p[0] = 1
         with np.errstate(over="ignore"):
             have = np.cumprod(p)
-        if n <= 16 << 20:
+        if n <= 4 << 20:  # longer texts have theirs made anew
             _powers[base] = have
     return have[:n]
 
