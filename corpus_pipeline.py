@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).select("doc_id", "source", "n_tokens", "ids")
+    return bpe.encode(docs, tokenizer_path(), keep=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "ids")
 
 
 STAGES = [
