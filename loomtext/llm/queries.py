@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtext.catalog import table
 from loomtext.llm import bpe, kneser_ney, language_id, line_dedup, mixing, mpeg_audio, ngram_join, rans, topk, toxicity
@@ -43,11 +44,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicated(table(spark, sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
-    return out.select("doc_id", "text", "n_lines", "n_removed", "removed")
+    return out.select("doc_id", "text", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.linked(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, num=85, den=100))
+    out = ngram_join.linked(table(spark, sf_dir, "documents"), ngram_join.Similarity(words=4, num=85, den=100))
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op8_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kneser_ney": op10_kneser_ney,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op8_ball_tree": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op6_line_dedup": line_dedup.SQL, "op7_ngram_join": ngram_join.SQL, "op8_ball_tree": topk.SQL}
