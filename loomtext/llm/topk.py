@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.llm.common import freeing
 from loomtext.llm.files import read_file, write_file
 from loomtext.session import stored, workspace
 
@@ -189,39 +190,36 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, vec_id: str = "vec
             yield out
 
     queries = rows.where(F.col("vec_id") % every == 0)
-    paths = [r.path for r in stored(queries.mapInArrow(write, "path string"), "query-blocks").orderBy("path").collect()]  # one for BLOCK queries
+    paths = [r.path for r in stored(queries.mapInArrow(freeing(write), "path string"), "query-blocks").orderBy("path").collect()]  # one for BLOCK queries
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, list[Best]] = {}
-        held, size = [], 0
+        # The trees of the task's own rows stay in memory, and one block of queries at a time.
+        trees, held, size = [], [], 0
 
-        def run() -> None:
+        def build() -> None:
             nonlocal held, size
             t = pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
-            tree = BallTree(*quantized(t["vec_id"], t["vector"]))
-            for p in paths:
-                f = np.load(io.BytesIO(read_file(p)))
-                if p not in best:
-                    best[p] = [Best(k, x) for x in f["floors"].tolist()]
-                search(tree, f["ids"], f["q"], best[p])
+            trees.append(BallTree(*quantized(t["vec_id"], t["vector"])))
 
         for b in batches:
             for at in range(0, b.num_rows, SHARD):
                 held.append(b.slice(at, SHARD))
                 size += held[-1].num_rows
                 if size >= SHARD:
-                    run()
+                    build()
         if held:
-            run()
-        for p, found in best.items():
-            ids = np.load(io.BytesIO(read_file(p)))["ids"].tolist()
-            out = [(p, n, q, -e[1], int(e[0])) for n, (q, b) in enumerate(zip(ids, found, strict=True)) for e in b.heap]
-            cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))]
-            exact = pa.array([str(o[4]) for o in out], pa.string())
-            yield from pa.table([*cols, exact], names=["block", "number", "query_id", "vec_id", "exact"]).to_batches(max_chunksize=50_000)
-
-    found = rows.mapInArrow(scan, "block string, number int, query_id long, vec_id long, exact string")
+            build()
+        for p in paths if trees else ():
+            f = np.load(io.BytesIO(read_file(p)))
+            ids, q, best = f["ids"], f["q"], [Best(k, x) for x in f["floors"].tolist()]
+            for tree in trees:
+                search(tree, ids, q, best)
+            out = [(p, n, i, -e[1], str(int(e[0]))) for n, (i, b) in enumerate(zip(ids.tolist(), best, strict=True)) for e in b.heap]
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield from pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["block", "number", "query_id", "vec_id", "exact"]).to_batches(max_chunksize=50_000)
+
+    found = rows.mapInArrow(freeing(scan), "block string, number int, query_id long, vec_id long, exact string")
     # Scores of any size in order: as decimals of 38 digits, which hold products far beyond a long.
     found = found.withColumn("order", F.expr("try_cast(exact as decimal(38, 0))"))
     order = Window.partitionBy("block", "number").orderBy(F.coalesce(F.col("order").cast("double"), F.expr("try_cast(exact as double)")).desc(), F.col("order").desc_nulls_last(), "vec_id")
