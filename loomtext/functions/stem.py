@@ -1,4 +1,4 @@
-"""Snowball stemmers from their published descriptions: English (Porter 2) and German."""
+"""Snowball stemmers from their published descriptions: English (Porter 2), German, Danish, Norwegian, Swedish."""
 
 from __future__ import annotations
 
@@ -165,7 +165,61 @@ def german(word: str) -> str:
     return w.translate(str.maketrans("äöüUY", "aouuy"))
 
 
-STEMMERS = {"english": english, "german": german}
+def _nordic(w: str, vowels: str, first: str, s_after: str, to: dict[str, str] | None = None, s_after_k: bool = False) -> tuple[str, int]:
+    """The first step of the Nordic algorithms: the longest ending of `first` in R1 goes (or becomes another), or an s after certain letters."""
+    r1 = max(3, _region(w, 0, vowels))
+    for e in sorted([*first.split(), "s"], key=len, reverse=True):
+        if w.endswith(e) and len(w) - len(e) >= r1:
+            if e != "s":
+                return w[: -len(e)] + (to or {}).get(e, ""), r1
+            if w[-2] in s_after or s_after_k and w[-2] == "k" and w[-3] not in vowels:
+                return w[:-1], r1
+            break
+    return w, r1
+
+
+def danish(word: str) -> str:
+    vowels = "aeiouyæåø"
+    pair = lambda w, r1: w[:-1] if w.endswith(("gd", "dt", "gt", "kt")) and len(w) - 2 >= r1 else w
+    w, r1 = _nordic(word, vowels, "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret", "abcdfghjklmnoprtvyzå")
+    w = pair(w, r1)
+    if w.endswith("igst"):
+        w = w[:-2]
+    for e in ("elig", "els", "lig", "ig"):
+        if w.endswith(e) and len(w) - len(e) >= r1:
+            w = pair(w[: -len(e)], r1)
+            break
+    else:
+        if w.endswith("løst") and len(w) - 4 >= r1:
+            w = w[:-1]
+    if len(w) - 1 >= r1 and len(w) > 1 and w[-1] == w[-2] and w[-1] not in vowels:
+        w = w[:-1]
+    return w
+
+
+def norwegian(word: str) -> str:
+    vowels = "aeiouyæåø"
+    w, r1 = _nordic(word, vowels, "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast erte ert", "bcdfghjlmnoprtvyz", {"erte": "er", "ert": "er"}, True)
+    if w.endswith(("dt", "vt")) and len(w) - 2 >= r1:
+        w = w[:-1]
+    for e in ("hetslov", "eleg", "elig", "elov", "slov", "leg", "eig", "lig", "els", "lov", "ig"):
+        if w.endswith(e) and len(w) - len(e) >= r1:
+            return w[: -len(e)]
+    return w
+
+
+def swedish(word: str) -> str:
+    vowels = "aeiouyäåö"
+    w, r1 = _nordic(word, vowels, "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast", "bcdfghjklmnoprtvy")
+    if w.endswith(("dd", "gd", "nn", "dt", "gt", "kt", "tt")) and len(w) - 2 >= r1:
+        w = w[:-1]
+    for e, to in (("fullt", "full"), ("löst", "lös"), ("lig", ""), ("els", ""), ("ig", "")):
+        if w.endswith(e) and len(w) - len(e) >= r1:
+            return w[: -len(e)] + to
+    return w
+
+
+STEMMERS = {"english": english, "german": german, "danish": danish, "norwegian": norwegian, "swedish": swedish}
 
 
 def stemmer(language: str):

@@ -66,6 +66,18 @@ def emails(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
 
 
+def link_spans(text: Column) -> Column:
+    """Byte ranges of the links of a text, in order: start and end."""
+    import re
+
+    from loomtext.functions.udf import scalar
+
+    def run(t: str) -> list[dict]:
+        return [{"start": len(t[: m.start()].encode()), "end": len(t[: m.end()].encode())} for m in re.finditer(LINK, t, re.A)]
+
+    return scalar(run, "array<struct<start:int,end:int>>")(text)
+
+
 def has_link(text: Column) -> Column:
     return text.rlike(LINK)
 

@@ -73,6 +73,9 @@ def test_stems(spark):
         assert stem.english(w) == s, w
     for w, s in {"läuft": "lauft", "häuser": "haus", "kategorischen": "kategor", "aufgaben": "aufgab", "möglichkeit": "moglich", "jähriges": "jahrig", "katers": "kat", "straße": "strass"}.items():
         assert stem.german(w) == s, w
+    for fn, words in ((stem.swedish, {"jaktkarlarne": "jaktkarl", "klostergården": "klostergård", "kristligt": "krist", "friheten": "frihet", "hus": "hus"}), (stem.norwegian, {"havnene": "havn", "opning": "opning", "vakre": "vakr", "friheten": "frihet", "vesentlig": "vesent"}), (stem.danish, {"undersøgelser": "undersøg", "indtil": "indtil", "underligt": "under", "husene": "hus", "venlig": "ven"})):
+        for w, s in words.items():
+            assert fn(w) == s, w
     with pytest.raises(ValueError, match="unknown stemmer language: klingon"):
         stem.stemmer("klingon")
     df = col(spark, ["a quick runs", None])
@@ -153,4 +156,5 @@ def test_merge():
 def test_links(spark):
     df = col(spark, ["See http://a.com/x?y=1, and (https://b.org). ftp://no a@b.co", "none", None])
     assert one(df, text.links(F.col("x"))) == [["http://a.com/x?y=1", "https://b.org"], [], None]
+    assert [tuple(x) for x in one(df, text.link_spans(F.col("x")))[0]] == [(4, 20), (27, 40)]
     assert one(df, text.emails(F.col("x")))[0] == ["a@b.co"] and one(df, text.has_link(F.col("x"))) == [True, False, None]
