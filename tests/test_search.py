@@ -38,6 +38,11 @@ def test_minisearch(spark):
     i = search.build_index(corpus(spark, [("a", "rust programming language"), ("b", "python programming"), ("c", "cat catalog cattle dog")]))
     assert hits(i, "rust programming", operator="AND") == ["a"] and len(hits(i, "rust programming")) == 2
     assert hits(i, "cat", prefix=True) == ["c"] and hits(i, "ca", prefix=True, operator="AND") == ["c"] and hits(i, "zzz", prefix=True) == []
+    few, search.BROADCAST_PREFIXES = search.BROADCAST_PREFIXES, 0
+    try:
+        assert hits(i, "cat", prefix=True) == hits(i, "c", prefix=True) == ["c"] and set(hits(i, "p", prefix=True)) == {"a", "b"}
+    finally:
+        search.BROADCAST_PREFIXES = few
     assert [r.term for r in search.auto_suggest(i, "CAT").collect()] == ["cat", "catalog", "cattle"]
     stop = search.build_index(corpus(spark, [("a", "the quick fox")]), stopwords=tx.SEARCH_STOPWORDS)
     assert hits(stop, "the", stopwords=tx.SEARCH_STOPWORDS) == []
