@@ -156,5 +156,5 @@ def test_merge():
 def test_links(spark):
     df = col(spark, ["See http://a.com/x?y=1, and (https://b.org). ftp://no a@b.co", "none", None])
     assert one(df, text.links(F.col("x"))) == [["http://a.com/x?y=1", "https://b.org"], [], None]
-    assert [tuple(x) for x in one(df, text.link_spans(F.col("x")))[0]] == [(4, 20), (27, 40)]
+    assert [tuple(x) for x in one(df, text.link_spans(F.col("x")))[0]] == [(4, 22), (29, 42)]
     assert one(df, text.emails(F.col("x")))[0] == ["a@b.co"] and one(df, text.has_link(F.col("x"))) == [True, False, None]
