@@ -230,7 +230,7 @@ def rendered_markdown(spark, d):
 
 
 @query()
-def optimized_svg(spark, d):
+def svg_optimized(spark, d):
     svg = F.format_string('<svg xmlns="http://www.w3.org/2000/svg"><!-- c --><g><rect x="%.6f" y="0.000001" width="10.50" height="2" fill="#ffcc00"/></g><title>t</title></svg>', F.col("p_retailprice"))
     return table(spark, d, "part").select("p_partkey", svg.alias("svg")).select("p_partkey", "svg", markup.optimize(F.col("svg")).alias("optimized"))
 
