@@ -1,5 +1,7 @@
 """The registered queries of the operators at the smallest scale, against their SQL where they have it."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -20,7 +22,7 @@ COLUMNS = {
 
 
 def test_one_query_for_each_operator():
-    names = [k for k in entry.queries() if k.startswith("op")]
+    names = [k for k in entry.queries() if re.match(r"op\d", k)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
 
 
