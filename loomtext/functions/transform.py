@@ -85,27 +85,33 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, in
         tail += 1
     x_end, y_end = len(a) - tail - head, len(b) - tail - head
     u, w = a[head : head + x_end], b[head : head + y_end]
-    furthest, trace = {1: 0}, []
-    for d in range(x_end + y_end + 1):
-        trace.append(dict(furthest))
-        done = False
-        for k in range(-d, d + 1, 2):
-            x = furthest[k + 1] if k == -d or k != d and furthest[k - 1] < furthest[k + 1] else furthest[k - 1] + 1
-            y = x - k
+    # rows[d][i]: how far d edits reach in u on the diagonal 2 * i - d.
+    rows: list[list[int]] = []
+    while True:
+        d, row = len(rows), []
+        last = rows[-1] if rows else []
+        for i in range(d + 1):
+            if d == 0:
+                x = 0
+            elif i == 0 or i < d and last[i - 1] < last[i]:
+                x = last[i]
+            else:
+                x = last[i - 1] + 1
+            y = x - (2 * i - d)
             while x < x_end and y < y_end and u[x] == w[y]:
                 x, y = x + 1, y + 1
-            furthest[k] = x
+            row.append(x)
             if x >= x_end and y >= y_end:
-                done = True
                 break
-        if done:
+        rows.append(row)
+        if x >= x_end and y >= y_end:
             break
     ops, x, y = [], x_end, y_end
-    for d in range(len(trace) - 1, 0, -1):
-        f, k = trace[d], x - y
-        down = k == -d or k != d and f[k - 1] < f[k + 1]
-        px = f[k + 1] if down else f[k - 1]
-        py = px - (k + 1 if down else k - 1)
+    for d in range(len(rows) - 1, 0, -1):
+        last, i = rows[d - 1], (x - y + d) // 2
+        down = i == 0 or i < d and last[i - 1] < last[i]
+        px = last[i] if down else last[i - 1]
+        py = px - (2 * i - d) - (1 if down else -1)
         while x > px + (not down) and y > py + down:
             x, y = x - 1, y - 1
             ops.append("=")

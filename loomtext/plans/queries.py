@@ -184,7 +184,9 @@ def has_link(spark, d):
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").withColumn("old", F.lag("text").over(w)).where("old is not null")
+    turns = table(spark, d, "conversations").withColumn("old", F.lag("text").over(w)).where("old is not null")
+    # A diff costs far more than its bytes: few bytes, but all cores.
+    return turns.repartition(spark.sparkContext.defaultParallelism * 2)
 
 
 @query("SELECT conv_id, turn, md5(old) AS old_md5, md5(text) AS new_md5 FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations) WHERE old IS NOT NULL")
