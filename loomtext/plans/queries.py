@@ -395,9 +395,8 @@ def graph_layout(spark, d):
 def force_layout(spark, d):
     nodes, edges = _graph(spark, d)
     none = F.lit(None).cast("double")
-    keep = F.col("id") % 200 == 0
-    nodes = nodes.where(keep).select("graph_id", "id", none.alias("x"), none.alias("y"), F.lit(False).alias("fixed"))
-    return layout.force_layout(nodes, edges.select("graph_id", "source", "target", none.alias("distance"), none.alias("strength")), options=layout.ForceOptions(iterations=60))
+    nodes = nodes.select("graph_id", "id", none.alias("x"), none.alias("y"), F.lit(False).alias("fixed"))
+    return layout.force_layout(nodes, edges.select("graph_id", "source", "target", none.alias("distance"), none.alias("strength")))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -1,6 +1,10 @@
 """The layout queries lay out every order."""
 
+import pandas as pd
+import pytest
+
 from loomtext.catalog import table
+from loomtext.operators import layout
 from loomtext.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +23,16 @@ def test_graph_layout_has_all_orders(spark):
     assert sorted((r.graph_id, r.id) for r in got) == sorted((k, x) for k, v in want.items() for x in v)
     # Edges go to the order after the next, so ranks follow from the place among the customer's orders.
     assert {r.id: r.rank for r in got} == {x: i // 2 for v in want.values() for i, x in enumerate(v)}
+
+
+def test_force_layout_simulates_all_orders_and_edges(spark):
+    got = {(r.graph_id, r.id): (r.x, r.y) for r in queries.force_layout(spark, SF).collect()}
+    want = by_customer(spark)
+    assert set(got) == {(k, x) for k, v in want.items() for x in v}
+    for k in sorted(want)[:5]:
+        ids = want[k]
+        nodes = pd.DataFrame({"id": ids, "x": None, "y": None, "fixed": False})
+        edges = pd.DataFrame({"source": ids[:-2], "target": ids[2:], "distance": None, "strength": None})
+        out = layout.simulate(nodes, edges)
+        assert [got[k, x] for x in ids] == [pytest.approx(p, abs=1e-6) for p in zip(out.x, out.y, strict=True)]
+        assert len(ids) < 3 or layout.simulate(nodes, edges[:0]).x.tolist() != out.x.tolist()
