@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,24 +35,26 @@ _LETTERS = {"deu": "äöüß", "fra": "éèêàçùœ", "spa": "ñ¿¡áíóú",
 def ranked(text: str, only: frozenset[str] = frozenset(), ignore: frozenset[str] = frozenset()) -> list[tuple[str, float]]:
     """Languages with scores, the best first; `only`, if it names a known one, beats `ignore`."""
     keep = (lambda c: c in only) if only else (lambda c: c not in ignore)
-    letters = [c for c in text if c.isalpha()]
+    letters = {c: n for c, n in Counter(text).items() if c.isalpha()}
     if not letters:
         return []
-    names = [unicodedata.name(c, "") for c in letters[:2000]]
-    latin = sum(n.startswith("LATIN") for n in names)
-    if latin * 2 < len(names):
+    total = sum(letters.values())
+    names = [(unicodedata.name(c, ""), n) for c, n in letters.items()]
+    latin = sum(n for x, n in names if x.startswith("LATIN"))
+    if latin * 2 < total:
         seen = {}
         for prefix, code in SCRIPTS:
-            n = sum(x.startswith(prefix) for x in names)
+            n = sum(n for x, n in names if x.startswith(prefix))
             # Kana among ideographs tells Japanese from Chinese.
             seen[code] = seen.get(code, 0) + (n * 10 if prefix in ("HIRAGANA", "KATAKANA") else n)
-        return sorted(((c, n / len(names)) for c, n in seen.items() if n and keep(c)), key=lambda x: (-x[1], x[0]))
-    words = re.findall(r"[^\W\d_]+", text.lower())
+        return sorted(((c, n / total) for c, n in seen.items() if n and keep(c)), key=lambda x: (-x[1], x[0]))
+    text = text.lower()
+    words = re.findall(r"[^\W\d_]+", text)
     score = {}
     for code, known in _SETS.items():
         if keep(code):
-            marks = sum(text.lower().count(c) for c in _LETTERS.get(code, ""))
-            score[code] = sum(w in known for w in words) / max(1, len(words)) + 0.5 * marks / len(letters)
+            marks = sum(text.count(c) for c in _LETTERS.get(code, ""))
+            score[code] = sum(w in known for w in words) / max(1, len(words)) + 0.5 * marks / total
     return sorted(((c, s) for c, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))
 
 
