@@ -6,8 +6,10 @@ or more of a letter offer one or two, separators offer a gap or nothing, each at
 Viterbi's algorithm finds the best path under a character trigram model, which is counted over all texts. Tokens of
 letters alone without such runs have one path and are left as they are.
 
-A logistic regression scores the restored words. Its words are those whose presence tells toxic from other documents
-beyond doubt (likelihood ratio statistic of LEAST_G2 or more, WORDS of them at most), over a sample of SAMPLE labelled
+A logistic regression scores the restored words. Its words are all those of LEAST_COUNT documents or more whose
+presence tells toxic from other documents by the likelihood ratio statistic, at a false discovery rate of FALSE
+(Benjamini and Hochberg): the threshold follows from how many words are tested and how many pass, so that words of
+languages with few labels count as soon as the labels bear them out. It is fitted on a sample of SAMPLE labelled
 documents of the training folds (those with the smallest hashes of doc_id); the labels of held-out documents, lang,
 source and doc_id are no inputs. All documents are scored, over their whole texts.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import column_bytes, freeing, text_chunks
 
-SAMPLE, WORDS, LEAST_COUNT, LEAST_G2, RIDGE, FOLDS = 20_000, 256, 5, 30.0, 0.5, 5
+SAMPLE, LEAST_COUNT, FALSE, RIDGE, FOLDS = 20_000, 3, 0.1, 0.5, 5
 CHUNK = 8 << 20
 
 #: Letters that a symbol can stand for.
@@ -218,15 +220,39 @@ def g2(a: float, b: float, n1: float, n0: float) -> float:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Weights, the first of them the intercept: Newton's method with a ridge on all others."""
-    x = np.concatenate([np.ones((len(x), 1)), x], 1)
-    ridge = np.full(x.shape[1], RIDGE)
+def threshold(groups: list[tuple[float, int]]) -> float:
+    """The least statistic that passes at a false discovery rate of FALSE, of (statistic, number of words with it)."""
+    m, k, least = sum(n for _, n in groups), 0, math.inf
+    for stat, n in sorted(groups, reverse=True):
+        k += n
+        if math.erfc(math.sqrt(max(0.0, stat) / 2)) <= FALSE * k / m:
+            least = stat
+    return least
+
+
+def logistic(row: np.ndarray, col: np.ndarray, d: int, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights, the first of them the intercept, where x is 1 at (row, col) and has d columns: Newton's method with a
+    ridge on all others, its steps by conjugate gradients."""
+    times = lambda w: w[0] + np.bincount(row, w[1:][col], len(y))
+    back = lambda v: np.concatenate([[v.sum()], np.bincount(col, v[row], d)])
+    ridge = np.full(d + 1, RIDGE)
     ridge[0] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(d + 1)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (n * (y - p)) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        h = n * p * (1 - p)
+        left, diagonal, step = back(n * (y - p)) - ridge * w, back(h) + ridge, np.zeros(d + 1)
+        to = left / diagonal
+        size = left @ to
+        for _ in range(500):
+            if size < 1e-20:
+                break
+            moved = back(h * times(to)) + ridge * to
+            far = size / (to @ moved)
+            step += far * to
+            left -= far * moved
+            size, before = left @ (left / diagonal), size
+            to = left / diagonal + size / before * to
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -249,15 +275,17 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder) -> tuple[float,
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[1][w] for w in words], pa.int64()), pa.array([n[0][w] for w in words], pa.int64())], names=["word", "a", "b"])
 
     counts = sample.mapInArrow(freeing(count), "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_COUNT)
-    n1, n0 = next(((r.a, r.b) for r in counts.where("word = ''").collect()), (0, 0))
+    same = counts.groupBy("a", "b", (F.col("word") == "").alias("all")).agg(F.count("*").alias("n")).collect()  # words of SAMPLE rows, by their counts
+    n1, n0 = next(((r.a, r.b) for r in same if r["all"]), (0, 0))
     if not n1 or not n0:
         n1, n0 = n1 + 0.5, n0 + 0.5
         return math.log(n1 / n0), {}
+    least = threshold([(g2(r.a, r.b, n1, n0), r.n) for r in same if not r["all"]])
     row, x_log_x = F.col("a") + F.col("b"), lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
     cells = (F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b"), F.lit(float(n1 + n0)))
     margins = (row, n1 + n0 - row, F.lit(float(n1)), F.lit(float(n0)))
     stat = 2 * (sum((x_log_x(x.cast("double")) for x in cells), F.lit(0.0)) - sum((x_log_x(x.cast("double")) for x in margins), F.lit(0.0)))
-    best = counts.where("word <> ''").withColumn("g2", stat).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(WORDS)
+    best = counts.where("word <> ''").withColumn("g2", stat).where(F.col("g2") >= least - 1e-6).orderBy(F.desc("g2"), "word")
     words = [r.word for r in best.collect()]
     number = {w: i for i, w in enumerate(words)}
 
@@ -266,10 +294,9 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder) -> tuple[float,
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([list(k[1]) for k in n], pa.list_(pa.int32())), pa.array(n.values(), pa.int64())], names=["label", "has", "n"])
 
     rows = sample.mapInArrow(freeing(patterns), "label int, has array<int>, n long").groupBy("label", "has").agg(F.sum("n").alias("n")).collect()  # SAMPLE rows at most
-    x = np.zeros((len(rows), len(words)))
-    for i, r in enumerate(rows):
-        x[i, r["has"]] = 1
-    w = logistic(x, np.array([float(r["label"] > 0) for r in rows]), np.array([float(r["n"]) for r in rows]))
+    at = np.repeat(np.arange(len(rows)), [len(r["has"]) for r in rows])
+    has = np.fromiter(chain.from_iterable(r["has"] for r in rows), np.int64)
+    w = logistic(at, has, len(words), np.array([float(r["label"] > 0) for r in rows]), np.array([float(r["n"]) for r in rows]))
     return float(w[0]), dict(zip(words, w[1:].tolist(), strict=True))
 
 
