@@ -45,7 +45,9 @@ AS_LETTER, NOISE, AS_DIGIT, ONE, TWO, GAP = -0.7, -9.0, -9.0, -0.5, -1.5, -5.0
 ALPHABET = 28  # no letter, a to z, any other letter
 _HIDDEN = re.compile(r"[^a-zÀ-\U0010ffff]|(.)\1\1")
 _PARTS = re.compile(r"[-_'’/.,:;~]+")
-_SPACED = re.compile(rb"(?<![^ \t\n\r])[!-~](?:[ \t][!-~]){2,}(?![^ \t\n\r])")
+#: Single symbols with one or two white-space characters between, line breaks and no-break spaces among them.
+_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,2}\S){2,}(?!\S)")
+_EDGES = re.compile(r"^(?:(?![@$])[\W_])+|[\W_]+$")
 
 
 def letter(c: str) -> int:
@@ -151,7 +153,7 @@ class Decoder:
         while i < j and not t[i].isalnum() and not (t[i] in "@$!|+(" and i + 1 < j and t[i + 1].isalpha() and (i == 0 or t[i - 1] != t[i])):
             i += 1
         t = t[i:j]
-        if not any(c.isalpha() for c in t) and not (len(t) > 2 and len(t) < 16 and any(c in "@$!|+(" for c in t)):
+        if not any(c.isalpha() for c in t) and not (len(t) > 2 and len(t) < 16 and (any(c in "@$!|+(" for c in t) or all(c in LEET for c in t))):
             return []
         if not _HIDDEN.search(t):
             return [t]
@@ -160,20 +162,19 @@ class Decoder:
             return self.decode(" ".join(parts)).split()
         return [w for p in parts for w in ([p] if not _HIDDEN.search(p) else self.decode(p).split())]
 
-    def spaced(self, text: bytes) -> list[str]:
+    def spaced(self, text: str) -> list[str]:
         """Words of runs of single symbols with spaces between."""
         out = []
         for m in _SPACED.finditer(text):
-            run = re.sub(r"^[^a-z0-9@$]+|[^a-z0-9]+$", "", m[0].decode().lower().replace("\t", " "))
+            run = _EDGES.sub("", " ".join(m[0].lower().split()))
             if len(run) > 4:
                 out += self.decode(run).split()
         return out
 
     def restore_text(self, text: str) -> str:
         """A whole text with its tokens restored."""
-        raw = text.encode()
-        rest = _SPACED.sub(b" ", raw).decode()
-        return " ".join([*chain.from_iterable(map(self.restore, rest.split())), *self.spaced(raw)])
+        rest = _SPACED.sub(" ", text)
+        return " ".join([*chain.from_iterable(map(self.restore, rest.split())), *self.spaced(text)])
 
 
 class Restored:
@@ -206,7 +207,7 @@ def word_sets(docs: DataFrame, decoder: Decoder, extra: str) -> tuple:
         for t in text_chunks(batches, "text", CHUNK):
             r = Restored(decoder)
             for text, label in zip(_texts(t), t[extra].to_pylist(), strict=True):
-                yield label, {w for x in set(text.split()) for w in r.words(x)}.union(decoder.spaced(text))
+                yield label, {w for x in set(text.split()) for w in r.words(x)}.union(decoder.spaced(text.decode()))
 
     return (run,)
 
@@ -314,7 +315,7 @@ def score(docs: DataFrame, decoder: Decoder, intercept: float, weights: dict[str
             hits = []
             for text, words in zip(texts, split, strict=True):
                 found = {w for x in hot.keys() & words for w in hot[x]} if hot else set()
-                found.update(w for w in decoder.spaced(text) if w in weights)
+                found.update(w for w in decoder.spaced(text.decode()) if w in weights)
                 hits.append(sorted(found))
             s = [1 / (1 + math.exp(-max(-700.0, min(700.0, intercept + sum(weights[w] for w in h))))) for h in hits]
             out = pa.table({"doc_id": t["doc_id"], "held_out": t["held_out"], "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], pa.int32()), "hits": pa.array(hits, pa.list_(pa.string()))})

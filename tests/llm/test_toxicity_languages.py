@@ -3,7 +3,9 @@
 import zlib
 
 import numpy as np
+import pytest
 
+from loomtext.catalog import table
 from loomtext.llm import toxicity as tx
 
 
@@ -33,3 +35,24 @@ def test_sparse_newton_is_at_the_optimum():
     w = tx.logistic(row, col, 6, y, n)
     p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
     assert np.abs(x.T @ (n * (y - p)) - tx.RIDGE * w[1:]).max() < 1e-6 and abs((n * (y - p)).sum()) < 1e-4
+
+
+@pytest.fixture(scope="module")
+def decoder(spark):
+    return tx.Decoder(tx.trigrams(table(spark, "/root/testdata/sf0.01", "documents")))
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "\n", "\r\n", "\u00a0", "\t "])
+@pytest.mark.parametrize("word", ["réeuxment", "idiot"])
+def test_spaced_words_of_any_letters_and_gaps(decoder, word, gap):
+    assert decoder.spaced(f"before {gap.join(word)} after") == [word]
+    assert word in decoder.restore_text(f"before {gap.join(word)} after").split()
+
+
+def test_digits_that_all_stand_for_letters(decoder):
+    assert "".join(decoder.restore("1337")).isalpha()
+    assert decoder.restore("2026") == []
+
+
+def test_letters_at_the_ends_of_a_run_are_kept(decoder):
+    assert "".join(decoder.spaced("! é t é !")) == "été"
