@@ -3,13 +3,14 @@
 Each document has a 60-bit hash of its doc_id. A source whose target is t times its size takes every document
 floor(t) times and, once more, those whose hash lies below a threshold. The threshold comes from histograms of
 tokens by source and hash bucket: the bucket in which the rest of the budget ends is cut into finer buckets, and
-only its rows are read again, until it holds one hash. Nothing sorts the documents. Thresholds nest: with a
-larger budget a source keeps what it took before.
+only its rows are read again, until it holds one hash. Nothing sorts or shuffles the documents: what is known of
+their source, one row each, is broadcast to them if its bytes are below SOURCE_BYTES; beyond, rows meet it by a
+shuffle in which each source is salted. Thresholds nest: with a larger budget a source keeps what it took before.
 
 Defined results: a null or empty text has size 0 and is taken with 0 words; a null source is a source of its own,
 last in order; rows with the same doc_id (null ones too) share a hash and are taken or left together; the group
 at the threshold is taken when that brings the source nearer its target; an empty table gives an empty result;
-other columns are ignored by `mix` and kept by `mixed_documents`.
+other columns, whatever their names, are ignored by `mix` and kept by `mixed_documents`.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from loomtext.session import kept
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 HASH_BITS, STEP_BITS = 60, 12
+#: Bytes of names and numbers of all sources that are broadcast at most, and the parts of a source beyond.
+SOURCE_BYTES, SALTS = 16 << 20, 64
 
 
 def words(text: Column) -> Column:
@@ -54,22 +57,37 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     return s.withColumn("_target", F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(F.col("_weight") * rest)).select("_source", "_size", "_target")
 
 
+def small(sources: DataFrame) -> bool:
+    """Whether a table with a row for each source (_source) can be broadcast; its rows have few numbers besides."""
+    return (sources.agg(F.sum(F.coalesce(F.octet_length("_source"), F.lit(0)) + 64)).first()[0] or 0) <= SOURCE_BYTES
+
+
+def at_source(rows: DataFrame, sources: DataFrame, broadcast: bool) -> DataFrame:
+    """rows (_source, _hash or _bin, and others) with the columns of the row of sources that has their source; those without one go."""
+    s = sources.withColumnRenamed("_source", "_s")
+    if broadcast:
+        return rows.join(F.broadcast(s), rows["_source"].eqNullSafe(s["_s"])).drop("_s")
+    spread = F.pmod(F.col("_hash" if "_hash" in rows.columns else "_bin"), F.lit(SALTS)).cast("int")
+    rows, s = rows.withColumn("_salt", spread), s.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(s, rows["_source"].eqNullSafe(s["_s"]) & (rows["_salt"] == s["_part"])).drop("_s", "_salt", "_part")
+
+
 def thresholds(base: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """For each source of base (_source, _words, _hash): _size, _target, _times, and _edge and _edge_in: hashes below _edge are taken once more, that at _edge if _edge_in."""
     t = targets(base.groupBy("_source").agg(F.sum("_words").alias("_size")), weights, cap)
     times = F.when(F.col("_size") > 0, F.least(F.floor(F.col("_target") / F.col("_size")), F.lit(cap))).otherwise(F.lit(0)).cast("long")
     t = kept(t.withColumn("_times", times).withColumn("_rest", F.col("_target") - F.col("_times") * F.col("_size")))
+    few = small(t)
     state = t.select("_source", "_rest", F.lit(0).cast("long").alias("_below"), F.lit(0).cast("long").alias("_prefix"))
     done = None
     for bits in range(STEP_BITS, HASH_BITS + 1, STEP_BITS):
         # Rows of the bucket that is still open; at first that is all rows.
-        at = state.select(F.col("_source").alias("_s"), F.col("_prefix"))
-        same = base["_source"].eqNullSafe(at["_s"]) & (F.shiftright(base["_hash"], HASH_BITS - bits + STEP_BITS) == at["_prefix"])
-        rows = base if bits == STEP_BITS else base.join(at, same, "left_semi")
+        rows = base
+        if bits > STEP_BITS:
+            rows = at_source(base, state.select("_source", "_prefix"), few).where(F.shiftright("_hash", HASH_BITS - bits + STEP_BITS) == F.col("_prefix"))
         bins = rows.groupBy("_source", F.shiftright("_hash", HASH_BITS - bits).alias("_bin")).agg(F.sum("_words").alias("_w"), F.min("_hash").alias("_lo"), F.max("_hash").alias("_hi"))
         run = Window.partitionBy("_source").orderBy("_bin")
-        bins = bins.withColumn("_upto", F.sum("_w").over(run)).withColumnRenamed("_source", "_s")
-        found = bins.join(state, bins["_s"].eqNullSafe(state["_source"]))
+        found = at_source(bins.withColumn("_upto", F.sum("_w").over(run)), state, few)
         upto = F.col("_below") + F.col("_upto")
         edge = found.where((upto > F.col("_rest")) & (upto - F.col("_w") <= F.col("_rest")))
         edge = kept(edge.select("_source", "_rest", (upto - F.col("_w")).alias("_below"), F.col("_bin").alias("_prefix"), "_w", "_lo", "_hi"))
@@ -95,20 +113,27 @@ def _base(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
     return kept(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), words(F.col(text)).alias("_words"), doc_hash(F.col(doc_id)).alias("_hash")))
 
 
+def _sources(base: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, bool]:
+    t = kept(thresholds(base, weights))
+    return t, small(t)
+
+
 def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """For each document doc_id, size, source_size, target and taken (words that the mix takes of it, repeats counted)."""
     base = _base(docs, text, doc_id, source)
-    t = kept(thresholds(base, weights)).withColumnRenamed("_source", "_s")
-    out = base.join(t, base["_source"].eqNullSafe(t["_s"]))
+    out = at_source(base, *_sources(base, weights))
     return out.select(F.col("_id").alias("doc_id"), F.col("_words").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_words") * _times()).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mix itself: the rows of docs with all their columns, each as often as the mix takes it."""
-    t = kept(thresholds(_base(docs, text, doc_id, source), weights)).withColumnRenamed("_source", "_s")
-    out = docs.withColumn("_hash", doc_hash(F.col(doc_id))).join(t, docs[source].eqNullSafe(t["_s"]))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    col = lambda name: F.col(own[docs.columns.index(name)])
+    rows = docs.toDF(*own)
+    rows = rows.select(*own, col(source).alias("_source"), doc_hash(col(doc_id)).alias("_hash"))
+    out = at_source(rows, *_sources(_base(docs, text, doc_id, source), weights))
     out = out.withColumn("_n", _times()).where(F.col("_n") > 0)
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    return out.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_n")).select(*own).toDF(*docs.columns)
 
 
 SQL = r"""

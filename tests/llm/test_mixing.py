@@ -3,11 +3,11 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from loomtext.llm import mixing
 
@@ -80,14 +80,42 @@ def test_equals_sql(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-def test_mixed_documents_follow_the_mix(spark):
-    df = spark.createDataFrame([(d, t, s, i) for i, (d, t, s) in enumerate(rows(5))], "doc_id long, text string, source string, _n int")
+INNER = ["_n", "_hash", "_edge", "_s", "_source", "_times", "_salt", "c0"]
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_mixed_documents_follow_the_mix(spark, monkeypatch, broadcast):
+    """Each row as often as the mix says, with the values of all columns, also those that are named like inner ones."""
+    monkeypatch.setattr(mixing, "SOURCE_BYTES", broadcast)
+    data = [(*x, *(1000 * k + i for k in range(len(INNER)))) for i, x in enumerate(rows(5))]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in INNER)).repartition(3)
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
-    size = mixing.words(F.col("text"))
-    a = {r.source: r.n for r in out.groupBy("source").agg(F.sum(size).alias("n")).collect()}
-    taken = mixing.mix(df).agg(F.sum("taken")).first()[0]
-    assert sum(a.values()) == taken
+    got = Counter(map(tuple, out.collect()))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    taken = {(d, z, s): t // z for d, z, s, _, t in brute([x[:3] for x in data]) if z}
+    whole = {s: sum(size(x[1]) for x in data if x[2] == s) for s in {x[2] for x in data}}
+    for x in data:
+        if size(x[1]):
+            assert got[x] == taken[x[0], size(x[1]), whole[x[2]]]
+    assert set(got) <= set(data)
+
+
+def test_few_or_many_sources_alike(spark, monkeypatch):
+    df = spark.createDataFrame(rows(7), "doc_id long, text string, source string").repartition(3)
+    want = sorted(map(repr, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "SOURCE_BYTES", 0)
+    assert sorted(map(repr, mixing.mix(df).collect())) == want
+
+
+def test_documents_are_neither_broadcast_nor_shuffled(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = mixing.mixed_documents(spark.createDataFrame(rows(8), "doc_id long, text string, source string"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
 def test_empty_and_wordless(spark):
