@@ -15,7 +15,8 @@ asked for; no part has more than `min_words` lines, which bounds the rounds by i
 
 Defined results: null texts stay null, empty ones empty, with 0 lines; lines without words are in no run, and go with
 the line before them; rows equal in doc_id and text are one document (neither is a later copy of the other, both get
-the same result); null doc_ids come first; other columns are kept by `deduplicated`.
+the same result); null doc_ids come first; other columns, whatever their names, are kept by `deduplicated`, but for
+those named like its own results (n_lines, n_removed, removed), which these replace.
 """
 
 from __future__ import annotations
@@ -120,18 +121,21 @@ def deletions(docs: DataFrame, least: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with text without the lines that go, and n_lines (with words), n_removed and removed (their numbers among the lines with words)."""
-    own = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_hash", F.xxhash64(text))
-    gone = deletions(own.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), F.col(text).alias("text")), min_words)
-    # Always by sorted shuffles, which AQE splits where they are uneven: the list of documents grows with the corpus.
-    joined = own.join(gone.hint("merge"), own["_id"].eqNullSafe(gone["doc_id"]) & (own["_hash"] == gone["text_hash"]), "left").select(*(own[c] for c in docs.columns), F.col("gone").alias("_gone"))
     new = ["n_lines", "n_removed", "removed"]
-    keep = [c for c in docs.columns if c not in new]
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
+    names = [c for c in docs.columns if c not in new]
+    # Inner names, so that no column of docs clashes with those added here.
+    keep = [f"c{i}" for i in range(len(names))]
+    at, id_at = keep[names.index(text)], keep[names.index(doc_id)]
+    own = docs.select(*names).toDF(*keep).withColumn("_id", F.col(id_at).cast("long")).withColumn("_hash", F.xxhash64(at))
+    gone = deletions(own.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), F.col(at).alias("text")), min_words)
+    # Always by sorted shuffles, which AQE splits where they are uneven: the list of documents grows with the corpus.
+    joined = own.join(gone.hint("merge"), own["_id"].eqNullSafe(gone["doc_id"]) & (own["_hash"] == gone["text_hash"]), "left").select(*keep, F.col("gone").alias("_gone"))
+    schema = T.StructType([*own.select(*keep).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches, text, 4 << 20):
+        for t in text_chunks(batches, at, 4 << 20):
             texts, counts = [], []
-            for x, gone in zip(t[text].to_pylist(), t["_gone"].to_pylist(), strict=True):
+            for x, gone in zip(t[at].to_pylist(), t["_gone"].to_pylist(), strict=True):
                 if x is None:
                     texts.append(None)
                     counts.append(0)
@@ -146,19 +150,19 @@ def deduplicated(docs: DataFrame, *, min_words: int = MIN_WORDS, text: str = "te
                 texts.append("\n".join(stay) if leave else x)
                 counts.append(n)
             gone = t["_gone"].to_pylist()
-            out = t.select(keep).set_column(keep.index(text), text, pa.array(texts, t[text].type))
+            out = t.select(keep).set_column(keep.index(at), at, pa.array(texts, t[at].type))
             for name, values, kind in (("n_lines", counts, pa.int64()), ("n_removed", [len(g or ()) for g in gone], pa.int64()), ("removed", [g or [] for g in gone], pa.list_(pa.int32()))):
                 out = out.append_column(name, pa.array(values, kind))
             yield from out.to_batches(max_chunksize=10_000)
 
-    return joined.select(*keep, "_gone").mapInArrow(freeing(run), schema)
+    return joined.mapInArrow(freeing(run), schema).toDF(*names, *new)
 
 
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with their columns, texts deduplicated; those of which every line went are left out."""
-    out = deduplicated(docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns))), text=f"c{docs.columns.index(options.get('text', 'text'))}", doc_id=f"c{docs.columns.index(options.get('doc_id', 'doc_id'))}", min_words=options.get("min_words", MIN_WORDS))
-    out = out.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    out = deduplicated(docs.toDF(*own), text=own[docs.columns.index(text)], doc_id=own[docs.columns.index(doc_id)], min_words=min_words)
+    return out.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*own).toDF(*docs.columns)
 
 
 SQL = rf"""

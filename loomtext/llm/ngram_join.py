@@ -23,7 +23,8 @@ costs about m verifications, not m squared. No link between two classes goes uns
 
 Defined results: null and empty texts and texts without words have no shingles, n_shingles 0, and stand alone
 (component_id is their own doc_id); repeated rows and texts with equal sets are linked; null doc_ids are never a
-component's name unless all of its members have null; other columns are ignored by `linked` and kept by `one_of_each`.
+component's name unless all of its members have null; other columns, whatever their names, are ignored by `linked` and
+kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -376,22 +377,22 @@ def linked(docs: DataFrame, sim: Similarity = Similarity(), *, text: str = "text
 
 def one_of_each(docs: DataFrame, sim: Similarity, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without those that a link path joins to one with a smaller doc_id (null last; then by the key of the set); of rows alike in both, one stays. Texts without words all stay."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    p, _ = _with_labels(rows, sim)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at, id_at = names[docs.columns.index(text)], names[docs.columns.index(doc_id)]
+    inner = docs.toDF(*names)
+    p, _ = _with_labels(inner.select(F.col(id_at).cast("long").alias("doc_id"), F.col(at).alias("text")), sim)
     best = p.where("key is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("b"))
     best = kept(best.select(F.col("b.key").alias("_key"), F.col("b.doc_id").alias("_id")))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())])
+    schema = T.StructType([*inner.schema.fields, T.StructField("_set", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches, text):
-            keys = [set_key(s) if len(s) else None for s in shingle_sets(t[text], sim.words)]
+        for t in text_chunks(batches, at):
+            keys = [set_key(s) if len(s) else None for s in shingle_sets(t[at], sim.words)]
             yield from t.append_column("_set", pa.array(keys, pa.int64())).to_batches()
 
-    own = docs.mapInArrow(freeing(run), schema)
-    stay = own.join(best, (own["_set"] == best["_key"]) & own[doc_id].cast("long").eqNullSafe(best["_id"]), "left_semi")
-    return stay.dropDuplicates(["_set", doc_id]).unionByName(own.where("_set is null")).drop("_set")
-
-
+    own = inner.mapInArrow(freeing(run), schema)
+    stay = own.join(best, (own["_set"] == best["_key"]) & own[id_at].cast("long").eqNullSafe(best["_id"]), "left_semi")
+    return stay.dropDuplicates(["_set", id_at]).unionByName(own.where("_set is null")).drop("_set").toDF(*docs.columns)
 
 
 SQL = r"""

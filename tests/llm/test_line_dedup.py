@@ -75,3 +75,19 @@ def test_without_repeats_keeps_columns_and_drops_copies(spark):
 
 def test_empty_table(spark):
     assert ld.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_named_like_inner_ones_keep_their_values(spark):
+    """_id, _hash, _gone, gone, text_hash, p and c0 are the operator's own names; an input's n_lines is replaced."""
+    inner = ["_id", "_hash", "_gone", "gone", "text_hash", "p", "c0", "c1"]
+    text = "\n".join(f"line {i} with a few words" for i in range(10))
+    rows = [(i, t, *(100 * k + i for k in range(len(inner))), -1) for i, t in enumerate([text, text, None, "", "short", text + "\nmore"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in inner) + ", n_lines int")
+    out = ld.deduplicated(df)
+    assert out.columns == ["doc_id", "text", *inner, "n_lines", "n_removed", "removed"]
+    got = {r[0]: r for r in out.collect()}
+    for x in rows:
+        assert tuple(got[x[0]][2:-3]) == x[2:-1]
+    assert [got[i]["n_lines"] for i in range(6)] == [10, 10, 0, 0, 1, 11]
+    kept = {tuple(r) for r in ld.without_repeats(df).collect()}
+    assert kept == {rows[0], rows[2], rows[3], rows[4], (5, "more", *rows[5][2:])}

@@ -120,3 +120,17 @@ def test_components(spark):
     assert set(got) == set(parent)
     pairs = {(got[n], root(n)) for n in got}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_one_of_each_keeps_values_of_any_column(spark):
+    """_set, _key, _id, label, key and c0 are the operator's own names; of rows alike in id and text one stays."""
+    inner = ["_set", "_key", "_id", "label", "key", "c0", "node"]
+    text = " ".join(f"w{i}" for i in range(40))
+    texts = [(3, text), (1, text), (1, text), (7, text + " w1"), (8, "quite other words that link with nothing at all"), (9, None), (9, ""), (None, " "), (None, text), (11, "x")]
+    rows = [(d, t, *(100 * k + i for k in range(len(inner)))) for i, (d, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in inner)).repartition(3)
+    out = nj.one_of_each(df, nj.Similarity(words=5, num=80, den=100))
+    assert out.columns == df.columns
+    got = {tuple(r) for r in out.collect()}
+    assert got <= set(rows) and len(got) == 6
+    assert {r[:2] for r in got} == {(1, text), *((d, t) for d, t in texts[4:] if t != text)}
