@@ -153,7 +153,7 @@ class Decoder:
         while i < j and not t[i].isalnum() and not (t[i] in "@$!|+(" and i + 1 < j and t[i + 1].isalpha() and (i == 0 or t[i - 1] != t[i])):
             i += 1
         t = t[i:j]
-        if not any(c.isalpha() for c in t) and not (len(t) > 2 and len(t) < 16 and (any(c in "@$!|+(" for c in t) or all(c in LEET for c in t))):
+        if not any(c.isalpha() for c in t) and not (len(t) > 2 and (any(c in "@$!|+(" for c in t) or all(c in LEET for c in t))):
             return []
         if not _HIDDEN.search(t):
             return [t]
