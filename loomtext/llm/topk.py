@@ -1,11 +1,18 @@
 """Exact top-k inner products: ball trees over shards, branch and bound.
 
 Queries are written to the shared folder in blocks, each with a floor: the k-th best score within a bounded sample of
-all vectors, which no k-th best score overall is below. A task reads its vectors in shards, builds a ball tree over
-each, and for every block visits the leaves in descending order of their bound (query times centre plus length of
-the query times radius, at most that of every node above) until the bound falls below the current k-th score. That
-score starts at the floor and is shared by all shards of the task. Tasks report what reaches it, so few rows go on,
-and the best k of each query are taken from them. Work is the stated query set against all rows, in blocks.
+all vectors, which no k-th best score overall is below. A task reads its vectors in shards and builds a ball tree over
+each. For every block each query takes the leaves in descending order of their bound, one, two, four and so on at a
+time, until the bound falls below its current k-th score; the queries that take a leaf in one turn meet it in one matrix
+product. That score starts at the floor and is shared by all shards of the task. Tasks report what reaches it, so few
+rows go on, and the best k of each query are taken from them. Work is the stated query set against all rows, in blocks.
+
+A node's bound is the smaller of two: query times centre plus length of the query times radius; and, with the rows
+split into their part along the centre's direction and the rest, the best part along times the query's own plus the
+length of the query's rest times that of the longest rest. Neither is above that of the nodes over it.
+
+A task holds HELD bytes of vectors at a time, whatever its partition; whole numbers are kept in single precision while
+that is exact.
 
 Defined results: vectors that are null or hold null, NaN or infinite components take no part, nor do rows with a null
 id; shorter vectors count as filled up with zeros; candidates with the query's own vec_id are its own row; equal ids
@@ -21,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,55 +36,63 @@ from loomtext.llm.common import freeing
 from loomtext.llm.files import read_file, write_file
 from loomtext.session import stored, workspace
 
-SHARD, LEAF, BLOCK, SAMPLE = 4096, 64, 2048, 2048
+SHARD, LEAF, BLOCK, SAMPLE, HELD, MEANS = 16_384, 64, 2048, 2048, 128 << 20, 8
 _MAX, _MIN = (1 << 63) - 1, -(1 << 63)
 
 
-def quantized(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def quantized(ids: pa.ChunkedArray | pa.Array, vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids and rows floor(256 * x) of the vectors that take part, as whole doubles."""
-    lists = vectors.to_pylist()
-    good, rows = [], []
-    for i, v in zip(ids.to_pylist(), lists, strict=True):
-        if i is None or v is None or any(x is None for x in v):
-            continue
-        a = np.asarray(v, np.float64)
-        if np.isfinite(a).all() and np.isfinite(a * 256).all():
-            good.append(i)
-            rows.append(np.floor(a * 256))
-    out = np.zeros((len(rows), max(map(len, rows), default=0)))
-    for r, row in zip(out, rows, strict=True):
-        r[: len(row)] = row
-    return np.array(good, np.int64), out
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    n = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0), np.int64)
+    values = np.asarray(vectors.flatten().cast(pa.float64()), float)  # null as NaN
+    with np.errstate(over="ignore", invalid="ignore"):
+        values = np.floor(values * 256)
+    row = np.repeat(np.arange(len(n)), n)
+    bad = np.bincount(row[~np.isfinite(values)], minlength=len(n)) > 0
+    good = ~bad & np.asarray(pc.is_valid(vectors)) & np.asarray(pc.is_valid(ids))
+    out = np.zeros((int(good.sum()), int(n[good].max(initial=0))))
+    use = good[row]
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out[(np.cumsum(good) - 1)[row[use]], place[use]] = values[use]
+    return np.asarray(ids.filter(pa.array(good)), np.int64), out
 
 
 def widened(a: np.ndarray, width: int) -> np.ndarray:
     return a if a.shape[1] >= width else np.pad(a, ((0, 0), (0, width - a.shape[1])))
 
 
-def scores(q: np.ndarray, x: np.ndarray):
-    """Exact integer products of rows of whole doubles: in doubles if they hold all sums, else in Python's integers."""
+def scores(q: np.ndarray, x: np.ndarray, peak: float | None = None):
+    """Exact integer products of rows of whole numbers: in single or double precision if that holds all sums, else in
+    Python's integers. peak is the largest product of two components, if known."""
     if not q.size or not x.size:
         return np.zeros((len(q), len(x)))
-    if np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
-        return q @ x.T
+    if peak is None:
+        peak = float(np.abs(q).max()) * float(np.abs(x).max())
+    if peak * q.shape[1] < 2.0**24:
+        return q.astype(np.float32) @ x.astype(np.float32, copy=False).T
+    if peak * q.shape[1] < 2.0**53:
+        return q @ x.T.astype(np.float64, copy=False)
     whole = lambda a: np.array([[int(v) for v in r] for r in a], object).reshape(a.shape)
     return whole(q) @ whole(x).T
 
 
 class BallTree:
-    """Nodes halve their rows along the line between two far points; bounds hold for all rows below a node."""
+    """Nodes part their rows by the nearer of two means, from two far points on; bounds hold for all rows below a node."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order, self.leaves, centres, radii, self.paths = np.arange(len(x)), [], [], [], []
+        order, self.leaves, nodes, self.paths = np.arange(len(x)), [], [], []
         stack: list[tuple[int, int, list[int]]] = [(0, len(x), [])] if len(x) else []
         while stack:
             a, b, path = stack.pop()
             rows = x[order[a:b]]
             centre = rows.mean(0)
             away = np.sqrt(((rows - centre) ** 2).sum(1))
-            path = [*path, len(centres)]
-            centres.append(centre)
-            radii.append(away.max())
+            path = [*path, len(nodes)]
+            size = np.sqrt(centre @ centre)
+            along = rows @ (centre / size) if size > 0 else np.zeros(len(rows))
+            rest = np.sqrt(np.maximum(0, (rows * rows).sum(1) - along * along))
+            nodes.append((centre, away.max(), size, along.min(), along.max(), rest.max()))
             if b - a <= LEAF or away.max() == 0:
                 # Rows that are all alike cannot be halved; they are one leaf, cut in parts.
                 for s in range(a, b, LEAF):
@@ -85,56 +101,91 @@ class BallTree:
                 continue
             p = rows[away.argmax()]
             q = rows[((rows - p) ** 2).sum(1).argmax()]
-            order[a:b] = order[a:b][np.argsort(rows @ (q - p), kind="stable")]
-            mid = (a + b) // 2
+            for _ in range(MEANS):
+                side = rows @ (q - p) > (q @ q - p @ p) / 2
+                if side.all() or not side.any():
+                    break
+                p, q = rows[~side].mean(0), rows[side].mean(0)
+            along = rows @ (q - p) - (q @ q - p @ p) / 2
+            order[a:b] = order[a:b][np.argsort(along, kind="stable")]
+            mid = a + int((along <= 0).sum())
+            if min(mid - a, b - mid) < (b - a) // 16:  # keeps the tree's depth a logarithm
+                mid = (a + b) // 2
             stack += [(a, mid, path), (mid, b, path)]
-        self.ids, self.x = ids[order], x[order]
-        self.centres, self.radii = np.array(centres), np.array(radii)
+        self.ids, self.peak = ids[order], float(np.abs(x).max(initial=0))
+        self.x = x[order].astype(np.float32 if self.peak < 2.0**24 else np.float64)
+        self.centres = np.array([n[0] for n in nodes])
+        self.radii, self.size, self.low, self.high, self.rest = (np.array([n[i] for n in nodes]) for i in range(1, 6))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """For each query and leaf, what no score below the leaf exceeds; a little above for rounding."""
-        length = np.sqrt((q * q).sum(1))
-        node = q @ self.centres.T + length[:, None] * self.radii
-        node += 1e-9 * (np.abs(node) + length[:, None] * (np.sqrt((self.centres**2).sum(1)) + self.radii)) + 1e-6
-        return np.stack([node[:, p].min(1) for p in self.paths], 1)
+        length, inner = np.sqrt((q * q).sum(1)), q @ self.centres.T
+        node = inner + length[:, None] * self.radii
+        own = inner / np.where(self.size > 0, self.size, 1)
+        split = np.maximum(own * self.low, own * self.high) + np.sqrt(np.maximum(0, (length**2)[:, None] - own**2)) * self.rest
+        slack = 1e-9 * length[:, None] * (self.size + self.radii + self.rest + np.abs(self.low) + np.abs(self.high)) + 1e-6
+        # The rest of a query along a centre loses half of its digits at most.
+        node = np.minimum(node, split + 1e-6 * length[:, None] * self.rest) + slack
+        out = np.empty((len(q), len(self.paths)))
+        for i, p in enumerate(self.paths):
+            out[:, i] = node[:, p].min(1)
+        return out
 
 
 class Best:
-    """The best k (score, smaller id first) of a query so far, and the score that a row must reach."""
-
-    def __init__(self, k: int, floor: float):
-        self.k, self.heap, self.floor = k, [], floor
-
-    def reach(self):
-        return max(self.floor, self.heap[0][0]) if len(self.heap) == self.k else self.floor
-
-    def offer(self, score, vec_id: int) -> None:
-        entry = (score, -vec_id)
-        if len(self.heap) < self.k:
-            heapq.heappush(self.heap, entry)
-        elif entry > self.heap[0]:
-            heapq.heapreplace(self.heap, entry)
-
-
-def search(tree: BallTree, q_ids: np.ndarray, q: np.ndarray, best: list[Best]) -> None:
+    """The best k (score, smaller id first) of each query of a block so far, and `reach`, below which no row counts."""
+
+    def __init__(self, k: int, ids: np.ndarray, floors: np.ndarray):
+        self.k, self.ids, self.heaps, self.reach = k, ids.tolist(), [[] for _ in ids], floors.copy()
+
+    def offer(self, query: int, score, vec_id: int) -> None:
+        heap, entry = self.heaps[query], (score, -vec_id)
+        if len(heap) < self.k:
+            heapq.heappush(heap, entry)
+        elif entry > heap[0]:
+            heapq.heapreplace(heap, entry)
+        else:
+            return
+        if len(heap) == self.k:
+            # Doubles below 2**53 are exact; a larger score's is surely low enough.
+            low = float(heap[0][0])
+            self.reach[query] = max(self.reach[query], low if abs(low) < 2.0**53 else np.nextafter(low, -np.inf))
+
+
+def search(tree: BallTree, q: np.ndarray, best: Best) -> int:
+    """Offers what the tree has for a block of queries; returns how many products were computed."""
     if not tree.leaves:
-        return
+        return 0
     width = max(q.shape[1], tree.x.shape[1])
     q = widened(q, width)
     if tree.x.shape[1] < width:
         tree.x, tree.centres = widened(tree.x, width), widened(tree.centres, width)
+    peak = float(np.abs(q).max(initial=0)) * tree.peak
     bound = tree.bounds(q)
-    for i, order in enumerate(np.argsort(-bound, axis=1)):
-        b = best[i]
-        for leaf in order.tolist():
-            if bound[i, leaf] < b.reach():
-                break
-            s, e = tree.leaves[leaf]
-            got = scores(q[i : i + 1], tree.x[s:e])[0]
-            ids = tree.ids[s:e]
-            near = np.flatnonzero((got >= b.reach()) & (ids != q_ids[i]))
-            for j in near.tolist():
-                b.offer(got[j], int(ids[j]))
+    order = np.argsort(-bound, axis=1)
+    at, turn, computed = 0, 1, 0
+    while at < len(tree.leaves):
+        part = order[:, at : at + turn]
+        query, place = np.nonzero(np.take_along_axis(bound, part, 1) >= best.reach[:, None])
+        if not len(query):
+            break  # bounds only fall from here on
+        leaf = part[query, place]
+        sort = np.argsort(leaf, kind="stable")
+        leaf, query = leaf[sort], query[sort]
+        cuts = np.flatnonzero(np.diff(leaf, prepend=-1)).tolist()
+        for a, z in zip(cuts, [*cuts[1:], len(leaf)], strict=True):
+            s, e = tree.leaves[leaf[a]]
+            rows = query[a:z]
+            rows = rows[bound[rows, leaf[a]] >= best.reach[rows]]
+            got = scores(q[rows], tree.x[s:e], peak)
+            computed += got.size
+            for i, j in zip(*(x.tolist() for x in np.nonzero(got >= best.reach[rows][:, None])), strict=True):
+                n, vec_id = int(rows[i]), int(tree.ids[s + j])
+                if vec_id != best.ids[n]:
+                    best.offer(n, got[i, j], vec_id)
+        at += turn
+        turn *= 2
+    return computed
 
 
 def _save(**arrays: np.ndarray) -> bytes:
@@ -159,19 +210,17 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, vec_id: str = "vec
 
         def flush() -> pa.RecordBatch | None:
             nonlocal n, held
-            t = pa.Table.from_batches(held).combine_chunks()
+            t = pa.Table.from_batches(held)
             held = []
             ids, q = quantized(t["vec_id"], t["vector"])
             if not len(ids):
                 return None
             width = max(q.shape[1], s_x.shape[1])
             got = scores(widened(q, width), widened(s_x, width))
-            floors = np.full(len(ids), -np.inf)
-            for i, own in enumerate(ids):
-                # Doubles below 2**53 are exact; larger scores get a floor that is surely low enough.
-                s = sorted((float(v) for v in got[i][s_ids != own]), reverse=True)
-                if len(s) >= k:
-                    floors[i] = s[k - 1] if abs(s[k - 1]) < 2.0**53 else np.nextafter(s[k - 1], -np.inf)
+            if got.dtype == object:  # floats of integers beyond 2**53, surely low enough
+                got = np.nextafter(got.astype(float), -np.inf)
+            got = np.where(s_ids[None, :] == ids[:, None], -np.inf, got)
+            floors = -np.partition(-got, k - 1, axis=1)[:, k - 1] if len(s_ids) >= k else np.full(len(ids), -np.inf)
             path = f"{folder}/block-{part:06d}-{n:06d}"
             write_file(path, _save(ids=ids, q=q, floors=floors))
             n += 1
@@ -193,31 +242,37 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, vec_id: str = "vec
     paths = [r.path for r in stored(queries.mapInArrow(freeing(write), "path string"), "query-blocks").orderBy("path").collect()]  # one for BLOCK queries
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The trees of the task's own rows stay in memory, and one block of queries at a time.
+        # HELD bytes of trees stay in memory, and one block of queries at a time.
         trees, held, size = [], [], 0
 
         def build() -> None:
             nonlocal held, size
-            t = pa.Table.from_batches(held).combine_chunks()
+            t = pa.Table.from_batches(held)
             held, size = [], 0
             trees.append(BallTree(*quantized(t["vec_id"], t["vector"])))
 
+        def answers() -> Iterator[pa.RecordBatch]:
+            for p in paths if trees else ():
+                f = np.load(io.BytesIO(read_file(p)))
+                best = Best(k, f["ids"], f["floors"])
+                for tree in trees:
+                    search(tree, f["q"], best)
+                out = [(p, n, i, -e[1], str(int(e[0]))) for n, (i, heap) in enumerate(zip(best.ids, best.heaps, strict=True)) for e in heap]
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                yield from pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["block", "number", "query_id", "vec_id", "exact"]).to_batches(max_chunksize=50_000)
+            trees.clear()
+
         for b in batches:
             for at in range(0, b.num_rows, SHARD):
                 held.append(b.slice(at, SHARD))
                 size += held[-1].num_rows
                 if size >= SHARD:
                     build()
+                    if sum(t.x.nbytes for t in trees) >= HELD:
+                        yield from answers()
         if held:
             build()
-        for p in paths if trees else ():
-            f = np.load(io.BytesIO(read_file(p)))
-            ids, q, best = f["ids"], f["q"], [Best(k, x) for x in f["floors"].tolist()]
-            for tree in trees:
-                search(tree, ids, q, best)
-            out = [(p, n, i, -e[1], str(int(e[0]))) for n, (i, b) in enumerate(zip(ids.tolist(), best, strict=True)) for e in b.heap]
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            yield from pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["block", "number", "query_id", "vec_id", "exact"]).to_batches(max_chunksize=50_000)
+        yield from answers()
 
     found = rows.mapInArrow(freeing(scan), "block string, number int, query_id long, vec_id long, exact string")
     # Scores of any size in order: as decimals of 38 digits, which hold products far beyond a long.
