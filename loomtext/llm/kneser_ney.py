@@ -1,21 +1,26 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by the workers that score.
 
-Tokens are words (A-Z as a-z) and one end for each text; a text's first context is a begin mark. Counting sums
-within partitions first, then by hash buckets of the pair, so a frequent word spreads over all buckets; a second
-step brings the buckets' sums for each word together, by ranges of its hash. Both write sorted hash arrays to the
-shared folder, which workers map into memory: nothing of the corpus goes to the driver but one row of totals for
-each bucket. A word is known by 64 bits of hash, in pairs by the upper 32 of them (of n distinct words, about
-n / 2**32 share a code with another one, and their pair counts).
+Tokens are words (A-Z as a-z) and one end for each text; a text's first context is a begin mark. A first count finds
+the words, known by 64 bits of hash, and numbers them; a pair is then the exact numbers of its words. Counts are summed
+within partitions first, then by hash buckets of the pair, so a frequent word spreads over all buckets; a last step
+brings the buckets' sums for each word together, by ranges of its number. All write sorted hash arrays, or arrays by
+number, to the shared folder, which workers map into memory. Of the corpus, the driver gets the number of words in each
+of WORD_FILES files at most, and one row of totals.
 
-The order is two: at the tool's disk limit of 4 times the input, the distinct triples of the corpus would take
-more than that in shuffle files alone.
+To score, a chunk of texts asks for its distinct pairs: they are shuffled to the buckets that hold them, each of which
+maps its file once and sends the counts back to the chunk, under a hash of the chunk's pairs. Should the chunks be cut
+otherwise when the texts are read again, they look their pairs up themselves.
+
+The order is two, see the README: at the tool's disk limit of 4 times the input, order three takes more.
 
 Defined results: null texts count as empty; each text has its end token; rows with null doc_id train; repeated rows
 count each time and score alike; with an empty training set each token has probability 1; other columns are ignored.
+More than 2**32 - 2 distinct words raise an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Iterable, Iterator
@@ -31,10 +36,10 @@ from loomtext.llm.common import column_bytes, freeing, mix64, packed, text_chunk
 from loomtext.llm.files import local_path, read_file, write_file
 from loomtext.session import workspace
 
-BEGIN, END = np.uint64(0xB5297A4D1B56C4E9), np.uint64(0x68E31DA4C2B2AE3D)
-#: Texts of a task that are counted together, and bytes of text for each bucket.
+END = np.uint64(0x68E31DA4C2B2AE3D)
+#: Bytes of texts of a task that are counted together, and of text for each bucket.
 GATHER, BUCKET = 16 << 20, 8 << 20
-LEAST_BUCKETS = 48
+LEAST_BUCKETS, WORD_FILES = 48, 16_384
 _32 = np.uint64(32)
 
 
@@ -43,19 +48,14 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def token_pairs(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, of the token before each, and the n + 1 offsets of the texts."""
+def token_hashes(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and the n + 1 offsets of the texts."""
     words, offsets = word_hashes(*column_bytes(col))
-    seq = np.insert(words, offsets[1:], END)
-    offsets = offsets + np.arange(len(offsets))
-    before = np.empty_like(seq)
-    before[1:] = seq[:-1]
-    before[offsets[:-1]] = BEGIN
-    return seq, before, offsets
+    return np.insert(words, offsets[1:], END), offsets + np.arange(len(offsets))
 
 
-def pair_keys(before: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    return (before >> _32 << _32) | (seq >> _32)
+def pair_keys(before: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return before.astype(np.uint64) << _32 | number.astype(np.uint64)
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -141,11 +141,11 @@ def _arrays(data: np.ndarray) -> dict[str, np.ndarray]:
     return {k: data[8 + size + at : 8 + size + at + n * np.dtype(t).itemsize].view(t) for k, (t, n, at) in json.loads(bytes(data[8 : 8 + size])).items()}
 
 
-def load_arrays(path: str) -> dict[str, np.ndarray]:
-    """The sorted arrays of a file: mapped, or read where the shared folder is not a file system that Python sees."""
-    if local_path(path) is not None:
-        return _mapped(path)
-    return _arrays(np.frombuffer(read_file(path), np.uint8))
+def load_arrays(path: str, keep: bool = True) -> dict[str, np.ndarray]:
+    """The arrays of a file: mapped (and kept so for the next call), or read where the shared folder is not a file system that Python sees."""
+    if local_path(path) is None:
+        return _arrays(np.frombuffer(read_file(path), np.uint8))
+    return _mapped(path) if keep else _mapped.__wrapped__(path)
 
 
 def found(keys: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,16 +157,55 @@ def found(keys: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class Model:
+class Vocabulary:
+    """The words of a corpus by ranges of their hash, one file each; a word's number is its file's base and its place there."""
+
     path: str
-    buckets: int
+    bases: tuple[int, ...]
     tokens: int
     distinct: int
+
+    def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (-1 if unknown) and counts of sorted distinct word hashes."""
+        number, count = np.full(len(w), -1), np.zeros(len(w), np.int64)
+        for b, a, z in _runs(word_bucket(w >> _32, len(self.bases))):
+            try:
+                f = load_arrays(f"{self.path}/words-{b:06d}")
+            except FileNotFoundError:  # no training word fell there
+                continue
+            at, ok = found(f["words"], w[a:z])
+            number[a:z] = np.where(ok, at + self.bases[b], -1)
+            count[a:z] = np.where(ok, f["counts"][at], 0)
+        return number, count
+
+    def tokens_of(self, col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number and count of each token, the number of the token before (`distinct` for the begin mark), and the offsets of the texts."""
+        seq, offsets = token_hashes(col)
+        w, place = np.unique(seq, return_inverse=True)
+        number, count = (x[place] for x in self.find(w))
+        before = np.empty_like(number)
+        before[1:] = number[:-1]
+        before[offsets[:-1]] = self.distinct
+        return number, count, before, offsets
+
+
+@dataclass(frozen=True)
+class Model:
+    vocabulary: Vocabulary
+    buckets: int
     types: int
     discounts: tuple[float, float, float]
     lower_discounts: tuple[float, float, float]
     lower_left: float
 
+    @property
+    def path(self) -> str:
+        return self.vocabulary.path
+
+    @property
+    def tokens(self) -> int:
+        return self.vocabulary.tokens
+
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """From the numbers of keys with counts 1 to 4; halves of the counts where there are too few to tell."""
@@ -181,71 +220,114 @@ def _count_of_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, 5), minlength=6)[1:5]
 
 
-def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Model:
-    """Counts all texts of docs; the model's files are below path, in the shared folder if None."""
-    spark = docs.sparkSession
-    path = path or workspace(spark, "kneser-ney")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(LEAST_BUCKETS, -(-size // BUCKET))
+def _least(x: np.ndarray) -> np.ndarray:
+    """x in as few bytes as hold its largest value."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def by_bucket(rows: DataFrame, n: int) -> DataFrame:
+    """rows shuffled by bucket into as many tasks as there are buckets: more of them for a larger corpus, not larger ones."""
+    return rows.repartition(n, "bucket").groupBy("bucket")
+
+
+def vocabulary(docs: DataFrame, path: str, n: int) -> Vocabulary:
+    """Counts the words of docs (text) into n files."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seqs, keys, held = [], [], 0
+        seqs, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seqs, keys, held
+            nonlocal seqs, held
             w, c = counted(np.concatenate(seqs))
-            rows = list(split_rows("word", w, [c], word_bucket(w >> _32, n), 8))
-            w, c = counted(np.concatenate(keys))
-            rows += split_rows("pair", w, [c], pair_bucket(w, n), 8)
-            seqs, keys, held = [], [], 0
-            return sent_batch(rows)
+            seqs, held = [], 0
+            return sent_batch(list(split_rows("word", w, [c], word_bucket(w >> _32, n), 8)))
 
         for t in text_chunks(batches, "text"):
-            seq, before, _ = token_pairs(t["text"])
-            seqs.append(seq)
-            keys.append(pair_keys(before, seq))
+            seqs.append(token_hashes(t["text"])[0])
             held += t["text"].nbytes
             if held >= GATHER:
                 yield flush()
         if seqs:
             yield flush()
 
+    def words(key: tuple, t: pa.Table) -> pa.Table:
+        w, c = gathered(t, "word", 1, 8)
+        write_file(f"{path}/words-{key[0].as_py():06d}", arrays_to_bytes(words=w, counts=_least(c)))
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "distinct": pa.array([len(w)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
+
+    sizes = np.zeros(n, np.int64)
+    tokens = 0
+    for r in by_bucket(docs.mapInArrow(freeing(count), SENT_DDL), n).applyInArrow(freeing(words), "bucket int, distinct long, tokens long").collect():  # WORD_FILES rows at most
+        sizes[r.bucket] = r.distinct
+        tokens += r.tokens
+    return Vocabulary(path, tuple((np.cumsum(sizes) - sizes).tolist()), tokens, int(sizes.sum()))
+
+
+def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Model:
+    """Counts all texts of docs; the model's files are below path, in the shared folder if None."""
+    docs = docs.select(F.col(text).alias("text"))
+    path = path or workspace(docs.sparkSession, "kneser-ney")
+    n = max(LEAST_BUCKETS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
+    voc = vocabulary(docs, path, min(n, WORD_FILES))
+    all_numbers, ranges = voc.distinct + 1, len(voc.bases)
+    if all_numbers >= 1 << 32:
+        raise ValueError(f"{voc.distinct} distinct words; numbers of pairs have 32 bits for each")
+    number_bucket = lambda x: x.astype(np.uint64) * np.uint64(ranges) // np.uint64(all_numbers)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal keys, held
+            k, c = counted(np.concatenate(keys))
+            keys, held = [], 0
+            return sent_batch(list(split_rows("pair", k, [c], pair_bucket(k, n), 8)))
+
+        for t in text_chunks(batches, "text"):
+            number, _, before, _ = voc.tokens_of(t["text"])
+            keys.append(pair_keys(before, number))
+            held += t["text"].nbytes
+            if held >= GATHER:
+                yield flush()
+        if keys:
+            yield flush()
+
     def pairs(key: tuple, t: pa.Table) -> pa.Table:
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        if kind == "word":
-            w, c = gathered(t, "word", 1, 8)
-            rows = [("word", bucket, packed(w), [_numbers(c)])]
-        else:
-            k, c = gathered(t, "pair", 1, 8)
-            write_file(f"{path}/pairs-{bucket:06d}", arrays_to_bytes(keys=k, counts=c.astype(np.uint32 if not len(c) or c.max() < 1 << 32 else np.uint64)))
-            ones = np.ones(len(k), np.int64)
-            # Contexts: tokens after them, and how many of the distinct ones came once, twice and more often.
-            w, *sums = summed((k >> _32).astype(np.uint32), c, c == 1, c == 2, c > 2)
-            rows = list(split_rows("context", w, sums, word_bucket(w, n), 4))
-            w, types = summed((k & np.uint64(0xFFFFFFFF)).astype(np.uint32), ones)
-            rows += split_rows("after", w, [types], word_bucket(w, n), 4)
-            rows.append(("total", bucket, b"", [_numbers(_count_of_counts(c))]))
+        bucket = key[0].as_py()
+        k, c = gathered(t, "pair", 1, 8)
+        write_file(f"{path}/pairs-{bucket:06d}", arrays_to_bytes(keys=k, counts=_least(c)))
+        # Contexts: tokens after them, and how many of the distinct ones came once, twice and more often.
+        w, *sums = summed(k >> _32, c, c == 1, c == 2, c > 2)
+        rows = list(split_rows("context", w, sums, number_bucket(w), 8))
+        w, types = counted(k & np.uint64(0xFFFFFFFF))
+        rows += split_rows("after", w, [types], number_bucket(w), 8)
+        rows.append(("total", bucket % ranges, b"", [_numbers(_count_of_counts(c))]))
         return pa.Table.from_batches([sent_batch(rows)])
 
-    def words(key: tuple, t: pa.Table) -> pa.Table:
+    def lower(key: tuple, t: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        w, c = gathered(t, "word", 1, 8)
-        ctx, *sums = gathered(t, "context", 4, 4)
-        after, types = gathered(t, "after", 1, 4)
-        write_file(f"{path}/words-{bucket:06d}", arrays_to_bytes(words=w, counts=c, contexts=ctx, after_sum=sums[0], once=sums[1], twice=sums[2], more=sums[3], after=after, types=types))
+        low, high = -(-bucket * all_numbers // ranges), -(-(bucket + 1) * all_numbers // ranges)
+        out = np.zeros((5, high - low), np.int64)
+        w, *sums = gathered(t, "context", 4, 8)
+        out[:4, w.astype(np.int64) - low] = sums
+        w, types = gathered(t, "after", 1, 8)
+        out[4, w.astype(np.int64) - low] = types
+        write_file(f"{path}/lower-{bucket:06d}", arrays_to_bytes(**{k: _least(x) for k, x in zip(LOWER, out, strict=True)}))
         n_pairs = sum(_from_numbers(s[0], 4) for k, s in zip(t["kind"].to_pylist(), t["sums"].to_pylist(), strict=True) if k == "total") + np.zeros(4, np.int64)
-        row = [int(c.sum()), len(w), int(types.sum()), *n_pairs.tolist(), *_count_of_counts(types).tolist(), int((types > 2).sum())]
-        return pa.table({"totals": pa.array([row], pa.list_(pa.int64()))})
+        row = [int(types.sum()), *n_pairs.tolist(), *_count_of_counts(types).tolist(), int((types > 2).sum())]
+        return pa.table({f"n{i}": pa.array([x], pa.int64()) for i, x in enumerate(row)})
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(freeing(count), SENT_DDL)
-    by_pair = counts.groupBy("kind", "bucket").applyInArrow(freeing(pairs), SENT_DDL)
-    totals = [0] * 12
-    for r in by_pair.groupBy("bucket").applyInArrow(freeing(words), "totals array<long>").collect():  # one row for each bucket
-        totals = [a + b for a, b in zip(totals, r.totals, strict=True)]
-    tokens, distinct, types = totals[:3]
-    d = discounts(totals[7:11])
-    left = (d[0] * totals[7] + d[1] * totals[8] + d[2] * totals[11]) / types if types else 1.0
-    return Model(path, n, tokens, distinct, types, discounts(totals[3:7]), d, left)
+    sent = by_bucket(docs.mapInArrow(freeing(count), SENT_DDL), n).applyInArrow(freeing(pairs), SENT_DDL)
+    sums = by_bucket(sent, ranges).applyInArrow(freeing(lower), ", ".join(f"n{i} long" for i in range(10)))
+    types, *n_of, more = (x or 0 for x in sums.agg(*(F.sum(f"n{i}") for i in range(10))).first())
+    d = discounts(n_of[4:])
+    left = (d[0] * n_of[4] + d[1] * n_of[5] + d[2] * more) / types if types else 1.0
+    return Model(voc, n, types, discounts(n_of[:4]), d, left)
+
+
+#: Arrays of each word by number: tokens after it; distinct ones that came once, twice, more often; distinct ones before it.
+LOWER = ("total", "once", "twice", "more", "types")
 
 
 def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -256,70 +338,128 @@ class Scorer:
     def __init__(self, m: Model):
         self.m = m
 
-    def words(self, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For sorted distinct word hashes: count, lower-order probability, and as a context its sum and the weight left."""
-        m, n = self.m, len(w)
-        count, types, total, left = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n)
-        code = (w >> _32).astype(np.uint32)
-        d1, d2, d3 = m.discounts
-        for b, a, z in _runs(word_bucket(code, m.buckets)):
+    def words(self, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For sorted distinct numbers (-1: unknown): lower-order probability, and as a context its sum and the weight left."""
+        m, n, everything = self.m, len(number), self.m.vocabulary.distinct + 1
+        types, total, left = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n)
+        ranges, (d1, d2, d3) = len(m.vocabulary.bases), m.discounts
+        skip = int(np.searchsorted(number, 0))
+        for b, a, z in _runs(number[skip:].astype(np.uint64) * np.uint64(ranges) // np.uint64(everything)):
+            a, z = a + skip, z + skip
             try:
-                f = load_arrays(f"{m.path}/words-{b:06d}")
-            except FileNotFoundError:  # no training word fell there
+                f = load_arrays(f"{m.path}/lower-{b:06d}")
+            except FileNotFoundError:  # nothing was trained
                 continue
-            at, ok = found(f["words"], w[a:z])
-            count[a:z] = np.where(ok, f["counts"][at] if len(f["words"]) else 0, 0)
-            at, ok = found(f["after"], code[a:z])
-            types[a:z] = np.where(ok, f["types"][at] if len(f["after"]) else 0, 0)
-            at, ok = found(f["contexts"], code[a:z])
-            if ok.any():
-                sums = f["after_sum"][at]
-                total[a:z] = np.where(ok, sums, 0)
-                left[a:z] = np.where(ok, (d1 * f["once"][at] + d2 * f["twice"][at] + d3 * f["more"][at]) / sums, 1.0)
+            at = number[a:z] - -(-b * everything // ranges)
+            types[a:z], total[a:z] = f["types"][at], f["total"][at]
+            left[a:z] = np.where(total[a:z] > 0, (d1 * f["once"][at] + d2 * f["twice"][at] + d3 * f["more"][at]) / np.maximum(total[a:z], 1), 1.0)
         lower = _discounted(types, m.lower_discounts) / m.types if m.types else np.zeros(n)
-        return count, lower + m.lower_left / (m.distinct + 1), total, left
+        return lower + m.lower_left / everything, total, left
+
+    def bucket_counts(self, bucket: int, keys: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct pairs of one bucket."""
+        try:
+            f = load_arrays(f"{self.m.path}/pairs-{bucket:06d}")
+        except FileNotFoundError:
+            return np.zeros(len(keys), np.int64)
+        at, ok = found(f["keys"], keys)
+        return np.where(ok, f["counts"][at], 0).astype(np.int64)
+
+    def by_bucket(self, keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The order of sorted distinct pairs by bucket, and (bucket, from, to) of each bucket's part in it."""
+        bucket = pair_bucket(keys, self.m.buckets)
+        order = np.argsort(bucket, kind="stable")
+        return order, list(_runs(bucket[order]))
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pair keys."""
+    def pairs(self, keys: np.ndarray, replies: str | None = None) -> np.ndarray:
+        """Counts of sorted distinct pairs: as sent to their chunk, or looked up where there is no reply."""
+        order, parts = self.by_bucket(keys)
         out = np.zeros(len(keys), np.int64)
-        bucket = pair_bucket(keys, self.m.buckets)
-        order = np.argsort(bucket.astype(np.uint32), kind="stable")
-        query, got = keys[order], np.zeros(len(keys), np.int64)
-        for b, a, z in _runs(bucket[order]):
-            try:
-                f = load_arrays(f"{self.m.path}/pairs-{b:06d}")
-            except FileNotFoundError:
-                continue
-            at, ok = found(f["keys"], query[a:z])
-            if len(f["keys"]):
-                got[a:z] = np.where(ok, f["counts"][at], 0)
+        try:
+            if replies is None:
+                raise FileNotFoundError
+            got = load_arrays(reply_path(replies, chunk_name(keys)), keep=False)["counts"]
+        except FileNotFoundError:
+            got = np.concatenate([np.empty(0, np.int64), *(self.bucket_counts(b, keys[order[a:z]]) for b, a, z in parts)])
         out[order] = got
         return out
 
-    def texts(self, col: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    def asked(self, before: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens whose pair may have been seen, the distinct pairs of these, and the place of each among them."""
+        known = np.flatnonzero((before >= 0) & (number >= 0))
+        return known, *np.unique(pair_keys(before[known], number[known]), return_inverse=True)
+
+    def texts(self, col: pa.ChunkedArray, replies: str | None = None) -> tuple[np.ndarray, ...]:
         """For each text: tokens, known tokens, base score and score."""
         m = self.m
-        seq, before, offsets = token_pairs(col)
-        if len(offsets) == 1:
+        if not len(col):
             return (np.empty(0, np.int64),) * 2 + (np.empty(0),) * 2
-        w, place = np.unique(np.concatenate([[BEGIN], seq]), return_inverse=True)
-        count, lower, total, left = self.words(w)
-        begin, place = place[0], place[1:]
-        ctx = np.empty_like(place)
-        ctx[1:] = place[:-1]
-        ctx[offsets[:-1]] = begin
-        keys, pair = np.unique(pair_keys(before, seq), return_inverse=True)
-        high = _discounted(self.pairs(keys), m.discounts)[pair]
-        p = np.where(total[ctx] > 0, high / np.maximum(total[ctx], 1), 0.0) + left[ctx] * lower[place]
-        c = count[place]
-        base = np.log10((c + 1) / (m.tokens + m.distinct + 1))
+        number, c, before, offsets = m.vocabulary.tokens_of(col)
+        known, keys, place = self.asked(before, number)
+        high = np.zeros(len(number))
+        high[known] = _discounted(self.pairs(keys, replies), m.discounts)[place]
+        w, place = np.unique(np.concatenate([number, before]), return_inverse=True)
+        lower, total, left = self.words(w)
+        own, ctx = place[: len(number)], place[len(number) :]
+        p = np.where(total[ctx] > 0, high / np.maximum(total[ctx], 1), 0.0) + left[ctx] * lower[own]
+        base = np.log10((c + 1) / (m.tokens + m.vocabulary.distinct + 1))
         add = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: E731 - each text has a token, its end
         return np.diff(offsets), add((c > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def chunk_name(keys: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def reply_path(folder: str, chunk: int) -> str:
+    name = f"{chunk & (1 << 64) - 1:016x}"
+    return f"{folder}/{name[:2]}/{name}"
+
+
+def ask(docs: DataFrame, model: Model) -> str:
+    """Sends the distinct pairs of each chunk of docs (text) to the buckets that hold them, and the counts back; returns the folder of the replies."""
+    folder = workspace(docs.sparkSession, "kneser-ney-replies")
+    pa_rows = lambda rows, names, kinds: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+    names, kinds = ["chunk", "bucket", "data"], (pa.int64(), pa.int32(), pa.binary())
+
+    def requests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Scorer(model)
+        for t in text_chunks(batches, "text", GATHER):
+            number, _, before, _ = model.vocabulary.tokens_of(t["text"])
+            _, keys, _ = s.asked(before, number)
+            order, parts = s.by_bucket(keys)
+            chunk = chunk_name(keys)
+            yield pa_rows([(chunk, b, packed(keys[order[a:z]])) for b, a, z in parts], names, kinds)
+
+    def answers(key: tuple, t: pa.Table) -> pa.Table:
+        s, bucket = Scorer(model), key[0].as_py()
+        rows = [(c, bucket, _planes(s.bucket_counts(bucket, unpacked(d)))) for c, d in zip(t["chunk"].to_pylist(), t["data"].to_pylist(), strict=True)]
+        return pa.Table.from_batches([pa_rows(rows, names, kinds)])
+
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        # Chunks alike in all pairs have one name; one of their replies is enough.
+        parts = dict(zip(t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True))
+        counts = [_from_planes(parts[b]) for b in sorted(parts)]
+        write_file(reply_path(folder, key[0].as_py()), arrays_to_bytes(counts=_least(np.concatenate(counts))))
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64())})
+
+    sent = by_bucket(docs.select("text").mapInArrow(freeing(requests), "chunk long, bucket int, data binary"), model.buckets)
+    replies = sent.applyInArrow(freeing(answers), "chunk long, bucket int, data binary")
+    replies.groupBy("chunk").applyInArrow(freeing(gather), "chunk long").agg(F.count("*")).first()
+    return folder
+
+
 def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
     cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() if len(x) else []
-    for a, z in zip(cuts, [*cuts[1:], len(x)], strict=True):
+    for a, z in zip(cuts, [*cuts[1:], len(x)], strict=False):  # none of no keys
         yield int(x[a]), a, z
 
 
@@ -327,14 +467,16 @@ def score(docs: DataFrame, model: Model, *, held_out: Column, text: str = "text"
     """For each document doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())])
 
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    replies = ask(rows, model)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model)
-        for t in text_chunks(batches, "text"):
-            n, known, base, own = s.texts(t["text"])
+        for t in text_chunks(batches, "text", GATHER):
+            n, known, base, own = s.texts(t["text"], replies)
             columns = [t["doc_id"], t["held_out"], n, known, np.full(len(n), model.tokens), base, own, np.exp(-own / n * np.log(10))]
             yield from pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=schema).to_batches()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 

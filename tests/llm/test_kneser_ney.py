@@ -6,9 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomtext.llm import kneser_ney as kn
+from loomtext.llm.common import column_bytes, word_hashes
 
 
 def tokens(text):
@@ -63,6 +66,37 @@ def test_scores_equal_dictionaries(spark):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_words_that_share_half_of_their_hash_are_told_apart(spark):
+    """Two words whose hashes have the upper 32 bits in common (some do among 300,000) have pairs of their own."""
+    words = [f"w{i}" for i in range(300_000)]
+    h, _ = word_hashes(*column_bytes(pa.array([" ".join(words)])))
+    half = h >> np.uint64(32)
+    order = np.argsort(half)
+    twins = [(words[a], words[b]) for a, b in zip(order[:-1], order[1:]) if half[a] == half[b]]
+    assert twins
+    a, b = twins[0]
+    r = random.Random(1)
+    data = [(i, " ".join(r.choices([a, b, "the", "of"], [5, 1, 3, 3], k=20))) for i in range(60)]
+    got = sorted((tuple(x)[:7] for x in kn.train_and_score(spark.createDataFrame(data, "doc_id long, text string")).collect()))
+    for x, y in zip(got, sorted(brute(data)[0]), strict=True):
+        assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
+
+
+def test_replies_equal_lookups(spark):
+    """What the buckets send to a chunk is what the chunk finds by itself, and every chunk has a reply."""
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    model = kn.train(df.where("doc_id < 100"))
+    folder = kn.ask(df.coalesce(1), model)
+    col = pa.chunked_array([[r.text for r in df.coalesce(1).collect()]])
+    s = kn.Scorer(model)
+    number, _, before, _ = model.vocabulary.tokens_of(col)
+    _, keys, _ = s.asked(before, number)
+    assert kn.load_arrays(kn.reply_path(folder, kn.chunk_name(keys)))["counts"].sum() > 0
+    assert (s.pairs(keys, folder) == s.pairs(keys)).all() and (s.pairs(keys[::2], folder) == s.pairs(keys)[::2]).all()
+    for a, b in zip(s.texts(col, folder), s.texts(col), strict=True):
+        assert (a == b).all()
+
+
 def test_probabilities_sum_to_one():
     _, p, uni, total = brute(rows())
     for h in total:
