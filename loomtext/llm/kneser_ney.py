@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import column_bytes, freeing, mix64, packed, text_chunks, unpacked, word_hashes
 from loomtext.llm.files import local_path, read_file, write_file
-from loomtext.session import workspace
+from loomtext.session import shuffles_done, workspace
 
 END = np.uint64(0x68E31DA4C2B2AE3D)
-#: Bytes of texts of a task that are counted together, and of text for each bucket.
-GATHER, BUCKET = 16 << 20, 8 << 20
+#: Bytes of texts of a task that are counted together, that are scored together, and of text for each bucket.
+GATHER, CHUNK, BUCKET = 16 << 20, 4 << 20, 8 << 20
 LEAST_BUCKETS, WORD_FILES = 48, 16_384
 _32 = np.uint64(32)
 
@@ -270,6 +270,7 @@ def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Mo
     path = path or workspace(docs.sparkSession, "kneser-ney")
     n = max(LEAST_BUCKETS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
     voc = vocabulary(docs, path, min(n, WORD_FILES))
+    shuffles_done(docs.sparkSession)
     all_numbers, ranges = voc.distinct + 1, len(voc.bases)
     if all_numbers >= 1 << 32:
         raise ValueError(f"{voc.distinct} distinct words; numbers of pairs have 32 bits for each")
@@ -321,6 +322,8 @@ def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Mo
     sent = by_bucket(docs.mapInArrow(freeing(count), SENT_DDL), n).applyInArrow(freeing(pairs), SENT_DDL)
     sums = by_bucket(sent, ranges).applyInArrow(freeing(lower), ", ".join(f"n{i} long" for i in range(10)))
     types, *n_of, more = (x or 0 for x in sums.agg(*(F.sum(f"n{i}") for i in range(10))).first())
+    del sent, sums
+    shuffles_done(docs.sparkSession)
     d = discounts(n_of[4:])
     left = (d[0] * n_of[4] + d[1] * n_of[5] + d[2] * more) / types if types else 1.0
     return Model(voc, n, types, discounts(n_of[:4]), d, left)
@@ -432,7 +435,7 @@ def ask(docs: DataFrame, model: Model) -> str:
 
     def requests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model)
-        for t in text_chunks(batches, "text", GATHER):
+        for t in text_chunks(batches, "text", CHUNK):
             number, _, before, _ = model.vocabulary.tokens_of(t["text"])
             _, keys, _ = s.asked(before, number)
             order, parts = s.by_bucket(keys)
@@ -454,6 +457,8 @@ def ask(docs: DataFrame, model: Model) -> str:
     sent = by_bucket(docs.select("text").mapInArrow(freeing(requests), "chunk long, bucket int, data binary"), model.buckets)
     replies = sent.applyInArrow(freeing(answers), "chunk long, bucket int, data binary")
     replies.groupBy("chunk").applyInArrow(freeing(gather), "chunk long").agg(F.count("*")).first()
+    del sent, replies
+    shuffles_done(docs.sparkSession)
     return folder
 
 
@@ -472,7 +477,7 @@ def score(docs: DataFrame, model: Model, *, held_out: Column, text: str = "text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(model)
-        for t in text_chunks(batches, "text", GATHER):
+        for t in text_chunks(batches, "text", CHUNK):
             n, known, base, own = s.texts(t["text"], replies)
             columns = [t["doc_id"], t["held_out"], n, known, np.full(len(n), model.tokens), base, own, np.exp(-own / n * np.log(10))]
             yield from pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=schema).to_batches()
