@@ -14,7 +14,7 @@ from loomtext.functions.udf import scalar
 # Frequent words of each language; scripts that one language of the set has for itself.
 WORDS = {
     "eng": "the and of to in is that it was for on are with as his they be at this have from or by not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know",
-    "deu": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich ihr wir schnelle braune springt faulen hund fuchs",
+    "deu": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei ich ihr wir",
     "fra": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son les mais comme ou si leur y dont elle cette ces aux je nous vous être avoir été fait deux même aussi bien sans tout peut après",
     "spa": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde está mi porque qué sólo han yo hay vez puede todos así nos",
     "ita": "di e il la che in a per un è del della con non si da una le i dei nel alla al sono più come anche lo gli ha ma se delle ci o questo su suo dal nella stato essere fra tra loro hanno era dopo tutti quando molto",
@@ -28,7 +28,11 @@ WORDS = {
 }
 SCRIPTS = [("HIRAGANA", "jpn"), ("KATAKANA", "jpn"), ("HANGUL", "kor"), ("CJK", "cmn"), ("CYRILLIC", "rus"), ("ARABIC", "ara"), ("HEBREW", "heb"), ("GREEK", "ell"), ("THAI", "tha"), ("DEVANAGARI", "hin"), ("ARMENIAN", "hye"), ("GEORGIAN", "kat"), ("TAMIL", "tam"), ("BENGALI", "ben")]
 CODES = sorted({*WORDS, *(c for _, c in SCRIPTS)})
-_SETS = {k: frozenset(v.split()) for k, v in WORDS.items()}
+_SPEAKERS: dict[str, list[str]] = {}
+for _code, _words in WORDS.items():
+    for _word in dict.fromkeys(_words.split()):
+        _SPEAKERS.setdefault(_word, []).append(_code)
+_RUN = re.compile(r"[^\W\d_]+")
 _LETTERS = {"deu": "äöüß", "fra": "éèêàçùœ", "spa": "ñ¿¡áíóú", "por": "ãõç", "swe": "åäö", "dan": "æøå", "pol": "ąęłńśźżó", "tur": "ğşıç", "fin": "äö", "ita": "àèìòù"}
 
 
@@ -49,12 +53,12 @@ def ranked(text: str, only: frozenset[str] = frozenset(), ignore: frozenset[str]
             seen[code] = seen.get(code, 0) + (n * 10 if prefix in ("HIRAGANA", "KATAKANA") else n)
         return sorted(((c, n / total) for c, n in seen.items() if n and keep(c)), key=lambda x: (-x[1], x[0]))
     text = text.lower()
-    words = re.findall(r"[^\W\d_]+", text)
-    score = {}
-    for code, known in _SETS.items():
-        if keep(code):
-            marks = sum(text.count(c) for c in _LETTERS.get(code, ""))
-            score[code] = sum(w in known for w in words) / max(1, len(words)) + 0.5 * marks / total
+    words, marks, known = Counter(_RUN.findall(text)), Counter(text), Counter()
+    for w, n in words.items():
+        for code in _SPEAKERS.get(w, ()):
+            known[code] += n
+    count = max(1, sum(words.values()))
+    score = {c: known[c] / count + 0.5 * sum(marks[x] for x in _LETTERS.get(c, "")) / total for c in WORDS if keep(c)}
     return sorted(((c, s) for c, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))
 
 

@@ -1,12 +1,14 @@
-"""Sentence spans by a byte-wise state machine; offsets count UTF-8 bytes.
+"""Sentence spans by a state machine that jumps from mark to mark; offsets count UTF-8 bytes.
 
 A full stop ends a sentence unless it stands between digits, or after an abbreviation, inside quotes or brackets;
-the next byte that is no space must look like a start. A carriage return is no space here, so `.\\r\\nNext` is one
+the next byte that is no space must look like a start. Every double quote opens or closes, whichever the last one did
+not, so an odd one keeps a sentence open to the end. A carriage return is no space here, so `.\\r\\nNext` is one
 sentence, as in the behaviour that this follows.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -24,10 +26,12 @@ ABBREVIATIONS = {
     "pt": "sr sra srs sras srta dr dra eng arq exmo exma etc pag ref jan fev mar abr mai jun jul ago set out nov dez",
     "nl": "dhr mw mej dr drs prof ing mr ir bv nv bvba enz etc blz jl jan feb mrt apr mei jun jul aug sep okt nov dec",
 }
-_DIGITS, _ALPHA = frozenset(b"0123456789"), frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_TOKEN = _DIGITS | _ALPHA | frozenset(b"'")
-_START = _DIGITS | frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\"'([{") | frozenset(range(128, 256))
-_OPEN, _CLOSE = frozenset(b"([{"), frozenset(b")]}")
+_MARK = re.compile(rb'\.+|[!?"()\[\]{}]|\n\n')
+_TAIL = re.compile(rb'[!?]*(["\])}]*)')
+_NEXT = re.compile(rb"[ \t\n]*(?:\Z|[A-Z0-9\"'(\[{\x80-\xff])")
+_WORD = re.compile(rb"[A-Za-z0-9']+\Z")
+#: Bytes before a full stop that an abbreviation is looked for in at first.
+_NEAR = 24
 
 
 @dataclass(frozen=True)
@@ -41,57 +45,42 @@ class Options:
 def spans(data: bytes, o: Options = Options()) -> list[tuple[int, int]]:
     """(start, end) of the sentences."""
     known = {*ABBREVIATIONS.get(o.language, ABBREVIATIONS["en"]).split(), *(a.lower() for a in o.abbreviations)}
-    n, i, start, quoted, depth = len(data), 0, 0, False, 0
+    n, at, start, quoted, depth = len(data), 0, 0, False, 0
     cuts: list[int] = []
 
-    def note(b: int) -> None:
-        nonlocal quoted, depth
-        if b == 0x22:
+    def keeps_on(dot: int) -> bool:
+        """Whether a single full stop belongs to a number or an abbreviation."""
+        if data[dot - 1 : dot].isdigit() and data[dot + 1 : dot + 2].isdigit():
+            return True
+        word = _WORD.search(data[max(0, dot - _NEAR) : dot])
+        if word is None:
+            return False
+        if word.end() - word.start() == _NEAR:
+            word = _WORD.search(data[:dot])
+        return len(word[0]) == 1 and word[0].isalpha() or word[0].decode().lower() in known
+
+    while (m := _MARK.search(data, at)) is not None:
+        mark, at = m[0], m.end()
+        if mark == b"\n\n":
+            if o.newline_boundaries:
+                cuts.append(at)
+            continue
+        if mark == b'"':
             quoted = not quoted
-        elif b in _OPEN:
+        elif mark in b"([{":
             depth += 1
-        elif b in _CLOSE:
+        elif mark in b")]}":
             depth = max(0, depth - 1)
-
-    def abbreviated(dot: int) -> bool:
-        a = dot
-        while a > 0 and data[a - 1] in _TOKEN:
-            a -= 1
-        word = data[a:dot]
-        return len(word) == 1 and word[0] in _ALPHA or word.decode().lower() in known
-
-    def opens(at: int) -> bool:
-        while at < n and data[at] in b" \t\n":
-            at += 1
-        return at == n or data[at] in _START
-
-    while i < n:
-        b = data[i]
-        if o.newline_boundaries and b == 0x0A and data[i : i + 2] == b"\n\n":
-            while i < n and data[i] == 0x0A:
-                i += 1
-            cuts.append(i)
-            continue
-        note(b)
-        if b not in b".!?":
-            i += 1
-            continue
-        if b == 0x2E and data[i + 1 : i + 2] != b".":
-            between = i > 0 and data[i - 1] in _DIGITS and i + 1 < n and data[i + 1] in _DIGITS
-            if between or abbreviated(i):
-                i += 1
-                continue
-        i += 1
-        while i < n and data[i] in (b"." if b == 0x2E and data[i - 1] == 0x2E else b"") + b"!?":
-            i += 1
-        while i < n and data[i] in b"\")]}":
-            # A quote closes only what is open.
-            if data[i] == 0x22 and not quoted:
-                break
-            note(data[i])
-            i += 1
-        if not quoted and not depth and opens(i):
-            cuts.append(i)
+        else:
+            if mark[:1] != b"." or len(mark) == 1:
+                if mark == b"." and keeps_on(m.start()):
+                    continue
+                tail = _TAIL.match(data, at)
+                at, closers = tail.end(), tail[1]
+                quoted ^= closers.count(b'"') & 1
+                depth = max(0, depth - len(closers) + closers.count(b'"'))
+            if not quoted and not depth and _NEXT.match(data, at):
+                cuts.append(at)
     out = []
     for cut in [*cuts, n]:
         a, z = start, cut
@@ -123,6 +112,17 @@ def sentence_spans(text: Column, **options) -> Column:
     return scalar(lambda t: [{"start": a, "end": z} for a, z in spans(t.encode(), o)], "array<struct<start:int,end:int>>")(text)
 
 
+def sentence_list(text: Column, **options) -> Column:
+    """Byte offsets and text of the sentences of a text."""
+    o = Options(**options)
+
+    def run(t: str) -> list[dict]:
+        data = t.encode()
+        return [{"start": a, "end": z, "sentence": data[a:z].decode()} for a, z in spans(data, o)]
+
+    return scalar(run, "array<struct<start:int,end:int,sentence:string>>")(text)
+
+
 def span_text(text: Column, span: Column) -> Column:
     """The bytes of a span as text."""
     return F.substring(text.cast("binary"), span["start"] + 1, span["end"] - span["start"]).cast("string")

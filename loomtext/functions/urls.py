@@ -22,17 +22,26 @@ def is_ip(host: Column) -> Column:
     return host.rlike(rf"^({part}\.){{3}}{part}$") | host.rlike(r"^\[[0-9a-f:.]+\]$")
 
 
-def parse(url: Column) -> Column:
-    """Struct of hostname, is_ip, public_suffix, domain, domain_without_suffix and subdomain."""
-    host = hostname(url)
-    ip = F.coalesce(is_ip(host), F.lit(False))
-    labels = F.split(host, r"\.")
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: an expression that is only nested would be repeated wherever it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _parts(host: Column, ip: Column, labels: Column) -> Column:
     n = F.size(labels)
     two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
     long = F.coalesce((n >= 2) & two.isin(TWO_LABEL_SUFFIXES), F.lit(False))
-    suffix = F.when(~ip, F.when(long, two).otherwise(F.element_at(labels, -1)))
-    taken = F.when(long, 2).otherwise(1)
-    name = F.when(~ip & (n > taken), F.get(labels, n - taken - 1))
-    domain = F.when(name.isNotNull(), F.concat(name, F.lit("."), suffix))
-    sub = F.when(name.isNotNull(), F.when(n > taken + 1, F.array_join(F.slice(labels, F.lit(1), n - taken - 1), ".")).otherwise(F.lit("")))
-    return F.when(url.isNotNull(), F.struct(host.alias("hostname"), ip.alias("is_ip"), suffix.alias("public_suffix"), domain.alias("domain"), name.alias("domain_without_suffix"), sub.alias("subdomain")))
+    taken = F.when(ip | labels.isNull(), F.lit(None).cast("int")).when(long, 2).otherwise(1)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    has = n > taken
+    return F.struct(
+        host.alias("hostname"), ip.alias("is_ip"), F.when(taken.isNotNull(), last(taken)).alias("public_suffix"), F.when(has, last(taken + 1)).alias("domain"),
+        F.when(has, F.get(labels, n - taken - 1)).alias("domain_without_suffix"),
+        F.when(has, F.array_join(F.slice(labels, F.lit(1), F.greatest(n - taken - 1, F.lit(0))), ".")).alias("subdomain"),
+    )
+
+
+def parse(url: Column) -> Column:
+    """Struct of hostname, is_ip, public_suffix, domain, domain_without_suffix and subdomain."""
+    of_host = lambda h: _let(F.struct(h.alias("h"), F.coalesce(is_ip(h), F.lit(False)).alias("ip"), F.split(h, r"\.").alias("l")), lambda x: _parts(x["h"], x["ip"], x["l"]))
+    return F.when(url.isNotNull(), _let(hostname(url), of_host))

@@ -7,11 +7,16 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Columns by name: a dictionary of lists, or a data frame.
+Columns = Mapping[str, Sequence]
 
 
 @dataclass(frozen=True)
@@ -42,17 +47,21 @@ def ranks(n: int, arcs: dict[tuple[int, int], int], multiplicity: dict[tuple[int
     return out
 
 
-def layered(nodes: pd.DataFrame, edges: pd.DataFrame, o: LayerOptions = LayerOptions()) -> pd.DataFrame:
+def _missing(x) -> bool:
+    return x is None or x != x
+
+
+def layered(nodes: Columns, edges: Columns, o: LayerOptions = LayerOptions()) -> dict[str, list]:
     """nodes (id, width, height, rank or null) with x, y and rank; edges (source, target, minlen or null) to unknown nodes do not count."""
     ids = list(nodes["id"])
     at = {x: i for i, x in enumerate(ids)}
-    known = [(at[s], at[t], 1 if pd.isna(m) else int(m)) for s, t, m in zip(edges["source"], edges["target"], edges["minlen"], strict=True) if s in at and t in at]
+    known = [(at[s], at[t], 1 if _missing(m) else int(m)) for s, t, m in zip(edges["source"], edges["target"], edges["minlen"], strict=True) if s in at and t in at]
     arcs = {(u, v): m for u, v, m in known}
     times: dict[tuple[int, int], int] = {}
     for u, v, _ in known:
         times[u, v] = times.get((u, v), 0) + 1
     rank = ranks(len(ids), arcs, times)
-    rank = [r if pd.isna(p) else int(p) for r, p in zip(rank, nodes["rank"], strict=True)]
+    rank = [r if _missing(p) else int(p) for r, p in zip(rank, nodes["rank"], strict=True)]
     layers: list[list[int]] = [[] for _ in range(max(rank, default=0) + 1)]
     for i, r in enumerate(rank):
         layers[r].append(i)
@@ -62,17 +71,24 @@ def layered(nodes: pd.DataFrame, edges: pd.DataFrame, o: LayerOptions = LayerOpt
         after.setdefault(u, []).append(v)
         before.setdefault(v, []).append(u)
 
-    def order(k: int, near: dict[int, list[int]], fixed: int) -> None:
+    place = [0] * len(ids)
+    for layer in layers:
+        for i, v in enumerate(layer):
+            place[v] = i
+
+    def order(k: int, near: dict[int, list[int]]) -> None:
         # Neighbours in other layers count with their place there, those in the layer itself as 0.
-        place = {n: i for j, layer in enumerate(layers) for i, n in enumerate(layer) if j != k or j == fixed}
-        layers[k].sort(key=lambda n: sum(place.get(m, 0) for m in near[n]) / len(near[n]) if n in near else math.inf)
+        mean = {v: sum(place[m] for m in near[v] if rank[m] != k) / len(near[v]) if v in near else math.inf for v in layers[k]}
+        layers[k].sort(key=mean.__getitem__)
+        for i, v in enumerate(layers[k]):
+            place[v] = i
 
     for _ in range(o.sweeps):
         for k in range(1, len(layers)):
-            order(k, before, k - 1)
+            order(k, before)
         for k in range(len(layers) - 2, -1, -1):
-            order(k, after, k + 1)
-    width, height = nodes["width"].to_numpy(float), nodes["height"].to_numpy(float)
+            order(k, after)
+    width, height = (np.array(list(nodes[c]), float) for c in ("width", "height"))
     x, y = np.zeros(len(ids)), np.zeros(len(ids))
     top, widest = o.margin_y, 0.0
     for layer in layers:
@@ -87,7 +103,7 @@ def layered(nodes: pd.DataFrame, edges: pd.DataFrame, o: LayerOptions = LayerOpt
         x, y = (total - y if o.direction == "RL" else y), x
     elif o.direction == "BT":
         y = total - y
-    return pd.DataFrame({"id": ids, "x": x, "y": y, "rank": rank})
+    return {"id": ids, "x": x.tolist(), "y": y.tolist(), "rank": rank}
 
 
 @dataclass(frozen=True)
@@ -103,7 +119,7 @@ class ForceOptions:
     alpha_decay: float | None = None
 
 
-def simulate(nodes: pd.DataFrame, edges: pd.DataFrame, o: ForceOptions = ForceOptions()) -> pd.DataFrame:
+def simulate(nodes: Columns, edges: Columns, o: ForceOptions = ForceOptions()) -> dict[str, list]:
     """nodes (id, x, y, fixed; x and y may be null) with x and y; edges (source, target, distance, strength, the last two may be null).
 
     The charge keeps the sign that is given: with the default, velocities point to the other nodes.
@@ -112,14 +128,14 @@ def simulate(nodes: pd.DataFrame, edges: pd.DataFrame, o: ForceOptions = ForceOp
     n, at = len(ids), {x: i for i, x in enumerate(ids)}
     k = np.arange(n)
     spiral = 10 * np.sqrt(k + 0.5) * np.exp(1j * k * np.pi * (3 - math.sqrt(5)))
-    own = lambda c: pd.to_numeric(nodes[c]).to_numpy(float)
+    own = lambda c: np.array([math.nan if _missing(v) else v for v in nodes[c]], float)
     p = np.where(np.isnan(own("x")), spiral.real, own("x")) + 1j * np.where(np.isnan(own("y")), spiral.imag, own("y"))
-    v, free = np.zeros(n, complex), ~nodes["fixed"].fillna(False).to_numpy(bool)
+    v, free = np.zeros(n, complex), ~np.array([not _missing(v) and bool(v) for v in nodes["fixed"]], bool)
     known = [(at[s], at[t], d, g) for s, t, d, g in zip(edges["source"], edges["target"], edges["distance"], edges["strength"], strict=True) if s in at and t in at]
     a, b = (np.array([e[i] for e in known], int) for i in (0, 1))
     degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-    rest = np.array([30.0 if pd.isna(e[2]) else e[2] for e in known])
-    pull = np.array([0.0 if pd.isna(e[3]) else e[3] for e in known])
+    rest = np.array([30.0 if _missing(e[2]) else e[2] for e in known])
+    pull = np.array([0.0 if _missing(e[3]) else e[3] for e in known])
     if len(known):
         pull = np.where(pull == 0, 1 / np.maximum(1, np.minimum(degree[a], degree[b])), pull)
         share = degree[b] / np.maximum(1, degree[a] + degree[b])
@@ -153,25 +169,50 @@ def simulate(nodes: pd.DataFrame, edges: pd.DataFrame, o: ForceOptions = ForceOp
         v = np.where(free, v * (1 - o.velocity_decay), 0)
         p = p + v
         alpha *= 1 - decay
-    return pd.DataFrame({"id": ids, "x": p.real, "y": p.imag})
-
-
-def _grouped(nodes: DataFrame, edges: DataFrame, key: str, fn, extra: list[str], ddl: str) -> DataFrame:
-    kind = nodes.schema[key].dataType.simpleString()
-
-    def run(k, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = fn(left.sort_values("id", kind="stable").reset_index(drop=True), right.sort_values(["source", "target"], kind="stable"))
-        out.insert(0, key, k[0])
-        return out
-
-    return nodes.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(run, f"{key} {kind}, id {nodes.schema['id'].dataType.simpleString()}, {ddl}")
+    return {"id": ids, "x": p.real.tolist(), "y": p.imag.tolist()}
+
+
+def _grouped(nodes: DataFrame, edges: DataFrame, key: str, fn, ddl: str) -> DataFrame:
+    """fn of each graph's nodes and edges. One sorted stream holds the nodes of a graph, then its edges, then the next
+    graph, so that graphs of a few nodes cost no more than their rows, and a task holds one graph at a time."""
+    own = [c for c in nodes.columns if c != key]
+    arcs = [c for c in edges.columns if c != key]
+    n = nodes.select(F.col(key).alias("key"), F.lit(False).alias("edge"), F.col("id").alias("order"), F.lit(None).cast(nodes.schema["id"].dataType).alias("then"), F.struct(*own).alias("node"), F.lit(None).cast(edges.select(F.struct(*arcs).alias("s")).schema["s"].dataType).alias("arc"))
+    e = edges.select(F.col(key).alias("key"), F.lit(True).alias("edge"), F.col("source").alias("order"), F.col("target").alias("then"), F.lit(None).cast(n.schema["node"].dataType).alias("node"), F.struct(*arcs).alias("arc"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = n.unionByName(e).repartition(parts, "key").sortWithinPartitions("key", "edge", "order", "then")
+    ddl = f"{key} {nodes.schema[key].dataType.simpleString()}, id {nodes.schema['id'].dataType.simpleString()}, {ddl}"
+    columns = [x.split()[0] for x in ddl.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def laid_out(graph) -> list[list]:
+            k, vertices, links = graph
+            out = fn({c: [v[c] for v in vertices] for c in own}, {c: [a[c] for a in links] for c in arcs}) if vertices else {}
+            return [[k] * len(vertices), *(out[c] for c in columns[1:])] if vertices else [[] for _ in columns]
+
+        graph, kinds = None, None
+        for b in batches:
+            kinds = [b.schema.field("key").type, b.schema.field("order").type, *(pa.int32() if d.endswith(" int") else pa.float64() for d in ddl.split(", ")[2:])]
+            done = [[] for _ in columns]
+            for k, node, arc in zip(*(b.column(c).to_pylist() for c in ("key", "node", "arc")), strict=True):
+                if graph is None or graph[0] != k:
+                    if graph is not None:
+                        for held, new in zip(done, laid_out(graph), strict=True):
+                            held += new
+                    graph = k, [], []
+                graph[2 if node is None else 1].append(arc if node is None else node)
+            yield pa.RecordBatch.from_arrays([pa.array(d, t) for d, t in zip(done, kinds, strict=True)], names=columns)
+        if graph is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(d, t) for d, t in zip(laid_out(graph), kinds, strict=True)], names=columns)
+
+    return rows.select("key", "order", "node", "arc").mapInArrow(run, ddl)
 
 
 def layered_layout(nodes: DataFrame, edges: DataFrame, key: str = "graph_id", options: LayerOptions = LayerOptions()) -> DataFrame:
     """(key, id, x, y, rank) of nodes (key, id, width, height, rank) and edges (key, source, target, minlen); nodes in order of id."""
-    return _grouped(nodes, edges, key, lambda n, e: layered(n, e, options), [], "x double, y double, rank int")
+    return _grouped(nodes, edges, key, lambda n, e: layered(n, e, options), "x double, y double, rank int")
 
 
 def force_layout(nodes: DataFrame, edges: DataFrame, key: str = "graph_id", options: ForceOptions = ForceOptions()) -> DataFrame:
     """(key, id, x, y) of nodes (key, id, x, y, fixed) and edges (key, source, target, distance, strength)."""
-    return _grouped(nodes, edges, key, lambda n, e: simulate(n, e, options), [], "x double, y double")
+    return _grouped(nodes, edges, key, lambda n, e: simulate(n, e, options), "x double, y double")

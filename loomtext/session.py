@@ -52,6 +52,14 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shuffles_done(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nobody holds any more, as it does when the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and survives lost executors."""
     path = workspace(df.sparkSession, name)

@@ -24,13 +24,15 @@ PREFIX = 4096
 
 
 def file_type(data: Column) -> Column:
-    """Struct of ext and mime; null for data of no known type. Only the first bytes are looked at."""
-    head = F.substring(data, 1, F.lit(300))
-    match = lambda at, magic: F.hex(F.substring(head, at + 1, F.lit(len(magic) // 2))) == magic
+    """Struct of ext and mime; null for data of no known type. Only the first bytes are looked at, and turned to hex once."""
     pair = lambda ext, mime: F.struct(F.lit(ext).alias("ext"), F.lit(mime).alias("mime"))
-    riff = F.hex(F.substring(head, 1, F.lit(4))) == "52494646"
-    first, *rest = ((match(at, m) & riff if at == 8 else match(at, m), pair(e, t)) for at, m, e, t in SIGNATURES)
-    return reduce(lambda c, x: c.when(*x), rest, F.when(*first))
+
+    def of(head: Column) -> Column:
+        match = lambda at, magic: F.substring(head, 2 * at + 1, F.lit(len(magic))) == magic
+        first, *rest = ((match(at, m) & match(0, "52494646") if at == 8 else match(at, m), pair(e, t)) for at, m, e, t in SIGNATURES)
+        return reduce(lambda c, x: c.when(*x), rest, F.when(*first))
+
+    return F.get(F.transform(F.array(F.hex(F.substring(data, 1, F.lit(300)))), of), 0)
 
 
 def needed_prefix(data: Column) -> Column:

@@ -34,5 +34,17 @@ def test_force_layout_simulates_all_orders_and_edges(spark):
         nodes = pd.DataFrame({"id": ids, "x": None, "y": None, "fixed": False})
         edges = pd.DataFrame({"source": ids[:-2], "target": ids[2:], "distance": None, "strength": None})
         out = layout.simulate(nodes, edges)
-        assert [got[k, x] for x in ids] == [pytest.approx(p, abs=1e-6) for p in zip(out.x, out.y, strict=True)]
-        assert len(ids) < 3 or layout.simulate(nodes, edges[:0]).x.tolist() != out.x.tolist()
+        assert [got[k, x] for x in ids] == [pytest.approx(p, abs=1e-6) for p in zip(out["x"], out["y"], strict=True)]
+        assert len(ids) < 3 or layout.simulate(nodes, edges[:0])["x"] != out["x"]
+
+
+def test_order_by_neighbours_alone():
+    """A layer is ordered by the mean place of its neighbours in other layers; those in the layer itself count as 0."""
+    nodes = {"id": list("abcdef"), "width": [10.0] * 6, "height": [10.0] * 6, "rank": [0, 0, 0, 1, 1, 1]}
+    edges = {"source": list("abc"), "target": list("fed"), "minlen": [None] * 3}
+    out = layout.layered(nodes, edges)
+    x = dict(zip(out["id"], out["x"], strict=True))
+    assert (x["a"] < x["b"] < x["c"]) == (x["f"] < x["e"] < x["d"])
+    many = {"id": list(range(20_000)), "width": [1.0] * 20_000, "height": [1.0] * 20_000, "rank": [None] * 20_000}
+    chain = {"source": list(range(19_999)), "target": list(range(1, 20_000)), "minlen": [1] * 19_999}
+    assert layout.layered(many, chain)["rank"] == list(range(20_000))  # linear in layers and edges for each sweep

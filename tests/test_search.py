@@ -38,11 +38,11 @@ def test_minisearch(spark):
     i = search.build_index(corpus(spark, [("a", "rust programming language"), ("b", "python programming"), ("c", "cat catalog cattle dog")]))
     assert hits(i, "rust programming", operator="AND") == ["a"] and len(hits(i, "rust programming")) == 2
     assert hits(i, "cat", prefix=True) == ["c"] and hits(i, "ca", prefix=True, operator="AND") == ["c"] and hits(i, "zzz", prefix=True) == []
-    few, search.BROADCAST_PREFIXES = search.BROADCAST_PREFIXES, 0
+    few, search.BROADCAST_TERMS = search.BROADCAST_TERMS, 0
     try:
         assert hits(i, "cat", prefix=True) == hits(i, "c", prefix=True) == ["c"] and set(hits(i, "p", prefix=True)) == {"a", "b"}
     finally:
-        search.BROADCAST_PREFIXES = few
+        search.BROADCAST_TERMS = few
     assert [r.term for r in search.auto_suggest(i, "CAT").collect()] == ["cat", "catalog", "cattle"]
     stop = search.build_index(corpus(spark, [("a", "the quick fox")]), stopwords=tx.SEARCH_STOPWORDS)
     assert hits(stop, "the", stopwords=tx.SEARCH_STOPWORDS) == []
@@ -55,8 +55,17 @@ def test_ids_that_repeat_are_documents_of_their_own(spark):
 
 def test_saved_index(spark, tmp_path):
     i = search.build_index(corpus(spark, [("a", "one two"), ("b", "two three")]))
-    i.save(str(tmp_path), 2)
-    assert hits(search.Index.load(spark, str(tmp_path)), "three") == ["b"]
+    i.save(str(tmp_path))
+    saved = search.Index.load(spark, str(tmp_path))
+    assert hits(saved, "three") == ["b"] and hits(saved, "tw", prefix=True) == ["a", "b"] and hits(saved, "four") == []
+    assert [tuple(r) for r in search.auto_suggest(saved, "t").collect()] == [("two", 2), ("three", 1)]
+
+
+def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    search.build_index(corpus(spark, [(f"d{i}", f"word{i} common") for i in range(200)])).save(str(tmp_path))
+    q = spark.createDataFrame([(0, "word7")], "query_id long, text string")
+    plan = search.search(search.Index.load(spark, str(tmp_path)), q)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -158,3 +158,12 @@ def test_links(spark):
     assert one(df, text.links(F.col("x"))) == [["http://a.com/x?y=1", "https://b.org"], [], None]
     assert [tuple(x) for x in one(df, text.link_spans(F.col("x")))[0]] == [(4, 22), (29, 42)]
     assert one(df, text.emails(F.col("x")))[0] == ["a@b.co"] and one(df, text.has_link(F.col("x"))) == [True, False, None]
+
+
+def test_every_quote_opens_or_closes():
+    split = sentences.split_text
+    assert split('Stop!" Go on. Yes.') == ['Stop!" Go on. Yes.']
+    assert split('Wait..." She ran. Ok.') == ["Wait...", '" She ran. Ok.']
+    assert split('He said "No." Then left. Bye.') == ['He said "No."', "Then left.", "Bye."]
+    assert split("a (b. C) d. E") == ["a (b. C) d.", "E"] and split("A word.b Next") == ["A word.b Next"] and split("It ends.Now it goes.") == ["It ends.", "Now it goes."]
+    assert split("x" * 40 + ". Next one") == ["x" * 40 + ".", "Next one"] and split("one\n\n\n\ntwo", sentences.Options(newline_boundaries=True)) == ["one", "two"]
