@@ -9,11 +9,16 @@ The posterior of a language is in proportion to the product of
 * the prior of the host, smoothed towards that of its suffix, which is smoothed towards that of all rows. The counts
   are sums of text posteriors by host and by suffix, without the row's own.
 
-A row is accepted if its text has a letter and the best posterior is LEAST or more.
+A row is accepted if its text has a letter, the best posterior is LEAST or more, and the text is not better explained by
+none of the languages: a background that gives half its weight to the mean of their profiles and half to all trigrams
+alike, with a prior of FOREIGN. Texts go through two passes, for the profiles and for the evidence; all that follows
+works on a few numbers for each row, and `accepted` leaves out of the table the rows whose hash is that of a row it
+rejects (equal rows have equal results), so texts are never shuffled by host.
 
 Defined results: null and empty texts, and texts without letters, get the language that the other evidence says, and
 are not accepted; null, empty or unknown declarations, hosts and suffixes say nothing; equal posteriors go to the
-first of `languages`; repeated rows count each time; other columns are kept by `accepted` and ignored by `identify`.
+first of `languages`; repeated rows count each time; other columns, whatever their names, are kept by `accepted` and
+ignored by `identify`.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from loomtext.llm.common import column_bytes, freeing, text_chunks
 from loomtext.session import kept, stored
 
 LANGUAGES = ("en", "de", "fr", "es")
-FEATURES, EVIDENCE, LEAST, SMOOTH, SUFFIX_RIGHT, UNIT = 1 << 14, 150, 0.5, 20.0, 0.7, 1_000_000
+FEATURES, EVIDENCE, LEAST, SMOOTH, SUFFIX_RIGHT, UNIT, FOREIGN = 1 << 14, 150, 0.5, 20.0, 0.7, 1_000_000, 0.01
 #: Languages of country suffixes.
 COUNTRY = {"de": ("de",), "at": ("de",), "ch": ("de", "fr"), "fr": ("fr",), "be": ("fr",), "es": ("es",), "mx": ("es",), "ar": ("es",), "uk": ("en",), "us": ("en",), "au": ("en",), "ie": ("en",)}
 
@@ -93,11 +98,15 @@ class Input:
     host: Column | None = None
     suffix: Column | None = None
 
-    def rows(self, df: DataFrame, keep: list[str]) -> DataFrame:
+    def columns(self) -> dict[str, Column]:
+        """What a result follows from, as columns of the table."""
         none = F.lit(None).cast("string")
         pick = lambda c: none if c is None else F.nullif(F.lower(c.cast("string")), F.lit(""))
+        return {"_text": F.col(self.text), "_declared": pick(self.declared), "_host": pick(self.host), "_suffix": pick(self.suffix)}
+
+    def rows(self, df: DataFrame, keep: list[str], *more: Column) -> DataFrame:
         own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-        return df.select(*own, F.col(self.text).alias("_text"), F.lit(self.is_markup).alias("_markup"), pick(self.declared).alias("_declared"), pick(self.host).alias("_host"), pick(self.suffix).alias("_suffix"))
+        return df.select(*own, *more, *(c.alias(x) for x, c in self.columns().items()), F.lit(self.is_markup).alias("_markup"))
 
 
 def _plain(t: pa.Table, languages: tuple[str, ...]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
@@ -135,32 +144,39 @@ def profiles(rows: list[DataFrame], languages: tuple[str, ...]) -> np.ndarray:
     return np.log(n / n.sum(1, keepdims=True))
 
 
-def text_evidence(t: pa.Table, logp: np.ndarray, languages: tuple[str, ...]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
-    """For each text the language that it declares, its trigrams, and the posteriors of the text alone."""
+def background(logp: np.ndarray) -> np.ndarray:
+    """log P(feature) for texts of no language of the profiles."""
+    return np.log(0.5 * np.exp(logp).mean(0) + 0.5 / FEATURES)
+
+
+def text_evidence(t: pa.Table, logp: np.ndarray, languages: tuple[str, ...]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the language that it declares, its trigrams, the posteriors of the text alone, and the probability that it is in one of the languages."""
     declared, buf, offsets = _plain(t, languages)
     f, ok = features(buf, offsets)
     full = np.flatnonzero(np.diff(offsets) > 0)
-    n, s = np.zeros(len(declared), np.int64), np.zeros((len(declared), len(languages)))
+    n, s = np.zeros(len(declared), np.int64), np.zeros((len(declared), len(languages) + 1))
     if len(full):
         n[full] = np.add.reduceat(ok.astype(np.int64), offsets[full])
-        for k, row in enumerate(logp):
+        for k, row in enumerate([*logp, background(logp)]):
             s[full, k] = np.add.reduceat(np.where(ok, row[f], 0.0), offsets[full])
     s *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+    s, none = s[:, :-1], s[:, -1]
     p = np.exp(s - s.max(1, keepdims=True))
-    return declared, n, np.round(p / p.sum(1, keepdims=True), 9)
+    odds = np.clip(s.max(1, initial=-np.inf) - none + np.log(1 / FOREIGN - 1), -700, 700)
+    return declared, n, np.round(p / p.sum(1, keepdims=True), 9), np.round(1 / (1 + np.exp(-odds)), 9)
 
 
 def evidence(rows: DataFrame, logp: np.ndarray, languages: tuple[str, ...]) -> DataFrame:
-    """rows without their texts, with _declared among languages, _n (trigrams) and _text_p, the posteriors of the text alone."""
+    """rows without their texts, with _declared among languages, _n (trigrams), _text_p, the posteriors of the text alone, and _known, the probability of any of the languages."""
     fields = [f for f in rows.schema.fields if f.name not in ("_markup", "_text")]
     names = [f.name for f in fields]
-    schema = T.StructType([*fields, T.StructField("_n", T.LongType()), T.StructField("_text_p", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*fields, T.StructField("_n", T.LongType()), T.StructField("_text_p", T.ArrayType(T.DoubleType())), T.StructField("_known", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_chunks(batches, "_text"):
-            declared, n, p = text_evidence(t, logp, languages)
+            declared, n, p, known = text_evidence(t, logp, languages)
             out = t.select(names).set_column(names.index("_declared"), "_declared", pa.array(declared, pa.string()))
-            yield from out.append_column("_n", pa.array(n)).append_column("_text_p", pa.array(list(p), pa.list_(pa.float64()))).to_batches()
+            yield from out.append_column("_n", pa.array(n)).append_column("_text_p", pa.array(list(p), pa.list_(pa.float64()))).append_column("_known", pa.array(known)).to_batches()
 
     return rows.mapInArrow(freeing(run), schema)
 
@@ -175,17 +191,22 @@ class Priors:
     declared: dict[str, list[int]]
 
     def joined(self, rows: DataFrame) -> DataFrame:
-        """rows with _by_host and _by_suffix."""
-        rows = rows.join(sized(self.hosts), rows["_host"] == self.hosts["_h"], "left").drop("_h")
-        return rows.join(sized(self.suffixes), rows["_suffix"] == self.suffixes["_s"], "left").drop("_s")
+        """rows (without texts) with _by_host and _by_suffix."""
+        return named(named(rows, "_host", self.hosts, "_h"), "_suffix", self.suffixes, "_s")
 
 
-#: Rows of a name and a few numbers that are broadcast at most; beyond, the join is by shuffles.
-BROADCAST_ROWS = 20_000
+#: Rows of names or hashes and a few numbers that are broadcast at most; beyond, the join is by a shuffle in which each name has SALTS parts.
+BROADCAST_ROWS, SALTS = 100_000, 32
 
 
-def sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def named(rows: DataFrame, column: str, sums: DataFrame, name: str) -> DataFrame:
+    """rows with the columns of the row of sums whose `name` is their `column`, if there is one."""
+    if sums.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(sums), rows[column] == sums[name], "left").drop(name)
+    # The part goes by the place of the row: rows are of a written table, in which it stays the same.
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    sums = sums.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(sums, (rows[column] == sums[name]) & (rows["_salt"] == sums["_part"]), "left").drop(name, "_salt", "_part")
 
 
 def priors(ev: DataFrame, languages: tuple[str, ...]) -> Priors:
@@ -238,55 +259,55 @@ class Fusion:
         return np.round(odds / odds.sum(1, keepdims=True), 6)
 
 
-def fused(ev: DataFrame, pr: Priors, languages: tuple[str, ...], keep: list[str], logp: np.ndarray | None = None, only_accepted: bool = False) -> DataFrame:
-    """Columns `keep` of ev with language, confidence, accepted and posteriors. With logp, ev are rows with texts whose evidence is still to be found."""
-    out = ["language", "confidence", "accepted", "posteriors"]
-    fields = [ev.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("accepted", T.BooleanType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))])
+def fused(ev: DataFrame, pr: Priors, languages: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """Columns `keep` of ev with language, confidence, accepted, posteriors and known."""
+    out = [("language", T.StringType()), ("confidence", T.DoubleType()), ("accepted", T.BooleanType()), ("posteriors", T.ArrayType(T.DoubleType())), ("known", T.DoubleType())]
+    inner = [f"k{i}" for i in range(len(keep))]
+    schema = T.StructType([*(T.StructField(i, ev.schema[c].dataType) for i, c in zip(inner, keep, strict=True)), *(T.StructField(f"o{i}", t) for i, (_, t) in enumerate(out))])
     fusion = Fusion(pr, languages)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches, "_text") if logp is not None else (pa.Table.from_batches([b]) for b in batches if b.num_rows):
-            if logp is None:
-                declared, n = t["_declared"].to_pylist(), t["_n"].to_numpy()
-                p = np.array(t["_text_p"].to_pylist(), float)
-            else:
-                declared, n, p = text_evidence(t, logp, languages)
-            q = fusion.posteriors(p, n, declared, t["_suffix"].to_pylist(), t["_by_host"].to_pylist(), t["_by_suffix"].to_pylist())
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, p, known = b["_n"].to_numpy(), np.array(b["_text_p"].to_pylist(), float), b["_known"].to_numpy()
+            q = fusion.posteriors(p, n, b["_declared"].to_pylist(), b["_suffix"].to_pylist(), b["_by_host"].to_pylist(), b["_by_suffix"].to_pylist())
             best, sure = q.argmax(1), q.max(1)
-            ok = (n > 0) & (sure >= LEAST)
-            r = t.select(keep)
-            for name, values in zip(out, (pa.array([languages[b] for b in best], pa.string()), pa.array(sure), pa.array(ok), pa.array(list(q), pa.list_(pa.float64()))), strict=True):
-                r = r.append_column(name, values)
-            yield from (r.filter(pa.array(ok)) if only_accepted else r).to_batches()
+            ok = (n > 0) & (sure >= LEAST) & (known >= 0.5)
+            new = [pa.array([languages[x] for x in best], pa.string()), pa.array(sure), pa.array(ok), pa.array(list(q), pa.list_(pa.float64())), pa.array(known)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *new], names=schema.names)
 
-    return pr.joined(ev).mapInArrow(freeing(run), schema)
+    return pr.joined(ev).mapInArrow(freeing(run), schema).toDF(*keep, *(name for name, _ in out))
 
 
 def identify(tables: list[tuple[DataFrame, Input, list[str]]], languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """For each row of the tables its kept columns (by name; null in other tables), language, confidence, accepted and posteriors."""
+    """For each row of the tables its kept columns (by name; null in other tables), language, confidence, accepted, posteriors and known."""
     names = list(dict.fromkeys(c for _, _, keep in tables for c in keep))
     rows = [i.rows(df, keep) for df, i, keep in tables]
     logp = profiles(rows, languages)
     parts = []
     for (df, _, keep), r in zip(tables, rows, strict=True):
         e = evidence(r, logp, languages)
-        own = [F.col(f"k{keep.index(c)}").alias(c) if c in keep else F.lit(None).cast(next(x.schema[c].dataType for x, _, k in tables if c in k)).alias(c) for c in names]
-        parts.append(e.select(*own, "_declared", "_host", "_suffix", "_n", "_text_p"))
+        own = [F.col(f"k{keep.index(c)}").alias(f"i{j}") if c in keep else F.lit(None).cast(next(x.schema[c].dataType for x, _, k in tables if c in k)).alias(f"i{j}") for j, c in enumerate(names)]
+        parts.append(e.select(*own, "_declared", "_host", "_suffix", "_n", "_text_p", "_known"))
     ev = stored(reduce(DataFrame.unionByName, parts), "evidence")
-    return fused(ev, priors(ev, languages), languages, names)
+    out = fused(ev, priors(ev, languages), languages, [f"i{j}" for j in range(len(names))])
+    return out.toDF(*names, *out.columns[len(names) :])
 
 
 def accepted(df: DataFrame, source: Input, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """The accepted rows of df, with all their columns."""
-    columns = df.columns
-    text = columns.index(source.text)
-    rows = source.rows(df, [c for c in columns if c != source.text])
+    # 128 bits of what a result follows from.
+    inputs = [x for c in source.columns().values() for x in (c, c.isNull())]
+    ids = [F.xxhash64(F.lit(i), *inputs).alias(f"_id{i}") for i in (0, 1)]
+    rows = source.rows(df, [], *ids)
     logp = profiles([rows], languages)
-    pr = priors(stored(evidence(rows.select("_text", "_markup", "_declared", "_host", "_suffix"), logp, languages), "evidence"), languages)
-    out = fused(rows, pr, languages, ["_text", *(c for c in rows.columns if c[0] != "_")], logp, only_accepted=True)
-    place = iter(range(len(columns)))
-    return out.select(*(F.col("_text").alias(c) if i == text else F.col(f"k{next(place)}").alias(c) for i, c in enumerate(columns)))
+    ev = stored(evidence(rows, logp, languages), "evidence")
+    gone = kept(fused(ev, priors(ev, languages), languages, ["_id0", "_id1"]).where("not accepted").select("_id0", "_id1").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    own = [f"c{i}" for i in range(len(df.columns))]
+    whole = df.select(*(F.col(c).alias(i) for c, i in zip(df.columns, own, strict=True)), *ids)
+    return whole.join(gone, ["_id0", "_id1"], "left_anti").select(*own).toDF(*df.columns)
 
 
 def documents_input() -> Input:

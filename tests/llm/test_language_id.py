@@ -28,9 +28,13 @@ def brute(rows):
             for f in trigrams(text or ""):
                 n[L.index(d), f] += 1
     logp = np.log(n / n.sum(1, keepdims=True))
-    ps, count = [], []
+    ps, count, known = [], [], []
+    none = np.log(0.5 * np.exp(logp).mean(0) + 0.5 / li.FEATURES)
     for text, *_ in rows:
         f = trigrams(text or "")
+        share = min(len(f), li.EVIDENCE) / max(1, len(f))
+        odds = share * (max(sum(logp[k, x] for x in f) for k in range(len(L))) - sum(none[x] for x in f)) + math.log(1 / li.FOREIGN - 1)
+        known.append(odds >= 0)
         s = sum((logp[:, x] for x in f), np.zeros(len(L))) * min(len(f), li.EVIDENCE) / max(1, len(f))
         p = np.exp(s - s.max())
         ps.append(np.round(p / p.sum(), 9))
@@ -46,24 +50,27 @@ def brute(rows):
     total = sum(declared.values(), np.zeros(len(L))) / li.UNIT
     smooth = lambda c, t: (np.maximum(c, 0) / li.UNIT + li.SMOOTH * t) / (np.maximum(c, 0).sum() / li.UNIT + li.SMOOTH)
     out = []
-    for (_, d, h, s), p, o, c in zip(rows, ps, own, count):
+    for (_, d, h, s), p, o, c, k in zip(rows, ps, own, count, known):
         prior = smooth(every[0] - o, np.full(len(L), 1 / len(L)))
         prior = smooth(suffixes[s] - o if s else np.zeros(len(L)), prior)
         prior = smooth(hosts[h] - o if h else np.zeros(len(L)), prior)
         score = np.log(np.maximum(p, 1e-9)) + np.log(prior)
-        for k, language in enumerate(L):
+        for j, language in enumerate(L):
             if d in L:
-                score[k] += math.log((declared[d][k] / li.UNIT + (5 if d == language else 1)) / (total[k] + len(L) + 4))
+                score[j] += math.log((declared[d][j] / li.UNIT + (5 if d == language else 1)) / (total[j] + len(L) + 4))
             if s in li.COUNTRY:
                 spoken = li.COUNTRY[s]
-                score[k] += math.log(li.SUFFIX_RIGHT / len(spoken) if language in spoken else (1 - li.SUFFIX_RIGHT) / (len(L) - len(spoken)))
+                score[j] += math.log(li.SUFFIX_RIGHT / len(spoken) if language in spoken else (1 - li.SUFFIX_RIGHT) / (len(L) - len(spoken)))
         q = np.exp(score - score.max())
         q = q / q.sum()
-        out.append((q, c > 0 and q.max() >= li.LEAST))
+        out.append((q, c > 0 and q.max() >= li.LEAST and k))
     return out
 
 
-def test_posteriors_equal_plain_python(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_posteriors_equal_plain_python(spark, monkeypatch, few):
+    """Whether the sums of hosts and suffixes are broadcast or meet the rows by salted shuffles."""
+    monkeypatch.setattr(li, "BROADCAST_ROWS", few)
     r = random.Random(4)
     words = {"en": "the and of to is that with", "de": "der die und nicht ist auf mit", "fr": "le la et que dans sur pour", "es": "el los que por con una del"}
     rows = []
@@ -105,3 +112,31 @@ def test_accepted_keeps_columns(spark):
     assert out.columns == df.columns
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, "the thing", "en", "s", 1, "x"), (3, "der die", "de", None, 2, None)], key=repr)
     assert li.accepted(df.limit(0), li.documents_input()).count() == 0
+
+
+FIFTH = {
+    "fi": "kuitenkin yöllä järven yli lensivät hiljaa valkoiset joutsenet ja kylän väki nukkui lämpimissä tuvissaan kunnes aamu koitti",
+    "pl": "wczesnym rankiem przyszedł do miasta młody człowiek który szukał swojego brata zaginionego przed wieloma laty wśród obcych ludzi",
+    "ru": "рано утром в город пришел молодой человек который искал своего брата пропавшего много лет назад среди чужих людей",
+    "zh": "很久以前在一座大山的脚下住着一位老人和他的三个儿子他们每天都到田里去劳动",
+}
+
+
+def test_languages_of_no_profile_are_rejected(spark):
+    """Texts of a fifth language, declared as one of the four or as none, go; the documents of the table stay but for wordless ones."""
+    docs = table(spark, SF, "documents")
+    more = [(10_000 + i, t, d, "web", len(t)) for i, (t, d) in enumerate((t, d) for t in FIFTH.values() for d in (None, "en"))]
+    both = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    stay = {r.doc_id for r in li.accepted(both, li.documents_input()).collect()}
+    assert not stay & {m[0] for m in more}
+    with_words = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert len(with_words - stay) <= 0.01 * len(with_words)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_accepted_keeps_repeated_rows_and_columns_of_any_name(spark, monkeypatch, few):
+    monkeypatch.setattr(li, "BROADCAST_ROWS", few)
+    long = "the thing of the other land " * 3000
+    rows = [(1, "the thing", "en", "s", 1, 2, 3), (1, "the thing", "en", "s", 1, 2, 3), (None, "the thing", None, None, 4, 5, 6), (5, long, "en", "s", 7, 8, 9), (6, "", "en", "s", 1, 1, 1), (7, "?!", "en", "s", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _id0 int, _text int, c0 int")
+    assert sorted(map(tuple, li.accepted(df, li.documents_input()).collect()), key=repr) == sorted(rows[:4], key=repr)
