@@ -17,7 +17,9 @@ of groups would tie unrelated classes together, and both can be left out without
   one may be empty in both; such a class sends the signatures of the groups of its whole set besides, the empty
   ones too if there are again more than `spare`. A class with fewer shares a full group with whatever links to it.
 
-Clusters above TILE classes are cut into tiles of two blocks each, so no task holds a whole cluster. A tile
+Copies of one text are one class, sent once by a task; classes of a task that share a signature are tied there, and one
+of them goes on, so a signature that very many share comes once from each task. Clusters above TILE classes or
+TILE_BYTES of shingles are cut into tiles of two blocks each, so no task holds a whole cluster. A tile
 reports a spanning forest of its links; only pairs that it has not yet joined are verified, so a group of m copies
 costs about m verifications, not m squared. No link between two classes goes unseen.
 
@@ -41,15 +43,19 @@ from pyspark.sql import types as T
 
 from loomtext.llm.common import column_bytes, freeing, mix64, packed, text_chunks, unpacked, word_hashes
 from loomtext.llm.graph import components
-from loomtext.llm.kneser_ney import SENT_DDL, counted, gathered, sent_batch, split_rows, word_bucket
-from loomtext.session import kept, stored
+from loomtext.llm.kneser_ney import SENT_DDL, by_bucket, counted, gathered, sent_batch, split_rows, word_bucket
+from loomtext.session import kept, shuffles_done, stored
 
 SPARE, SPARE_SHARE, TILE, DIMENSIONS, FANOUT = 3, 0.1, 1024, 64, 16
 #: Distinct texts whose shingles are counted for the frequent ones, the count from which they are, and how many there are at most.
 SAMPLE, FREQUENT, MOST = 16_000, 4, 1 << 17
-#: Longs in the filter of candidate classes: 2 MB, whatever the input.
-FILTER_WORDS = 1 << 18
-GATHER = 8 << 20
+#: Bits for each candidate class in the filter of them, and its bits at most (32 MB); a class that is none passes it by chance alone.
+FILTER_EACH, FILTER_BITS = 16, 1 << 28
+GATHER, TILE_BYTES = 8 << 20, 16 << 20
+#: Clusters of several tiles whose numbers are broadcast at most, and partitions of the verification at most.
+LARGE, TASKS = 200_000, 100_000
+#: Classes that a task remembers to have sent.
+SEEN = 1 << 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -251,64 +257,84 @@ def clusters(docs: DataFrame, sim: Similarity) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, sim))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
+        held, size, seen = {}, 0, set()
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
             sig, owner = signatures(list(held), list(held.values()), sim, frequent.value)
+            order = np.argsort(sig, kind="stable")
+            sig, owner = sig[order], owner[order]
+            start = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
             bucket = (sig >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # ranges, so sorted signatures are sorted by bucket
-            order = np.argsort(sig)
-            sig, owner, bucket = sig[order], owner[order], bucket[order]
+            # One class goes on for each signature; the others are tied to it here.
+            first = owner[np.flatnonzero(start)[np.cumsum(start) - 1]] if len(sig) else owner
+            tied = ~start & (owner != first)
+            ties, ties_at = np.stack([owner[tied], first[tied]], 1), np.searchsorted(bucket[tied], np.arange(n + 1, dtype=np.uint64))
+            sig, owner, bucket = sig[start], owner[start], bucket[start]
             cut = np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
-            rows = [(b, packed(sig[i:j]), owner[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            rows = [(b, packed(sig[i:j]), owner[i:j].tobytes(), ties[ties_at[b] : ties_at[b + 1]].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             held, size = {}, 0
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "keys", "ties"])
 
         for t in text_chunks(batches):
-            held |= {set_key(s): s for s in shingle_sets(t["text"], sim.words) if len(s)}
+            for s in shingle_sets(t["text"], sim.words):
+                if len(s) and (k := set_key(s)) not in seen:
+                    held[k] = s
+                    if len(seen) < SEEN:
+                        seen.add(k)
             size += t["text"].nbytes
             if size >= GATHER:
                 yield flush()
         if held:
             yield flush()
 
-    def meet(t: pa.Table) -> pa.Table:
+    def meet(key: tuple, t: pa.Table) -> pa.Table:
         sig = np.concatenate([unpacked(x) for x in t["signatures"].to_pylist()])
-        key = np.concatenate([np.frombuffer(x, np.int64) for x in t["keys"].to_pylist()])
+        owner = np.concatenate([np.frombuffer(x, np.int64) for x in t["keys"].to_pylist()])
+        ties = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in t["ties"].to_pylist()])
         order = np.argsort(sig, kind="stable")
-        sig, key = sig[order], key[order]
+        sig, owner = sig[order], owner[order]
         start = np.concatenate([[True], sig[1:] != sig[:-1]])
-        shared = ~start | np.concatenate([~start[1:], [False]])
-        sig, key, start = sig[shared], key[shared], start[shared]
-        first = key[np.flatnonzero(start)][np.cumsum(start) - 1] if len(key) else key
-        nodes, index = np.unique(key, return_inverse=True)
-        label = nodes[joined(index, np.searchsorted(nodes, first), len(nodes))]
+        first = owner[np.flatnonzero(start)[np.cumsum(start) - 1]]
+        u, v = np.concatenate([owner[~start], ties[:, 0]]), np.concatenate([first[~start], ties[:, 1]])
+        nodes, index = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = nodes[joined(index[: len(u)], index[len(u) :], len(nodes))] if len(nodes) else nodes
         more = label != nodes
         return pa.table({"u": pa.array(nodes[more], pa.int64()), "v": pa.array(label[more], pa.int64())})
 
-    sent = docs.select("text").mapInArrow(freeing(send), "bucket int, signatures binary, keys binary")
-    return components(sent.groupBy("bucket").applyInArrow(freeing(meet), "u long, v long"))
+    sent = docs.select("text").mapInArrow(freeing(send), "bucket int, signatures binary, keys binary, ties binary")
+    return components(by_bucket(sent, n).applyInArrow(freeing(meet), "u long, v long"))
 
 
-def class_filter(keys: DataFrame) -> np.ndarray:
-    """A bit set of the keys, FILTER_WORDS longs: what is in keys is in it."""
-    h = F.xxhash64("node")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int"))
-    words = keys.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("w")).agg(F.bit_or(bit).alias("b"))
-    out = np.zeros(FILTER_WORDS, np.int64)
-    for r in words.toLocalIterator():  # as many rows as the set has longs, at most
-        out[r.w] = r.b
-    return out.view(np.uint64)
+def filter_place(nodes: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each node, by its upper bits: nodes are hashes themselves."""
+    return nodes.view(np.uint64) >> np.uint64(64 - bits)
 
 
-def class_sets(docs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
-    """(node, key, members): the sets of the classes in nodes (node), and few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(class_filter(nodes))
+def class_filter(nodes: DataFrame, total: int) -> np.ndarray:
+    """A bit set of the nodes, as bytes: what is in nodes is in it. It grows with their number, up to FILTER_BITS."""
+    bits = min(max(12, (max(1, total) * FILTER_EACH - 1).bit_length()), FILTER_BITS.bit_length() - 1)
+    parts = 1 << max(0, bits - 18)  # 32 KB each
+
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        part = np.zeros(1 << bits >> parts.bit_length() - 1, bool)
+        part[filter_place(t["node"].to_numpy(), bits) & np.uint64(len(part) - 1)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    part = F.shiftrightunsigned("node", 64 - (parts.bit_length() - 1)).cast("int") if parts > 1 else F.lit(0)
+    out = np.zeros((parts, (1 << bits) // parts // 8), np.uint8)
+    for r in nodes.select(part.alias("part"), "node").groupBy("part").applyInArrow(build, "part int, data binary").toLocalIterator():  # FILTER_BITS at most
+        out[r.part] = np.frombuffer(r.data, np.uint8)
+    return out.ravel()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        words, seen = bits.value, set()
+def class_sets(docs: DataFrame, nodes: DataFrame, total: int, sim: Similarity) -> DataFrame:
+    """(node, key, members): the sets of the classes in nodes (node), which are `total`, and few others."""
+    bits = docs.sparkSession.sparkContext.broadcast(class_filter(nodes, total))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = bits.value, set()
+        size = (len(table) * 8).bit_length() - 1
         for t in text_chunks(batches):
             found = {}
             sets = shingle_sets(t["text"], sim.words)
@@ -316,13 +342,11 @@ def class_sets(docs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
             for s in sets:
                 if not len(s) or (k := set_key(s)) in seen:
                     continue
-                for tag, _ in ranges(len(s), bands, sim):
-                    x = node(k, tag)
-                    h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), 42)
-                    h = h - (1 << 64) if h >> 63 else h
-                    if int(words[h % FILTER_WORDS]) >> ((h >> 40) % 64) & 1:
-                        found[x] = k, s
-                if len(seen) < 1 << 20:
+                own = np.array([node(k, tag) for tag, _ in ranges(len(s), bands, sim)], np.int64)
+                at = filter_place(own, size)
+                hit = table[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1
+                found |= {x: (k, s) for x in own[hit > 0].tolist()}
+                if len(seen) < SEEN:
                     seen.add(k)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([k for k, _ in found.values()], pa.int64()), pa.array([s.tobytes() for _, s in found.values()], pa.binary())], names=["node", "key", "members"])
@@ -333,13 +357,16 @@ def class_sets(docs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFrame:
 def links(docs: DataFrame, sim: Similarity) -> DataFrame:
     """(u, v): pairs of keys of linked classes; they join all that links join."""
     cl = clusters(docs, sim)
-    sizes = kept(cl.groupBy("label").agg((F.count("*") + 1).alias("size")))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, total // 500)
     # The smallest node of a cluster labels it; it may be missing among the nodes.
     keys = kept(cl.select("node", "label").unionByName(cl.select(F.col("label").alias("node"), "label").distinct()).distinct())
-    sizes = sizes.select("label", F.ceil(F.col("size") / TILE).cast("int").alias("blocks"))
-    rows = class_sets(docs, keys, sim).join(keys, "node").join(F.broadcast(sizes.where("blocks > 1")) if total <= 1 << 20 else sizes.where("blocks > 1"), "label", "left")
+    sets = stored(class_sets(docs, keys, keys.count(), sim).join(keys, "node").select("label", "node", "key", "members"), "class-sets")
+    shuffles_done(docs.sparkSession)
+    blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("members")) / TILE_BYTES)).cast("int")
+    sizes = kept(sets.groupBy("label").agg(blocks.alias("blocks"), F.sum(F.octet_length("members")).alias("bytes")).where(F.col("blocks") > 1))
+    large = sizes.agg(F.count("*").alias("n"), F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1) / 2).cast("long").alias("tiles")).first()
+    total = sets.agg(F.count("*").alias("n"), F.sum(F.octet_length("members")).alias("bytes")).first()
+    groups = max(1, total.n // 500, (total.bytes or 0) // TILE_BYTES)
+    rows = sets.join(F.broadcast(sizes) if large.n <= LARGE else sizes, "label", "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -357,7 +384,9 @@ def links(docs: DataFrame, sim: Similarity) -> DataFrame:
                 out += [(nodes[a], nodes[b]) for a, b in forest(sets, np.array([b for b, _ in members.values()]), sim)]
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    return rows.select(task.alias("task"), "label", "i", "j", "block", "key", "members").groupBy("task").applyInArrow(freeing(verify), "u long, v long")
+    rows = rows.select(task.alias("task"), "label", "i", "j", "block", "key", "members")
+    tasks = min(groups + (large.tiles or 0), TASKS)
+    return rows.repartition(max(1, tasks), "task").groupBy("task").applyInArrow(freeing(verify), "u long, v long")
 
 
 def _with_labels(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
