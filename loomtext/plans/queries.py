@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from loomtext.catalog import table
 from loomtext.functions import encodings, hashing, images, language, markup, sentences, stem, text, tokens_jwt, transform, urls
 from loomtext.operators import fuzzy, layout, search
+from loomtext.plans import golden
 from loomtext.sources import archives, csv, filetype
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(golden.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(golden.ORACLE_SQL)
 
 #: Tokens of a text in DuckDB.
 _TOKENS = r"list_filter(list_transform(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda t: lower(t)), lambda t: t <> '')"
@@ -169,6 +170,13 @@ def sentence_list(spark, d):
     return table(spark, d, "documents").select("doc_id", s).select("doc_id", "n", "span.start", "span.end", "span.sentence")
 
 
+@query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS chars FROM documents")
+def sentence_cover(spark, d):
+    """Sentences hold all characters of a text but white space between them."""
+    own = F.transform(sentences.sentence_list(F.col("text"), newline_boundaries=True), lambda s: s["sentence"])
+    return table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(F.array_join(own, ""), r"\s", "")).cast("long").alias("chars"))
+
+
 @query()
 def language_of_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", language.detect(F.col("text")).alias("code"))
@@ -185,6 +193,14 @@ def text_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(transform.split_text(F.col("text"), 1000, 100)).alias("n", "chunk"))
 
 
+@query("SELECT doc_id, md5(regexp_replace(text, '\\s', '', 'g')) AS chars_md5, true AS short_enough FROM documents")
+def chunk_cover(spark, d):
+    """Chunks hold all characters of a text but white space at their edges, and are no longer than asked for."""
+    chunks = transform.split_text(F.col("text"), 1000)
+    c = table(spark, d, "documents").select("doc_id", chunks.alias("c"))
+    return c.select("doc_id", F.md5(F.regexp_replace(F.array_join("c", ""), r"\s", "")).alias("chars_md5"), F.forall("c", lambda x: F.length(x) <= 1000).alias("short_enough"))
+
+
 @query(r"SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda t: t <> ''), '-') AS slug FROM part")
 def ascii_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", text.ascii_slug(F.col("p_name")).alias("slug"))
@@ -204,9 +220,9 @@ def links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(found).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, regexp_matches(text, '{_LINK}', 'i') AS has_link FROM documents")
+@query(f"SELECT page_id, regexp_matches(html, '{_LINK}', 'i') AS in_html, regexp_matches(url, '{_LINK}', 'i') AS in_url FROM pages")
 def has_link(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.has_link(F.col("text")).alias("has_link"))
+    return table(spark, d, "pages").select("page_id", text.has_link(F.col("html")).alias("in_html"), text.has_link(F.col("url")).alias("in_url"))
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -224,12 +240,25 @@ def diff_words(spark, d):
     return h.select("conv_id", "turn", part("added").alias("old_md5"), part("removed").alias("new_md5"))
 
 
-@query()
+_PAIRS = "(SELECT * FROM (SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations) WHERE a IS NOT NULL)"
+
+
+# No two turns that follow one another share a line, so that a changed one is all deleted and all inserted.
+def _lines(x: str, sign: str) -> str:
+    return f"""'{sign}' || replace({x}, chr(10), chr(10) || '{sign}') || chr(10) || '\\ No newline at end of file' || chr(10)"""
+
+
+def _span(x: str) -> str:
+    return f"CASE WHEN contains({x}, chr(10)) THEN '1,' || (strlen({x}) - strlen(replace({x}, chr(10), '')) + 1) ELSE '1' END"
+
+
+@query(f"""SELECT conv_id, turn, '--- turn.txt' || chr(10) || '+++ turn.txt' || chr(10) || CASE WHEN a = b THEN '' ELSE '@@ -' || {_span('a')} || ' +' || {_span('b')} || ' @@' || chr(10) || {_lines('a', '-')} || {_lines('b', '+')} END AS patch FROM {_PAIRS}""")
 def diff_patch(spark, d):
     return _turns(spark, d).select("conv_id", "turn", transform.create_patch(F.col("old"), F.col("text"), "turn.txt").alias("patch"))
 
 
-@query()
+@query(f"""SELECT conv_id, turn, CAST(k AS INTEGER) AS kind, CAST(CASE k WHEN 1 THEN strlen(a) ELSE 0 END AS INTEGER) AS old_start, CAST(strlen(a) AS INTEGER) AS old_end,
+CAST(0 AS INTEGER) AS new_start, CAST(CASE k WHEN 2 THEN 0 ELSE strlen(b) END AS INTEGER) AS new_end FROM (SELECT *, unnest(CASE WHEN a = b THEN [0] ELSE [2, 1] END) AS k FROM {_PAIRS})""")
 def diff_line_offsets(spark, d):
     return _turns(spark, d).select("conv_id", "turn", F.inline(transform.diff_offsets(F.col("old"), F.col("text"), "lines")))
 
@@ -258,9 +287,12 @@ def rendered_markdown(spark, d):
     return table(spark, d, "pages").select("page_id", markup.render_markdown(markup.turndown(F.col("html"))).alias("html"))
 
 
-@query()
+_SVG = '<svg xmlns="http://www.w3.org/2000/svg"><!-- c --><g><rect x="%.6f" y="0.000001" width="10.50" height="2" fill="#ffcc00"/></g><title>t</title></svg>'
+
+
+@query(f"""SELECT p_partkey, printf('{_SVG}', p_retailprice) AS svg, '<svg xmlns="http://www.w3.org/2000/svg"><rect x="' || rtrim(rtrim(printf('%.3f', p_retailprice), '0'), '.') || '" y="0" width="10.5" height="2" fill="#fc0"/></svg>' AS optimized FROM part""")
 def svg_optimized(spark, d):
-    svg = F.format_string('<svg xmlns="http://www.w3.org/2000/svg"><!-- c --><g><rect x="%.6f" y="0.000001" width="10.50" height="2" fill="#ffcc00"/></g><title>t</title></svg>', F.col("p_retailprice"))
+    svg = F.format_string(_SVG, F.col("p_retailprice"))
     return table(spark, d, "part").select("p_partkey", svg.alias("svg")).select("p_partkey", "svg", markup.optimize(F.col("svg")).alias("optimized"))
 
 
