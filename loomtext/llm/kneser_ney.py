@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import column_bytes, freeing, mix64, packed, text_chunks, unpacked, word_hashes
 from loomtext.llm.files import local_path, read_file, write_file
-from loomtext.session import shuffles_done, workspace
+from loomtext.session import shuffles_removed, workspace
 
 END = np.uint64(0x68E31DA4C2B2AE3D)
 #: Bytes of texts of a task that are counted together, that are scored together, and of text for each bucket.
@@ -258,7 +258,9 @@ def vocabulary(docs: DataFrame, path: str, n: int) -> Vocabulary:
 
     sizes = np.zeros(n, np.int64)
     tokens = 0
-    for r in by_bucket(docs.mapInArrow(freeing(count), SENT_DDL), n).applyInArrow(freeing(words), "bucket int, distinct long, tokens long").collect():  # WORD_FILES rows at most
+    with shuffles_removed(docs.sparkSession):
+        files = by_bucket(docs.mapInArrow(freeing(count), SENT_DDL), n).applyInArrow(freeing(words), "bucket int, distinct long, tokens long").collect()  # WORD_FILES rows at most
+    for r in files:
         sizes[r.bucket] = r.distinct
         tokens += r.tokens
     return Vocabulary(path, tuple((np.cumsum(sizes) - sizes).tolist()), tokens, int(sizes.sum()))
@@ -270,7 +272,6 @@ def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Mo
     path = path or workspace(docs.sparkSession, "kneser-ney")
     n = max(LEAST_BUCKETS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET))
     voc = vocabulary(docs, path, min(n, WORD_FILES))
-    shuffles_done(docs.sparkSession)
     all_numbers, ranges = voc.distinct + 1, len(voc.bases)
     if all_numbers >= 1 << 32:
         raise ValueError(f"{voc.distinct} distinct words; numbers of pairs have 32 bits for each")
@@ -321,9 +322,8 @@ def train(docs: DataFrame, *, text: str = "text", path: str | None = None) -> Mo
 
     sent = by_bucket(docs.mapInArrow(freeing(count), SENT_DDL), n).applyInArrow(freeing(pairs), SENT_DDL)
     sums = by_bucket(sent, ranges).applyInArrow(freeing(lower), ", ".join(f"n{i} long" for i in range(10)))
-    types, *n_of, more = (x or 0 for x in sums.agg(*(F.sum(f"n{i}") for i in range(10))).first())
-    del sent, sums
-    shuffles_done(docs.sparkSession)
+    with shuffles_removed(docs.sparkSession):
+        types, *n_of, more = (x or 0 for x in sums.agg(*(F.sum(f"n{i}") for i in range(10))).first())
     d = discounts(n_of[4:])
     left = (d[0] * n_of[4] + d[1] * n_of[5] + d[2] * more) / types if types else 1.0
     return Model(voc, n, types, discounts(n_of[:4]), d, left)
@@ -456,9 +456,8 @@ def ask(docs: DataFrame, model: Model) -> str:
 
     sent = by_bucket(docs.select("text").mapInArrow(freeing(requests), "chunk long, bucket int, data binary"), model.buckets)
     replies = sent.applyInArrow(freeing(answers), "chunk long, bucket int, data binary")
-    replies.groupBy("chunk").applyInArrow(freeing(gather), "chunk long").agg(F.count("*")).first()
-    del sent, replies
-    shuffles_done(docs.sparkSession)
+    with shuffles_removed(docs.sparkSession):
+        replies.repartition(model.buckets, "chunk").groupBy("chunk").applyInArrow(freeing(gather), "chunk long").agg(F.count("*")).first()
     return folder
 
 
