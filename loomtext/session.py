@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +26,14 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all run on one machine."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if set_dir is None and sc._jsc.sc().getCheckpointDir().isDefined():
         set_dir = sc._jsc.sc().getCheckpointDir().get()
     if set_dir is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "/tmp/checkpoints/loomtext"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(set_dir)
@@ -52,22 +56,31 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
-def shuffles_done(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nobody holds any more, as it does when the driver collects garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Frames that are made within leave no shuffle files when they have run; by default these stay until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and survives lost executors."""
     path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df after a reliable checkpoint, for small tables."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)

