@@ -1,7 +1,8 @@
 """Language by Bayesian evidence fusion.
 
 The posterior of a language is in proportion to the product of
-* the likelihood of the text: hashed byte trigrams, counted by declared language over all rows; it is tempered to
+* the likelihood of the text: hashed byte trigrams, counted by declared language over all rows, with a share of EVEN
+  for all of them alike; it is tempered to
   EVIDENCE trigrams at most, as neighbouring trigrams are not independent;
 * the likelihood of the declared language (a lang attribute or a column): how often each is declared on texts of
   each language, by grouped aggregation;
@@ -39,7 +40,7 @@ from loomtext.llm.common import column_bytes, freeing, text_chunks
 from loomtext.session import kept, stored
 
 LANGUAGES = ("en", "de", "fr", "es")
-FEATURES, EVIDENCE, LEAST, SMOOTH, SUFFIX_RIGHT, UNIT, FOREIGN = 1 << 14, 150, 0.5, 20.0, 0.7, 1_000_000, 0.01
+FEATURES, EVIDENCE, LEAST, SMOOTH, SUFFIX_RIGHT, UNIT, FOREIGN, EVEN = 1 << 14, 150, 0.5, 20.0, 0.7, 1_000_000, 0.01, 0.02
 #: Languages of country suffixes.
 COUNTRY = {"de": ("de",), "at": ("de",), "ch": ("de", "fr"), "fr": ("fr",), "be": ("fr",), "es": ("es",), "mx": ("es",), "ar": ("es",), "uk": ("en",), "us": ("en",), "au": ("en",), "ie": ("en",)}
 
@@ -141,7 +142,8 @@ def profiles(rows: list[DataFrame], languages: tuple[str, ...]) -> np.ndarray:
     for r in reduce(DataFrame.unionByName, parts).groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each language and feature at most
         n[r["at"]] = r["n"]
     n = n.reshape(len(languages), FEATURES) + 0.5
-    return np.log(n / n.sum(1, keepdims=True))
+    # A share goes to all features alike, so that what a profile has not seen costs the same however large the corpus is.
+    return np.log((1 - EVEN) * n / n.sum(1, keepdims=True) + EVEN / FEATURES)
 
 
 def background(logp: np.ndarray) -> np.ndarray:

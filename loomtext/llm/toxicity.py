@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import column_bytes, freeing, text_chunks
 
 SAMPLE, LEAST_COUNT, FALSE, RIDGE, FOLDS = 20_000, 3, 0.1, 0.5, 5
-CHUNK = 8 << 20
+CHUNK, KNOWN = 8 << 20, 1 << 16
 
 #: Letters that a symbol can stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -91,6 +91,7 @@ def trigrams(docs: DataFrame) -> np.ndarray:
 class Decoder:
     def __init__(self, logp: np.ndarray):
         self.logp = logp.tolist()
+        self.known: dict[str, str] = {}
 
     @staticmethod
     def lattice(s: str) -> list[list[tuple[str, float]]]:
@@ -118,7 +119,15 @@ class Decoder:
         return out
 
     def decode(self, s: str) -> str:
-        """The best path through the lattice of s."""
+        """The best path through the lattice of s; short tokens come again and again, up to KNOWN of them are kept."""
+        best = self.known.get(s)
+        if best is None:
+            best = self.best_path(s)
+            if len(self.known) < KNOWN and len(s) < 64:
+                self.known[s] = best
+        return best
+
+    def best_path(self, s: str) -> str:
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         logp = self.logp
         for options in [*self.lattice(s), [(" ", 0.0)]]:

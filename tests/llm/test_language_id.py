@@ -27,7 +27,7 @@ def brute(rows):
         if d in L:
             for f in trigrams(text or ""):
                 n[L.index(d), f] += 1
-    logp = np.log(n / n.sum(1, keepdims=True))
+    logp = np.log((1 - li.EVEN) * n / n.sum(1, keepdims=True) + li.EVEN / li.FEATURES)
     ps, count, known = [], [], []
     none = np.log(0.5 * np.exp(logp).mean(0) + 0.5 / li.FEATURES)
     for text, *_ in rows:

@@ -92,3 +92,66 @@ def test_run_equals_the_stages(spark, stages):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+INNER = ["_n", "_hash", "_set", "_id", "c0", "_text", "key"]
+LONG = "\n".join(f"the land of thing number {i} and the other place" for i in range(20_000))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, null ids, null, empty, blank and very long texts, and columns named like inner ones."""
+    texts = [(1, "the thing of the other land"), (1, "the thing of the other land"), (None, "the other place and land of the thing"), (2, None), (3, ""), (4, " \n "), (5, LONG), (6, "12 !"), (7, "the thing of the other land"), (8, LONG + "\nand one more line of the land")]
+    rows = [(d, t, "en", None if i % 2 else "s", len(t or ""), *(100 * k + (0 if i == 1 else i) for k in range(len(INNER)))) for i, (d, t) in enumerate(texts)]
+    rows[1] = rows[0]  # a whole row twice
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in INNER)
+    return spark.createDataFrame(rows, ddl).repartition(3), rows
+
+
+def run_stage(spark, name, df):
+    out = dict(cp.STAGES)[name](spark, df, "")
+    return out, sorted(map(tuple, out.collect()), key=repr)
+
+
+def test_odd_rows_in_language_stage(spark, odd):
+    df, rows = odd
+    out, got = run_stage(spark, "language_id", df)
+    assert out.columns == df.columns and got == sorted((r for r in rows if r[1] and "the" in r[1]), key=repr)
+    assert run_stage(spark, "language_id", df.limit(0))[1] == []
+
+
+def test_odd_rows_in_line_stage(spark, odd):
+    df, rows = odd
+    out, got = run_stage(spark, "line_dedup", df)
+    # The lines of LONG in document 8 are later copies of those in document 5; short lines are no run of 30 words.
+    want = [(*r[:1], "and one more line of the land", *r[2:4], 29, *r[5:]) if r[0] == 8 else (*r[:4], None if r[1] is None else len(r[1]), *r[5:]) for r in rows]
+    assert out.columns == df.columns and got == sorted(want, key=repr)
+    assert run_stage(spark, "line_dedup", df.limit(0))[1] == []
+
+
+def test_odd_rows_in_near_duplicate_stage(spark, odd):
+    df, rows = odd
+    out, got = run_stage(spark, "near_duplicates", df)
+    want = [r for i, r in enumerate(rows) if i not in (1, 8, 9)]  # a repeated row, a copy of document 1, and 8 beside 5
+    assert out.columns == df.columns and got == sorted(want, key=repr)
+    assert run_stage(spark, "near_duplicates", df.limit(0))[1] == []
+
+
+def test_odd_rows_in_mixing_stage(spark, odd):
+    from loomtext.llm import mixing
+
+    df, rows = odd
+    out, got = run_stage(spark, "mixing", df)
+    assert out.columns == df.columns and set(got) <= set(rows)
+    words = lambda rs: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rs)
+    taken = mixing.mix(df).collect()
+    assert words(got) == sum(r.taken for r in taken) and run_stage(spark, "mixing", df.limit(0))[1] == []
+
+
+def test_odd_rows_in_token_stage(spark, odd):
+    df, rows = odd
+    t = tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    got = run_stage(spark, "bpe", df)[1]
+    want = [(r[0], r[3], len(i := t.encode(r[1] or "", add_special_tokens=False).ids), i) for r in rows]
+    assert sorted(((a, b, n, list(i)) for a, b, n, i in got), key=repr) == sorted(want, key=repr)
+    assert run_stage(spark, "bpe", df.limit(0))[1] == []
