@@ -15,12 +15,22 @@ from loomtext.session import stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; texts without a letter and undecided ones go."""
+    """Documents whose language is known: texts without a letter, those that no language of the profiles explains, and undecided ones go.
+
+    Null and empty texts go; a null lang or source says nothing; long texts count whole, tempered as others are; equal
+    posteriors go to the first language; repeated rows each stay or go alike; an empty table stays empty; further
+    columns are kept, whatever their names.
+    """
     return language_id.accepted(docs, language_id.documents_input())
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs of lines; n_chars follows. Documents of which every line was such a copy go."""
+    """Texts without later copies of repeated runs of lines; n_chars follows. Documents of which every line was such a copy go.
+
+    Null, empty and blank texts stay as they are; long texts count whole; of copies the one with the smallest doc_id
+    (null first), then hash of the text, then place stays; rows equal in doc_id and text are one document and get one
+    result; an empty table stays empty; further columns are kept, whatever their names.
+    """
     from pyspark.sql import functions as F
 
     out = line_dedup.without_repeats(docs)
@@ -28,17 +38,31 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five words, Jaccard similarity of 0.8 or more.
+
+    Null and empty texts and texts without words link with nothing and all stay; long texts count whole; the smallest
+    doc_id of a group stays (null last), of rows alike in doc_id and text one; an empty table stays empty; further
+    columns are kept, whatever their names.
+    """
     return ngram_join.one_of_each(docs, ngram_join.Similarity(words=5, num=80, den=100))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    Null and empty texts have no words and are taken as their hash says; a null source is a source, last in order; long
+    texts count whole; rows with one doc_id (null too) share a hash and are taken alike; an empty table stays empty;
+    further columns are kept, whatever their names.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids."""
+    """doc_id, source, n_tokens and ids.
+
+    Null counts as empty text, which has no ids; long texts are encoded whole; repeated rows and null doc_ids stay; an
+    empty table stays empty; further columns are left out.
+    """
     return bpe.encode(docs, tokenizer_path(), keep=["doc_id", "source"]).select("doc_id", "source", "n_tokens", "ids")
 
 
