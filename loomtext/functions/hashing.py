@@ -75,11 +75,13 @@ def hash_stream(df: DataFrame, key: str, order: str, data: str, kind: str = "xxh
     def run(t: pa.Table) -> pa.Table:
         import xxhash
 
-        h = {"xxh32": xxhash.xxh32, "xxh64": xxhash.xxh64, "xxh3_64": xxhash.xxh3_64}[kind](seed=seed)
+        h = {"xxh32": xxhash.xxh32, "xxh64": xxhash.xxh64, "xxh3_64": xxhash.xxh3_64, "xxh3_128": xxhash.xxh3_128}[kind](seed=seed)
         for x in t.sort_by("_o")["_d"].to_pylist():
             h.update(x or b"")
+        if kind == "xxh3_128":
+            return pa.table({"_k": t["_k"][:1], "digest": pa.array([h.hexdigest()])})
         return pa.table({"_k": t["_k"][:1], "digest": pa.array([_signed(h.intdigest()) if kind != "xxh32" else h.intdigest()], pa.int64())})
 
     t = df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(data).cast("binary").alias("_d"))
     kind_of_key = t.schema["_k"].dataType.simpleString()
-    return t.groupBy("_k").applyInArrow(run, f"_k {kind_of_key}, digest long").withColumnRenamed("_k", key)
+    return t.groupBy("_k").applyInArrow(run, f"_k {kind_of_key}, digest {'string' if kind == 'xxh3_128' else 'long'}").withColumnRenamed("_k", key)

@@ -1,12 +1,14 @@
-"""Snowball stemmers from their published descriptions: English (Porter 2), German, Danish, Norwegian, Swedish."""
+"""Snowball stemmers from their published descriptions: English (Porter 2), German, Danish, Norwegian, Swedish here, six more languages beside."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from loomtext.functions import stem_romance as romance
 from loomtext.functions import text as tx
 from loomtext.functions.udf import scalar
 
@@ -219,7 +221,10 @@ def swedish(word: str) -> str:
     return w
 
 
-STEMMERS = {"english": english, "german": german, "danish": danish, "norwegian": norwegian, "swedish": swedish}
+STEMMERS = {
+    "english": english, "german": german, "danish": danish, "norwegian": norwegian, "swedish": swedish, "french": romance.french, "spanish": romance.spanish,
+    "portuguese": romance.portuguese, "italian": romance.italian, "dutch": romance.dutch, "russian": romance.russian,
+}
 
 
 def stemmer(language: str):
@@ -240,9 +245,23 @@ def stem_words(words: Column, language: str = "english") -> Column:
     return scalar(lambda ws: [stem_once(w, language) for w in ws], "array<string>")(words)
 
 
+def stem_word(word: Column, language: str = "english") -> Column:
+    """The stem of a word."""
+    stemmer(language)
+    return scalar(lambda w: stem_once(w, language), "string")(word)
+
+
+def stem_counts(docs: DataFrame, text: str = "text", language: str = "english", *, min_token_bytes: int = 2, stopwords_en: bool = False) -> DataFrame:
+    """(stem, n) over all texts: tokens are counted first, so that each distinct one is stemmed once."""
+    tokens = docs.select(F.explode(_stemmed_tokens(F.col(text), language, min_token_bytes, stopwords_en)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return tokens.select(stem_word(F.col("t"), language).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
+
+
+def _stemmed_tokens(text: Column, language: str, min_token_bytes: int, stopwords_en: bool) -> Column:
+    words = tx.longer_than(tx.tokens(text), min_token_bytes)
+    return tx.without(words, tx.STEM_STOPWORDS) if stopwords_en and language == "english" else words
+
+
 def tokenize_and_stem(text: Column, language: str = "english", *, min_token_bytes: int = 2, stopwords_en: bool = False) -> Column:
     """Stems of the tokens of a text; stop words go only for the language 'english', spelt so."""
-    words = tx.longer_than(tx.tokens(text), min_token_bytes)
-    if stopwords_en and language == "english":
-        words = tx.without(words, tx.STEM_STOPWORDS)
-    return stem_words(words, language)
+    return stem_words(_stemmed_tokens(text, language, min_token_bytes, stopwords_en), language)

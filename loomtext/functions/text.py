@@ -24,9 +24,8 @@ def tokens(text: Column) -> Column:
 
 
 def without(words: Column, stop: list[str]) -> Column:
-    """words that are not in stop, repeats kept."""
-    lists = F.array(*map(F.lit, stop))
-    return F.filter(words, lambda t: ~F.array_contains(lists, t))
+    """words that are not in stop, repeats kept: one look into a hash set for each."""
+    return F.filter(words, lambda t: ~t.isin(list(stop))) if stop else words
 
 
 def tokens_with_stopwords(text: Column, stop: list[str] | None = None) -> Column:

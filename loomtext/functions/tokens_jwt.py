@@ -1,4 +1,6 @@
-"""JSON web tokens and keys: decoding and thumbprints as expressions, HMAC signatures as functions."""
+"""JSON web tokens and keys: decoding and thumbprints as expressions, signatures as functions.
+
+Secrets are texts for HS256, HS384 and HS512, and JSON web keys for RS*, PS*, ES256, ES384 and EdDSA."""
 
 from __future__ import annotations
 
@@ -11,6 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions import keys
 from loomtext.functions.udf import scalar
 
 _HASH = {"HS256": hashlib.sha256, "HS384": hashlib.sha384, "HS512": hashlib.sha512}
@@ -56,14 +59,15 @@ def duration_ms(text: str | int | float) -> int:
 
 
 def sign_text(payload: str, secret: str, algorithm: str = "HS256", now: int = 0, expires_in: str | None = None) -> str:
-    if algorithm not in _HASH:
+    if algorithm not in _HASH and algorithm not in keys.ALGORITHMS:
         raise ValueError(f"unsupported algorithm: {algorithm}")
     claims = json.loads(payload)
     claims.setdefault("iat", now)
     if expires_in is not None:
         claims["exp"] = now + duration_ms(expires_in) // 1000
     body = f"{_b64(json.dumps({'alg': algorithm, 'typ': 'JWT'}, separators=(',', ':')).encode())}.{_b64(json.dumps(claims, separators=(',', ':')).encode())}"
-    return f"{body}.{_b64(hmac.new(secret.encode(), body.encode(), _HASH[algorithm]).digest())}"
+    signature = hmac.new(secret.encode(), body.encode(), _HASH[algorithm]).digest() if algorithm in _HASH else keys.sign(secret, body.encode(), algorithm)
+    return f"{body}.{_b64(signature)}"
 
 
 def verify_text(token: str, secret: str, now: int, leeway: int = 0, algorithms: tuple[str, ...] = ("HS256",)) -> str | None:
@@ -76,9 +80,10 @@ def verify_text(token: str, secret: str, now: int, leeway: int = 0, algorithms:
         name, claims = json.loads(head).get("alg"), json.loads(body)
     except ValueError:
         return None
-    if name not in algorithms or name not in _HASH:
+    if name not in algorithms or name not in _HASH and name not in keys.ALGORITHMS:
         return None
-    if not hmac.compare_digest(signature, hmac.new(secret.encode(), f"{parts[0]}.{parts[1]}".encode(), _HASH[name]).digest()):
+    signed = f"{parts[0]}.{parts[1]}".encode()
+    if not (hmac.compare_digest(signature, hmac.new(secret.encode(), signed, _HASH[name]).digest()) if name in _HASH else keys.verify(secret, signed, signature, name)):
         return None
     if claims.get("exp", now) < now - leeway or claims.get("nbf", now) > now + leeway:
         return None

@@ -7,6 +7,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 
 from loomtext.functions.udf import scalar
@@ -57,14 +58,22 @@ def chunk_text(text: str, size: int = 1000, overlap: int = 0, markdown: bool = F
 
     out: list[str] = []
     held: list[str] = []
+    room = 0  # characters of held
     for p in parts(text, 0):
-        if held and len("".join(held).strip()) + len(p.rstrip()) > size or held and len(("".join(held) + p).strip()) > size:
+        edge = len(p) - len(p.rstrip())
+        # As long as the first part has a character that stays, trimming takes the edges of the outermost parts alone.
+        lead = len(held[0]) - len(held[0].lstrip()) if held else 0
+        solid = held and lead < len(held[0]) and edge < len(p)
+        if held and (room + len(p) - lead - edge if solid else len(("".join(held) + p).strip())) > size:
             out.append("".join(held).strip())
             keep: list[str] = []
-            while held and len("".join([held[-1], *keep])) <= overlap and len(("".join([held[-1], *keep]) + p).strip()) <= size:
+            kept = 0
+            while held and kept + len(held[-1]) <= overlap and len(("".join([held[-1], *keep]) + p).strip()) <= size:
+                kept += len(held[-1])
                 keep.insert(0, held.pop())
-            held = keep
+            held, room = keep, kept
         held.append(p)
+        room += len(p)
     out.append("".join(held).strip())
     return [c for c in out if c]
 
@@ -75,8 +84,70 @@ def split_text(text: Column, size: int = 1000, overlap: int = 0, markdown: bool
     return scalar(lambda t: chunk_text(t, size, overlap, markdown), "array<string>")(text)
 
 
+class _Reach:
+    """How far d edits reach in u on the diagonal 2 * i - d, for each i of 0 to d: a row for each d.
+
+    Rows grow with d, so only every STEP-th is held; those between are made again when the way back needs them.
+    """
+
+    STEP = 256
+
+    def __init__(self, u: np.ndarray, w: np.ndarray):
+        self.u, self.w, self.held, self.block, self.first = u, w, {}, [], -1
+
+    def after(self, last: np.ndarray | None) -> np.ndarray:
+        if last is None:
+            x = np.zeros(1, np.int64)
+        else:
+            x = np.empty(len(last) + 1, np.int64)
+            x[0], x[-1] = last[0], last[-1] + 1
+            x[1:-1] = np.where(last[:-1] < last[1:], last[1:], last[:-1] + 1)
+        d = len(x) - 1
+        y = x - (2 * np.arange(d + 1) - d)
+        at = np.flatnonzero((x < len(self.u)) & (y < len(self.w)))
+        at = at[self.u[x[at]] == self.w[y[at]]]
+        while len(at) > 8:
+            x[at] += 1
+            y[at] += 1
+            at = at[(x[at] < len(self.u)) & (y[at] < len(self.w))]
+            at = at[self.u[x[at]] == self.w[y[at]]]
+        for i in at.tolist():
+            # Few long runs of equal items: compared in pieces that double.
+            a, b, piece = int(x[i]), int(y[i]), 16
+            while True:
+                p, q = self.u[a : a + piece], self.w[b : b + piece]
+                n = min(len(p), len(q))
+                differ = np.flatnonzero(p[:n] != q[:n])
+                same = int(differ[0]) if len(differ) else n
+                a, b = a + same, b + same
+                if same < piece:
+                    break
+                piece *= 2
+            x[i] = a
+        return x
+
+    def edits(self) -> int:
+        """The least number of edits."""
+        row, d, goal = None, 0, len(self.u) - len(self.w)
+        while True:
+            row = self.after(row)
+            if d % self.STEP == 0:
+                self.held[d] = row
+            if abs(goal) <= d and (goal + d) % 2 == 0 and row[(goal + d) // 2] >= len(self.u):
+                return d
+            d += 1
+
+    def row(self, d: int) -> np.ndarray:
+        first = d - d % self.STEP
+        if first != self.first:
+            self.first, self.block = first, [self.held[first]]
+        while len(self.block) <= d - first:
+            self.block.append(self.after(self.block[-1]))
+        return self.block[d - first]
+
+
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
-    """Shortest edit script by Myers' greedy algorithm: runs (kind, a from, a to, b from, b to); deletions before insertions."""
+    """Shortest edit script by Myers' greedy algorithm, a row of diagonals at a time: runs (kind, a from, a to, b from, b to); deletions before insertions."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -85,36 +156,16 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, in
         tail += 1
     x_end, y_end = len(a) - tail - head, len(b) - tail - head
     u, w = a[head : head + x_end], b[head : head + y_end]
-    # rows[d][i]: how far d edits reach in u on the diagonal 2 * i - d.
-    rows: list[list[int]] = []
-    while True:
-        d, row = len(rows), []
-        last = rows[-1] if rows else []
-        for i in range(d + 1):
-            if d == 0:
-                x = 0
-            elif i == 0 or i < d and last[i - 1] < last[i]:
-                x = last[i]
-            else:
-                x = last[i - 1] + 1
-            y = x - (2 * i - d)
-            while x < x_end and y < y_end and u[x] == w[y]:
-                x, y = x + 1, y + 1
-            row.append(x)
-            if x >= x_end and y >= y_end:
-                break
-        rows.append(row)
-        if x >= x_end and y >= y_end:
-            break
+    code: dict[str, int] = {}
+    reach = _Reach(np.array([code.setdefault(c, len(code)) for c in u], np.int64), np.array([code.setdefault(c, len(code)) for c in w], np.int64))
     ops, x, y = [], x_end, y_end
-    for d in range(len(rows) - 1, 0, -1):
-        last, i = rows[d - 1], (x - y + d) // 2
+    for d in range(reach.edits(), 0, -1):
+        last, i = reach.row(d - 1), (x - y + d) // 2
         down = i == 0 or i < d and last[i - 1] < last[i]
-        px = last[i] if down else last[i - 1]
+        px = int(last[i] if down else last[i - 1])
         py = px - (2 * i - d) - (1 if down else -1)
-        while x > px + (not down) and y > py + down:
-            x, y = x - 1, y - 1
-            ops.append("=")
+        same = x - px - (not down)
+        ops += "=" * same
         ops.append("+" if down else "-")
         x, y = px, py
     ops += "=" * x

@@ -184,8 +184,17 @@ def language_of_documents(spark, d):
 
 @query()
 def stems(spark, d):
-    s = F.explode(stem.tokenize_and_stem(F.col("text"), "english", stopwords_en=True)).alias("stem")
-    return table(spark, d, "documents").select(s).groupBy("stem").agg(F.count("*").alias("n"))
+    return stem.stem_counts(table(spark, d, "documents"), "text", "english", stopwords_en=True)
+
+
+_STEM_STOP = ", ".join(f"'{w}'" for w in text.STEM_STOPWORDS)
+
+
+@query(f"SELECT doc_id, len(list_filter({_TOKENS}, lambda t: strlen(t) >= 2 AND t NOT IN ({_STEM_STOP}))) AS stems FROM documents")
+def stems_of_documents(spark, d):
+    """Each token that counts has a stem."""
+    s = stem.tokenize_and_stem(F.col("text"), "english", stopwords_en=True)
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(s, lambda x: x.isNotNull())).cast("long").alias("stems"))
 
 
 @query()

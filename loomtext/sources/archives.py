@@ -201,6 +201,10 @@ def read_sheets(data: bytes) -> list[dict]:
                     cells += [{"kind": "empty", "text": None, "number": None, "bool_value": None}] * (at - len(cells))
                     cells.append(_cell(c, shared, dates))
                 rows.append(cells)
+            # A sheet is a rectangle: rows are filled up to the widest.
+            width = max(map(len, rows), default=0)
+            for cells in rows:
+                cells += [{"kind": "empty", "text": None, "number": None, "bool_value": None}] * (width - len(cells))
             out.append({"name": s.get("name"), "rows": rows})
         return out
 
@@ -290,6 +294,17 @@ def xlsx_write(df: DataFrame, workbook: str, sheet: str, order: str) -> DataFram
     return df.groupBy(workbook).applyInArrow(run, schema)
 
 
+def sheet_from_objects(name: str, objects: list[dict]) -> bytes:
+    """A workbook of one sheet: the header is the union of the objects' keys in order of first sight, missing values are empty."""
+    names = list(dict.fromkeys(k for o in objects for k in o))
+    return write_sheets([(name, [names, *([o.get(k) for k in names] for o in objects)] if objects else [])])
+
+
+def xlsx_from_objects(objects: Column, name: str = "Sheet1") -> Column:
+    """An array of maps of texts as a workbook."""
+    return scalar(lambda rows: sheet_from_objects(name, [dict(r) for r in rows]), "binary")(objects)
+
+
 def archive_files(spark, path: str) -> DataFrame:
     """Files as rows: path and content."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data"))

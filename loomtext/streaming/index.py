@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomtext.functions import text as tx
-from loomtext.operators.search import Index
+from loomtext.operators.search import Index, build_index, dictionary
 
 
 def follow(docs: DataFrame, path: str, checkpoint: str, *, id: str = "doc_id", text: str = "text", available_now: bool = True) -> StreamingQuery:
     """Appends postings and lengths of a stream of documents below path, batch by batch; a batch that runs again writes the same folder again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        t = batch.select(F.col(id).alias("doc_key"), F.col(id).alias("id"), F.coalesce(tx.tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
-        postings = t.select("doc_key", F.explode("words").alias("term")).groupBy("term", "doc_key").agg(F.count("*").alias("tf"))
-        postings.write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
-        t.select("doc_key", "id", F.size("words").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
+        index = build_index(batch, id=id, text=text)
+        index.postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
+        index.docs.write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
 
     w = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
@@ -27,7 +25,8 @@ def load(spark: SparkSession, path: str) -> Index:
     """The index of all batches so far; totals come from the documents' lengths."""
     docs = spark.read.parquet(f"{path}/docs").drop("batch")
     corpus = docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(spark.read.parquet(f"{path}/postings").drop("batch"), docs, corpus)
+    postings = spark.read.parquet(f"{path}/postings").drop("batch")
+    return Index(postings, dictionary(postings), docs, corpus)
 
 
 def windowed_counts(events: DataFrame, *, time: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -120,7 +120,7 @@ def test_xlsx():
     data = archives.write_sheets([("people", [["name", "age", "ok"], ["Alice", 30, True], ["<Bob>", 25.5, None]]), ("e", [])])
     sheets = archives.read_sheets(data)
     assert [s["name"] for s in sheets] == ["people", "e"]
-    assert [[c["text"] if c["kind"] == "string" else c["number"] if c["kind"] == "number" else c["bool_value"] for c in r] for r in sheets[0]["rows"]] == [["name", "age", "ok"], ["Alice", 30.0, True], ["<Bob>", 25.5]]
+    assert [[c["text"] if c["kind"] == "string" else c["number"] if c["kind"] == "number" else c["bool_value"] for c in r] for r in sheets[0]["rows"]] == [["name", "age", "ok"], ["Alice", 30.0, True], ["<Bob>", 25.5, None]]
 
 
 def test_file_types(spark):
