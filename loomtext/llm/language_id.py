@@ -10,9 +10,9 @@ The posterior of a language is in proportion to the product of
 * the prior of the host, smoothed towards that of its suffix, which is smoothed towards that of all rows. The counts
   are sums of text posteriors by host and by suffix, without the row's own.
 
-A row is accepted if its text has a letter, the best posterior is LEAST or more, and the text is not better explained by
-none of the languages: a background that gives half its weight to the mean of their profiles and half to all trigrams
-alike, with a prior of FOREIGN. Texts go through two passes, for the profiles and for the evidence; all that follows
+A row is accepted if its text has a trigram with a letter, the best posterior is LEAST or more, and the text is better explained by one
+of the languages, or by all of them mixed, than by none: a background in which all trigrams are alike, with a prior of
+FOREIGN. Texts go through two passes, for the profiles and for the evidence; all that follows
 works on a few numbers for each row, and `accepted` leaves out of the table the rows whose hash is that of a row it
 rejects (equal rows have equal results), so texts are never shuffled by host.
 
@@ -146,9 +146,9 @@ def profiles(rows: list[DataFrame], languages: tuple[str, ...]) -> np.ndarray:
     return np.log((1 - EVEN) * n / n.sum(1, keepdims=True) + EVEN / FEATURES)
 
 
-def background(logp: np.ndarray) -> np.ndarray:
-    """log P(feature) for texts of no language of the profiles."""
-    return np.log(0.5 * np.exp(logp).mean(0) + 0.5 / FEATURES)
+def mixed(logp: np.ndarray) -> np.ndarray:
+    """log P(feature) for texts in all of the languages."""
+    return np.log(np.exp(logp).mean(0))
 
 
 def text_evidence(t: pa.Table, logp: np.ndarray, languages: tuple[str, ...]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
@@ -159,12 +159,12 @@ def text_evidence(t: pa.Table, logp: np.ndarray, languages: tuple[str, ...]) ->
     n, s = np.zeros(len(declared), np.int64), np.zeros((len(declared), len(languages) + 1))
     if len(full):
         n[full] = np.add.reduceat(ok.astype(np.int64), offsets[full])
-        for k, row in enumerate([*logp, background(logp)]):
+        for k, row in enumerate([*logp, mixed(logp)]):
             s[full, k] = np.add.reduceat(np.where(ok, row[f], 0.0), offsets[full])
     s *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
-    s, none = s[:, :-1], s[:, -1]
+    odds = np.clip(s.max(1) + np.minimum(n, EVIDENCE) * np.log(FEATURES) + np.log(1 / FOREIGN - 1), -700, 700)
+    s = s[:, :-1]
     p = np.exp(s - s.max(1, keepdims=True))
-    odds = np.clip(s.max(1, initial=-np.inf) - none + np.log(1 / FOREIGN - 1), -700, 700)
     return declared, n, np.round(p / p.sum(1, keepdims=True), 9), np.round(1 / (1 + np.exp(-odds)), 9)
 
 

@@ -29,11 +29,11 @@ def brute(rows):
                 n[L.index(d), f] += 1
     logp = np.log((1 - li.EVEN) * n / n.sum(1, keepdims=True) + li.EVEN / li.FEATURES)
     ps, count, known = [], [], []
-    none = np.log(0.5 * np.exp(logp).mean(0) + 0.5 / li.FEATURES)
+    both = [*logp, np.log(np.exp(logp).mean(0))]
     for text, *_ in rows:
         f = trigrams(text or "")
         share = min(len(f), li.EVIDENCE) / max(1, len(f))
-        odds = share * (max(sum(logp[k, x] for x in f) for k in range(len(L))) - sum(none[x] for x in f)) + math.log(1 / li.FOREIGN - 1)
+        odds = share * (max(sum(m[x] for x in f) for m in both) + len(f) * math.log(li.FEATURES)) + math.log(1 / li.FOREIGN - 1)
         known.append(odds >= 0)
         s = sum((logp[:, x] for x in f), np.zeros(len(L))) * min(len(f), li.EVIDENCE) / max(1, len(f))
         p = np.exp(s - s.max())
