@@ -188,9 +188,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, *, end
 
 def read_token_files(manifest: DataFrame, *, digest: bool = False) -> DataFrame:
     """Documents in the files of a manifest: doc_id, start (ids of all documents before it), n_tokens, and ids, or with digest their crc32."""
-    first = F.coalesce(F.sum("tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row for each file of millions of ids: the window is small.
-    files = manifest.withColumn("first", first).select("path", "first").repartition(max(2, manifest.sparkSession.sparkContext.defaultParallelism * 2))
+    # Ids before a file: those of the tasks before its own (a row for each task that wrote), and of its task's files before it.
+    before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", before(Window.orderBy("part")).alias("base"))
+    files = manifest.withColumn("own", before(Window.partitionBy("part").orderBy("seq"))).join(F.broadcast(parts), "part")
+    files = files.select("path", (F.col("base") + F.col("own")).alias("first")).repartition(max(2, manifest.sparkSession.sparkContext.defaultParallelism * 2))
     kind = pa.uint32() if digest else pa.list_(pa.int64())
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()) if digest else ("ids", kind)])
 
