@@ -351,7 +351,9 @@ def class_sets(docs: DataFrame, nodes: DataFrame, total: int, sim: Similarity) -
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([k for k, _ in found.values()], pa.int64()), pa.array([s.tobytes() for _, s in found.values()], pa.binary())], names=["node", "key", "members"])
 
-    return docs.select("text").mapInArrow(freeing(run), "node long, key long, members binary").dropDuplicates(["node"])
+    sets = docs.select("text").mapInArrow(freeing(run), "node long, key long, members binary")
+    # More partitions for more classes, not larger ones.
+    return sets.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, total // 500), "node").dropDuplicates(["node"])
 
 
 def links(docs: DataFrame, sim: Similarity) -> DataFrame:
