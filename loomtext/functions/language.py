@@ -33,7 +33,7 @@ for _code, _words in WORDS.items():
     for _word in dict.fromkeys(_words.split()):
         _SPEAKERS.setdefault(_word, []).append(_code)
 _RUN = re.compile(r"[^\W\d_]+")
-_LETTERS = {"deu": "äöüß", "fra": "éèêàçùœ", "spa": "ñ¿¡áíóú", "por": "ãõç", "swe": "åäö", "dan": "æøå", "pol": "ąęłńśźżó", "tur": "ğşıç", "fin": "äö", "ita": "àèìòù"}
+LETTERS = {"deu": "äöüß", "fra": "éèêàçùœ", "spa": "ñ¿¡áíóú", "por": "ãõç", "swe": "åäö", "dan": "æøå", "pol": "ąęłńśźżó", "tur": "ğşıç", "fin": "äö", "ita": "àèìòù"}
 
 
 def ranked(text: str, only: frozenset[str] = frozenset(), ignore: frozenset[str] = frozenset()) -> list[tuple[str, float]]:
@@ -58,7 +58,7 @@ def ranked(text: str, only: frozenset[str] = frozenset(), ignore: frozenset[str]
         for code in _SPEAKERS.get(w, ()):
             known[code] += n
     count = max(1, sum(words.values()))
-    score = {c: known[c] / count + 0.5 * sum(marks[x] for x in _LETTERS.get(c, "")) / total for c in WORDS if keep(c)}
+    score = {c: known[c] / count + 0.5 * sum(marks[x] for x in LETTERS.get(c, "")) / total for c in WORDS if keep(c)}
     return sorted(((c, s) for c, s in score.items() if s > 0), key=lambda x: (-x[1], x[0]))
 
 

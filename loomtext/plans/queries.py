@@ -177,7 +177,18 @@ def sentence_cover(spark, d):
     return table(spark, d, "documents").select("doc_id", F.length(F.regexp_replace(F.array_join(own, ""), r"\s", "")).cast("long").alias("chars"))
 
 
-@query()
+_WORDS = ", ".join(f"('{c}', '{w}')" for c, ws in language.WORDS.items() for w in dict.fromkeys(ws.split()))
+_MARKS = ", ".join(f"('{c}', '[{language.LETTERS.get(c, chr(0x10FFFF))}]')" for c in language.WORDS)
+
+
+# All texts of the table are in Latin letters, so words and letters decide.
+@query(rf"""WITH w(code, word) AS (VALUES {_WORDS}), m(code, marks) AS (VALUES {_MARKS}), t AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+n AS (SELECT doc_id, low, greatest(1, len(regexp_extract_all(low, '\p{{L}}+'))) AS words, len(regexp_extract_all(text, '\p{{L}}')) AS letters, strlen(text) AS bytes FROM t),
+k AS (SELECT doc_id, code, count(*) AS known FROM (SELECT doc_id, unnest(regexp_extract_all(low, '\p{{L}}+')) AS word FROM t) JOIN w USING (word) GROUP BY ALL),
+s AS (SELECT n.doc_id, m.code, CAST(coalesce(known, 0) AS DOUBLE) / words + CAST(0.5 AS DOUBLE) * len(regexp_extract_all(low, marks)) / letters AS score
+  FROM n CROSS JOIN m LEFT JOIN k ON k.doc_id = n.doc_id AND k.code = m.code WHERE letters > 0 AND bytes >= 10),
+b AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) AS r FROM s WHERE score > 0)
+SELECT doc_id, coalesce(code, 'und') AS code FROM documents LEFT JOIN (SELECT * FROM b WHERE r = 1) USING (doc_id)""")
 def language_of_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", language.detect(F.col("text")).alias("code"))
 
