@@ -23,8 +23,8 @@ def cases(name: str, fn: Callable[[Column, Column], Column], *rows: tuple[str |
     """rows: first input, second input, result."""
 
     def run(spark, sf_dir) -> DataFrame:
-        df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "case long, a string, b string")
-        return df.select("case", fn(F.col("a"), F.col("b")).cast("string").alias("result"))
+        df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "case_id long, a string, b string")
+        return df.select("case_id", fn(F.col("a"), F.col("b")).cast("string").alias("result"))
 
     def literal(x: str | None) -> str:
         if x is None:
@@ -34,7 +34,7 @@ def cases(name: str, fn: Callable[[Column, Column], Column], *rows: tuple[str |
 
     QUERIES[name] = run
     values = ", ".join(f"({i}, {literal(want)})" for i, (_, _, want) in enumerate(rows))
-    ORACLE_SQL[name] = f'SELECT CAST(n AS BIGINT) AS "case", CAST(r AS VARCHAR) AS result FROM (VALUES {values}) AS t(n, r)'
+    ORACLE_SQL[name] = f'SELECT CAST(n AS BIGINT) AS case_id, CAST(r AS VARCHAR) AS result FROM (VALUES {values}) AS t(n, r)'
 
 
 def _joined(x: Column) -> Column:
@@ -245,32 +245,32 @@ def _fuzzy(spark, sf_dir) -> DataFrame:
     books = [(0, '{"title":"Old Man War","author":"John"}'), (1, '{"title":"The Lock Artist","author":"Steve"}'), (2, '{"title":"HTML5","author":"Remy"}')]
     asked = [(0, "lock artist"), (1, "html5"), (2, "zzz"), (3, "")]
     found = fuzzy.search(spark.createDataFrame(books, "ref_index long, record string"), spark.createDataFrame(asked, "query_id long, query string"), keys=[("title", 1.0), ("author", 0.5)])
-    return found.select(F.col("query_id").alias("case"), F.concat_ws(" ", F.col("ref_index").cast("string"), F.col("rank").cast("string")).alias("result"))
+    return found.select(F.col("query_id").alias("case_id"), F.concat_ws(" ", F.col("ref_index").cast("string"), F.col("rank").cast("string")).alias("result"))
 
 
 QUERIES["fuzzy_cases"] = _fuzzy
-ORACLE_SQL["fuzzy_cases"] = """SELECT CAST(n AS BIGINT) AS "case", r AS result FROM (VALUES (0, '1 1'), (1, '2 1')) AS t(n, r)"""
+ORACLE_SQL["fuzzy_cases"] = """SELECT CAST(n AS BIGINT) AS case_id, r AS result FROM (VALUES (0, '1 1'), (1, '2 1')) AS t(n, r)"""
 
 
 def _streamed(spark, sf_dir) -> DataFrame:
     """Parts in order give the digest of the whole."""
-    parts = spark.createDataFrame([(0, 2, "c"), (0, 0, "a"), (0, 1, "b"), (1, 0, ""), (2, 0, "a")], "case long, at int, part string")
-    out = hashing.hash_stream(parts, "case", "at", "part", "xxh64").join(hashing.hash_stream(parts, "case", "at", "part", "xxh32").withColumnRenamed("digest", "short"), "case")
-    out = out.join(hashing.hash_stream(parts, "case", "at", "part", "xxh3_128").withColumnRenamed("digest", "long"), "case")
-    return out.select("case", F.concat_ws(" ", hashing.as_hex(F.col("digest")), F.lower(F.lpad(F.hex("short"), 8, "0")), F.when(F.col("case") == 1, F.col("long"))).alias("result"))
+    parts = spark.createDataFrame([(0, 2, "c"), (0, 0, "a"), (0, 1, "b"), (1, 0, ""), (2, 0, "a")], "case_id long, at int, part string")
+    out = hashing.hash_stream(parts, "case_id", "at", "part", "xxh64").join(hashing.hash_stream(parts, "case_id", "at", "part", "xxh32").withColumnRenamed("digest", "short"), "case_id")
+    out = out.join(hashing.hash_stream(parts, "case_id", "at", "part", "xxh3_128").withColumnRenamed("digest", "long"), "case_id")
+    return out.select("case_id", F.concat_ws(" ", hashing.as_hex(F.col("digest")), F.lower(F.lpad(F.hex("short"), 8, "0")), F.when(F.col("case_id") == 1, F.col("long"))).alias("result"))
 
 
 QUERIES["hash_stream_cases"] = _streamed
-ORACLE_SQL["hash_stream_cases"] = """SELECT CAST(n AS BIGINT) AS "case", r AS result FROM (VALUES (0, '44bc2cf5ad770999 32d153ff'), (1, 'ef46db3751d8e999 02cc5d05 99aa06d3014798d86001c324468d497f'), (2, 'd24ec4f1a98c6e5b 550d7456')) AS t(n, r)"""
+ORACLE_SQL["hash_stream_cases"] = """SELECT CAST(n AS BIGINT) AS case_id, r AS result FROM (VALUES (0, '44bc2cf5ad770999 32d153ff'), (1, 'ef46db3751d8e999 02cc5d05 99aa06d3014798d86001c324468d497f'), (2, 'd24ec4f1a98c6e5b 550d7456')) AS t(n, r)"""
 
 
 def _dictionary(spark, sf_dir) -> DataFrame:
     """Small texts go through a trained dictionary and back."""
-    texts = spark.range(2000).select(F.col("id").alias("case"), F.concat(F.lit('{"kind":"event","number":'), F.col("id").cast("string"), F.lit(',"place":"here and there"}')).alias("t"))
+    texts = spark.range(2000).select(F.col("id").alias("case_id"), F.concat(F.lit('{"kind":"event","number":'), F.col("id").cast("string"), F.lit(',"place":"here and there"}')).alias("t"))
     trained = archives.train_dictionary(texts, "t", 4096)
     packed = archives.zstd_compress(F.col("t"), 3, trained)
-    return texts.select("case", (archives.zstd_decompress(packed, trained).cast("string") == F.col("t")).alias("same"), (F.octet_length(packed) < F.octet_length("t")).alias("smaller"))
+    return texts.select("case_id", (archives.zstd_decompress(packed, trained).cast("string") == F.col("t")).alias("same"), (F.octet_length(packed) < F.octet_length("t")).alias("smaller"))
 
 
 QUERIES["zstd_dictionary_cases"] = _dictionary
-ORACLE_SQL["zstd_dictionary_cases"] = 'SELECT CAST(n AS BIGINT) AS "case", true AS same, true AS smaller FROM (SELECT unnest(range(2000)) AS n)'
+ORACLE_SQL["zstd_dictionary_cases"] = 'SELECT CAST(n AS BIGINT) AS case_id, true AS same, true AS smaller FROM (SELECT unnest(range(2000)) AS n)'
