@@ -18,8 +18,15 @@ of groups would tie unrelated classes together, and both can be left out without
   ones too if there are again more than `spare`. A class with fewer shares a full group with whatever links to it.
 
 Copies of one text are one class, sent once by a task; classes of a task that share a signature are tied there, and one
-of them goes on, so a signature that very many share comes once from each task. Clusters above TILE classes or
-TILE_BYTES of shingles are cut into tiles of two blocks each, so no task holds a whole cluster. A tile
+of them goes on, so a signature that very many share comes once from each task.
+
+Of the groups as many are left out as are spare, the emptiest first: equal groups are left out in both sets, so the
+fullest of those that two linked sets share is left. Groups of a single shingle tie unrelated classes by chance, and in
+a larger table more of them, so clusters of more than FINER classes are cut up: linked classes share a signature
+whatever the groups are, so they do by other groups, within their cluster, without what is frequent there.
+
+Clusters above TILE classes or TILE_BYTES of shingles are then cut into tiles of two blocks each, so no task holds a
+whole cluster; the tiles are dealt out in rounds of ROUND bytes, so disk does not grow with their number. A tile
 reports a spanning forest of its links; only pairs that it has not yet joined are verified, so a group of m copies
 costs about m verifications, not m squared. No link between two classes goes unseen.
 
@@ -32,8 +39,9 @@ kept by `one_of_each`.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +52,7 @@ from pyspark.sql import types as T
 from loomtext.llm.common import column_bytes, freeing, mix64, packed, text_chunks, unpacked, word_hashes
 from loomtext.llm.graph import components
 from loomtext.llm.kneser_ney import SENT_DDL, by_bucket, counted, gathered, sent_batch, split_rows, word_bucket
-from loomtext.session import kept, stored
+from loomtext.session import kept, stored, stores_removed
 
 SPARE, SPARE_SHARE, TILE, DIMENSIONS, FANOUT = 3, 0.1, 1024, 64, 16
 #: Distinct texts whose shingles are counted for the frequent ones, the count from which they are, and how many there are at most.
@@ -54,6 +62,10 @@ FILTER_EACH, FILTER_BITS = 16, 1 << 28
 GATHER, TILE_BYTES = 8 << 20, 16 << 20
 #: Clusters of several tiles whose numbers are broadcast at most, and partitions of the verification at most.
 LARGE, TASKS = 200_000, 100_000
+#: Clusters of more classes are cut up by further groups, in so many turns at most.
+FINER, TURNS = 128, 3
+#: Bytes of sets that the tiles of large clusters may have in one round of the verification, or as many as all sets have.
+ROUND = 1 << 30
 #: Classes that a task remembers to have sent.
 SEEN = 1 << 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -122,13 +134,34 @@ def node(key: int, tag: int) -> int:
 
 
 def group_contents(s: np.ndarray, groups: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """A signature of the content of each group of a set, and whether the group has any."""
+    """A signature of the content of each group of a set, and how many shingles the group holds."""
     at = np.searchsorted(s, (np.arange(1, groups, dtype=np.float64) * (2.0**64 / groups)).astype(np.uint64))
     at = np.concatenate([[0], at, [len(s)]])
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s))])
         sig = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(groups, dtype=np.uint64) + np.uint64(salt << 32)))
-    return sig, at[1:] > at[:-1]
+    return sig, at[1:] - at[:-1]
+
+
+def fullest(sig: np.ndarray, held: np.ndarray, n: int) -> np.ndarray:
+    """The n groups that hold most shingles, in an order that only their content decides."""
+    return np.lexsort((sig, held))[len(sig) - n :]
+
+
+def without(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    return s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s] if len(frequent) else s
+
+
+def in_range(s: np.ndarray, rest: np.ndarray, tag: int, differ: int) -> np.ndarray:
+    """Signatures of a set in a range of sizes; rest: the set without frequent shingles."""
+    groups = differ + 1 + SPARE + int(SPARE_SHARE * (differ + 1))
+    sig, held = group_contents(rest, groups, 2 * tag)
+    top = fullest(sig, held, differ + 1)
+    out = sig[top[held[top] > 0]]
+    if len(out) <= differ:
+        sig, held = group_contents(s, groups, 2 * tag + 1)
+        out = np.concatenate([out, sig[fullest(sig, held, differ + 1)]])
+    return out
 
 
 def signatures(keys: list[int], sets: list[np.ndarray], sim: Similarity, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +169,24 @@ def signatures(keys: list[int], sets: list[np.ndarray], sim: Similarity, frequen
     bands = sim.bands(max(map(len, sets), default=1))
     sigs, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for key, s in zip(keys, sets, strict=True):
-        rest = s
-        if len(frequent):
-            rest = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s]
+        rest = without(s, frequent)
+        for tag, differ in ranges(len(s), bands, sim):
+            sigs.append(in_range(s, rest, tag, differ))
+            nodes.append(np.full(len(sigs[-1]), node(key, tag), np.int64))
+    return np.concatenate(sigs), np.concatenate(nodes)
+
+
+def finer_signatures(rows: list[tuple[int, int, int, np.ndarray]], sim: Similarity, frequent: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures that only nodes of one cluster share, by other groups in each turn, and the node that each is of. rows: label, node, key and set."""
+    bands = sim.bands(max((len(s) for *_, s in rows), default=1))
+    salt = mix64(np.array([turn], np.uint64))
+    sigs, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for label, own, key, s in rows:
+        rest, whole = (np.sort(mix64(x ^ salt)) for x in (without(s, frequent), s))
         for tag, differ in ranges(len(s), bands, sim):
-            spare = SPARE + int(SPARE_SHARE * (differ + 1))
-            sig, full = group_contents(rest, differ + 1 + spare, 2 * tag)
-            own = [sig[full]]
-            if len(full) - int(full.sum()) > spare:
-                sig, full = group_contents(s, differ + 1 + spare, 2 * tag + 1)
-                own.append(sig[full] if len(full) - int(full.sum()) <= spare else sig)
-            sigs += own
-            nodes.append(np.full(sum(map(len, own)), node(key, tag), np.int64))
+            if node(key, tag) == own:
+                sigs.append(mix64(in_range(whole, rest, tag, differ) ^ mix64(np.array([label], np.int64).view(np.uint64))))
+                nodes.append(np.full(len(sigs[-1]), own, np.int64))
     return np.concatenate(sigs), np.concatenate(nodes)
 
 
@@ -229,16 +268,15 @@ def profiles(docs: DataFrame, sim: Similarity) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(freeing(run), "doc_id long, n_shingles long, key long")
 
 
-def frequent_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
-    """Shingles that FREQUENT or more of about SAMPLE distinct texts have, sorted; the MOST most frequent at most.
+def most_frequent(sample: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]]) -> np.ndarray:
+    """Shingles that FREQUENT or more of the sets of the sample have, sorted; the MOST most frequent at most.
 
     Which ones does not change what is found, only how much is compared."""
-    every, buckets = max(1, docs.count() // SAMPLE), 16
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    buckets = 16
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in text_chunks(batches, "text", 8 << 20):
-            w, c = counted(np.concatenate(shingle_sets(t["text"], sim.words)))
+        for sets in sets_of(batches):
+            w, c = counted(np.concatenate(sets))
             yield sent_batch(list(split_rows("shingle", w, [c], word_bucket(w >> np.uint64(32), buckets), 8)))
 
     def most(key: tuple, t: pa.Table) -> pa.Table:
@@ -250,43 +288,31 @@ def frequent_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
     return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r.shingles, np.uint64) for r in found)]))
 
 
-def clusters(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(node, label) of the classes in ranges of sizes that share a signature with another one."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(48, -(-size // GATHER))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, sim))
+def frequent_shingles(docs: DataFrame, sim: Similarity) -> np.ndarray:
+    """Those of about SAMPLE distinct texts."""
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    return most_frequent(sample, lambda batches: (shingle_sets(t["text"], sim.words) for t in text_chunks(batches, "text", 8 << 20)))
 
-    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = {}, 0, set()
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held, size
-            sig, owner = signatures(list(held), list(held.values()), sim, frequent.value)
-            order = np.argsort(sig, kind="stable")
-            sig, owner = sig[order], owner[order]
-            start = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
-            bucket = (sig >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # ranges, so sorted signatures are sorted by bucket
-            # One class goes on for each signature; the others are tied to it here.
-            first = owner[np.flatnonzero(start)[np.cumsum(start) - 1]] if len(sig) else owner
-            tied = ~start & (owner != first)
-            ties, ties_at = np.stack([owner[tied], first[tied]], 1), np.searchsorted(bucket[tied], np.arange(n + 1, dtype=np.uint64))
-            sig, owner, bucket = sig[start], owner[start], bucket[start]
-            cut = np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
-            rows = [(b, packed(sig[i:j]), owner[i:j].tobytes(), ties[ties_at[b] : ties_at[b + 1]].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-            held, size = {}, 0
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "keys", "ties"])
+def signature_rows(sig: np.ndarray, owner: np.ndarray, n: int) -> pa.RecordBatch:
+    """Signatures and the nodes that they are of, by bucket; nodes that share one are tied here."""
+    order = np.argsort(sig, kind="stable")
+    sig, owner = sig[order], owner[order]
+    start = np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)]
+    bucket = (sig >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # ranges, so sorted signatures are sorted by bucket
+    # One class goes on for each signature; the others are tied to it here.
+    first = owner[np.flatnonzero(start)[np.cumsum(start) - 1]] if len(sig) else owner
+    tied = ~start & (owner != first)
+    ties, ties_at = np.stack([owner[tied], first[tied]], 1), np.searchsorted(bucket[tied], np.arange(n + 1, dtype=np.uint64))
+    sig, owner, bucket = sig[start], owner[start], bucket[start]
+    cut = np.searchsorted(bucket, np.arange(n + 1, dtype=np.uint64))
+    rows = [(b, packed(sig[i:j]), owner[i:j].tobytes(), ties[ties_at[b] : ties_at[b + 1]].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "keys", "ties"])
 
-        for t in text_chunks(batches):
-            for s in shingle_sets(t["text"], sim.words):
-                if len(s) and (k := set_key(s)) not in seen:
-                    held[k] = s
-                    if len(seen) < SEEN:
-                        seen.add(k)
-            size += t["text"].nbytes
-            if size >= GATHER:
-                yield flush()
-        if held:
-            yield flush()
+
+def sharing(sent: DataFrame, n: int) -> DataFrame:
+    """(node, label) of the nodes that shared signatures join, from signature_rows in n buckets."""
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         sig = np.concatenate([unpacked(x) for x in t["signatures"].to_pylist()])
@@ -302,10 +328,76 @@ def clusters(docs: DataFrame, sim: Similarity) -> DataFrame:
         more = label != nodes
         return pa.table({"u": pa.array(nodes[more], pa.int64()), "v": pa.array(label[more], pa.int64())})
 
-    sent = docs.select("text").mapInArrow(freeing(send), "bucket int, signatures binary, keys binary, ties binary")
     return components(by_bucket(sent, n).applyInArrow(freeing(meet), "u long, v long"))
 
 
+SENT_SIGNATURES = "bucket int, signatures binary, keys binary, ties binary"
+
+
+def clusters(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(node, label) of the classes in ranges of sizes that share a signature with another one."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(48, -(-size // GATHER))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, sim))
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = {}, 0, set()
+        for t in text_chunks(batches):
+            for s in shingle_sets(t["text"], sim.words):
+                if len(s) and (k := set_key(s)) not in seen:
+                    held[k] = s
+                    if len(seen) < SEEN:
+                        seen.add(k)
+            size += t["text"].nbytes
+            if size >= GATHER:
+                yield signature_rows(*signatures(list(held), list(held.values()), sim, frequent.value), n)
+                held, size = {}, 0
+        if held:
+            yield signature_rows(*signatures(list(held), list(held.values()), sim, frequent.value), n)
+
+    return sharing(docs.select("text").mapInArrow(freeing(send), SENT_SIGNATURES), n)
+
+
+def set_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    return text_chunks(batches, "members", GATHER)
+
+
+def finer(sets: DataFrame, sim: Similarity, turn: int) -> DataFrame:
+    """(node, label) of the nodes of sets (label, node, key, members) that share a signature of the turn with another one of their cluster."""
+    total = sets.agg(F.count("*").alias("n"), F.sum(F.octet_length("members")).alias("bytes")).first()
+    n = max(48, -(-(total.bytes or 0) // GATHER))
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total.n // SAMPLE))) == 0).select("members")
+    found = most_frequent(sample, lambda batches: ([np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()] for t in set_chunks(batches)))
+    frequent = sets.sparkSession.sparkContext.broadcast(found)
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in set_chunks(batches):
+            rows = [(*x, np.frombuffer(m, np.uint64)) for *x, m in zip(*(t[c].to_pylist() for c in ("label", "node", "key", "members")), strict=True)]
+            yield signature_rows(*finer_signatures(rows, sim, frequent.value, turn), n)
+
+    return sharing(sets.select("label", "node", "key", "members").mapInArrow(freeing(send), SENT_SIGNATURES), n)
+
+
+def cut_finer(sets: DataFrame, sim: Similarity) -> DataFrame:
+    """sets (label, node, key, members) with clusters of more than FINER classes cut up by the signatures of further turns; classes that are then alone go."""
+    done = []
+    for turn in range(1, TURNS + 1):
+        big = kept(sets.groupBy("label").count().where(F.col("count") > FINER).select("label"))
+        count = big.count()
+        if not count:
+            break
+        big = F.broadcast(big) if count <= LARGE else big
+        done.append(sets.join(big, "label", "left_anti"))
+        part = sets.join(big, "label", "left_semi")
+        # A label is the smallest node of its component; it may be missing among the nodes.
+        parts = finer(part, sim, turn)
+        parts = kept(parts.unionByName(parts.select(F.col("label").alias("node"), "label")).distinct())
+        sets = stored(part.drop("label").join(parts, "node").select("label", "node", "key", "members"), f"class-sets-{turn}")
+    for d in done:
+        sets = sets.unionByName(d.select("label", "node", "key", "members"))
+    return sets
+
+
 def filter_place(nodes: np.ndarray, bits: int) -> np.ndarray:
     """The bit of each node, by its upper bits: nodes are hashes themselves."""
     return nodes.view(np.uint64) >> np.uint64(64 - bits)
@@ -360,9 +452,10 @@ def links(docs: DataFrame, sim: Similarity) -> DataFrame:
     # The smallest node of a cluster labels it; it may be missing among the nodes.
     keys = kept(cl.select("node", "label").unionByName(cl.select(F.col("label").alias("node"), "label").distinct()).distinct())
     sets = stored(class_sets(docs, keys, keys.count(), sim).join(keys, "node").select("label", "node", "key", "members"), "class-sets")
+    sets = cut_finer(sets, sim)
     blocks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("members")) / TILE_BYTES)).cast("int")
     sizes = kept(sets.groupBy("label").agg(blocks.alias("blocks"), F.sum(F.octet_length("members")).alias("bytes")).where(F.col("blocks") > 1))
-    large = sizes.agg(F.count("*").alias("n"), F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1) / 2).cast("long").alias("tiles")).first()
+    large = sizes.agg(F.count("*").alias("n"), F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1) / 2).cast("long").alias("tiles"), F.sum(F.col("blocks") * F.col("bytes")).alias("bytes")).first()
     total = sets.agg(F.count("*").alias("n"), F.sum(F.octet_length("members")).alias("bytes")).first()
     groups = max(1, total.n // 500, (total.bytes or 0) // TILE_BYTES)
     rows = sets.join(F.broadcast(sizes) if large.n <= LARGE else sizes, "label", "left")
@@ -383,14 +476,22 @@ def links(docs: DataFrame, sim: Similarity) -> DataFrame:
                 out += [(nodes[a], nodes[b]) for a, b in forest(sets, np.array([b for b, _ in members.values()]), sim)]
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
+    # A class goes to as many tiles as its cluster has blocks: they are dealt out in rounds, and each leaves no shuffle files.
+    rounds = max(1, -(-(large.bytes or 0) // max(ROUND, total.bytes or 0)))
     rows = rows.select(task.alias("task"), "label", "i", "j", "block", "key", "members")
-    tasks = min(groups + (large.tiles or 0), TASKS)
-    return rows.repartition(max(1, tasks), "task").groupBy("task").applyInArrow(freeing(verify), "u long, v long")
+    tasks = max(1, min(groups + (large.tiles or 0) // rounds, TASKS))
+    out = []
+    for k in range(rounds):
+        dealt = rows.where(F.pmod("task", F.lit(rounds)) == k) if rounds > 1 else rows
+        out.append(kept(dealt.repartition(tasks, "task").groupBy("task").applyInArrow(freeing(verify), "u long, v long")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _with_labels(docs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
     p = stored(profiles(docs, sim), "profiles")
-    c = components(links(docs, sim)).select(F.col("node").alias("key"), "label")
+    with stores_removed(docs.sparkSession):
+        found = links(docs, sim)
+    c = components(found).select(F.col("node").alias("key"), "label")
     return p.join(c, "key", "left").withColumn("label", F.coalesce("label", "key")), c
 
 

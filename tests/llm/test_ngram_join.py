@@ -134,3 +134,58 @@ def test_one_of_each_keeps_values_of_any_column(spark):
     got = {tuple(r) for r in out.collect()}
     assert got <= set(rows) and len(got) == 6
     assert {r[:2] for r in got} == {(1, text), *((d, t) for d, t in texts[4:] if t != text)}
+
+
+def phrased(seed, n):
+    """Short texts that share phrases of one shingle by chance, and a near copy of every tenth."""
+    r = random.Random(seed)
+    phrases = [[f"p{k}x{j}" for j in range(4)] for k in range(20)]
+    rows = []
+    for i in range(n):
+        w = [x for k, p in enumerate(r.sample(phrases, 4)) for x in (*p, f"d{i}x{k}", f"e{i}x{k}")]
+        rows.append((2 * i, " ".join(w)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join([*w, "more"])))
+    return rows
+
+
+def test_chance_ties_are_not_sent_tile_by_tile(spark, monkeypatch):
+    """Clusters that grow with the table, of texts that link with nothing: what is shuffled grows with the table, not with its square."""
+    monkeypatch.setattr(nj, "TILE", 8)
+    monkeypatch.setattr(nj, "SAMPLE", 1)
+    monkeypatch.setattr(nj, "FINER", 8, raising=False)
+    store, written = spark.sparkContext._jsc.sc().statusStore(), []
+    for n in (200, 1600):
+        rows = phrased(6, n)
+        before = store.executorList(False).head().totalShuffleWrite()
+        got = nj.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        written.append(store.executorList(False).head().totalShuffleWrite() - before)
+        assert {r.doc_id: r.component_id for r in got} == {d: d - d % 2 for d, _ in rows}
+    assert written[1] < 12 * written[0], written
+
+
+def test_finer_signatures_never_miss():
+    r = np.random.default_rng(6)
+    for sim in (nj.Similarity(), nj.Similarity(5, 80, 100)):
+        for n in (2, 5, 7, 13, 30, 100, 400):
+            for turn in (1, 2, 3):
+                a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+                b = np.unique(np.concatenate([a[r.permutation(n)[: n - n // 12]], r.integers(0, 1 << 63, n // 14, dtype=np.uint64)]))
+                if nj.overlap(a, b) < sim.need(len(a) + len(b)) or np.array_equal(a, b):
+                    continue
+                for frequent in (a[:0], a[::3], a[: n * 9 // 10], a):
+                    shared = 0
+                    for t in range(99):
+                        own = [nj.node(k, t) for k in (1, 2)]
+                        sig, at = nj.finer_signatures([(7, own[0], 1, a), (7, own[1], 2, b), (8, own[1], 2, b)], sim, np.sort(frequent), turn)
+                        shared += len(np.intersect1d(sig[at == own[0]], sig[at == own[1]]))
+                    assert shared
+
+
+def test_tiles_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(nj, "TILE", 5)
+    monkeypatch.setattr(nj, "FINER", 6)
+    monkeypatch.setattr(nj, "ROUND", 1)
+    rows = corpus(8) + [(1000 + i, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3 + f"w{i}") for i in range(40)]
+    got = nj.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, nj.Similarity())
