@@ -14,8 +14,8 @@ of groups would tie unrelated classes together, and both can be left out without
 * Shingles that are frequent in a bounded sample are left out before grouping. Sets that differ by d shingles differ
   by at most d without them, whichever they are.
 * Empty groups send no signature. If a class has more than `spare` of them, all groups that it shares with another
-  one may be empty in both; such a class sends the signatures of the groups of its whole set besides, the empty
-  ones too if there are again more than `spare`. A class with fewer shares a full group with whatever links to it.
+  one may be empty in both; such a class sends the signatures of the fullest groups of its whole set besides, empty
+  ones among them if there are again more than `spare`. A class with fewer shares a full group with whatever links to it.
 
 Copies of one text are one class, sent once by a task; classes of a task that share a signature are tied there, and one
 of them goes on, so a signature that very many share comes once from each task.
