@@ -119,57 +119,100 @@ class ForceOptions:
     alpha_decay: float | None = None
 
 
-def simulate(nodes: Columns, edges: Columns, o: ForceOptions = ForceOptions()) -> dict[str, list]:
-    """nodes (id, x, y, fixed; x and y may be null) with x and y; edges (source, target, distance, strength, the last two may be null).
+#: Pairs of nodes that are held at once, few enough for the caches, and rows of nodes and edges that a task lays out at once, beyond those of the last graph.
+_PAIRS, _ROWS = 32768, 1 << 19
 
-    The charge keeps the sign that is given: with the default, velocities point to the other nodes.
+
+def _spiral(n: int) -> np.ndarray:
+    """Where nodes begin that have no place of their own."""
+    around = [k * math.pi * (3 - math.sqrt(5)) for k in range(n)]
+    return np.array([(math.sqrt(k + 0.5) * 10.0 * math.cos(w), math.sqrt(k + 0.5) * 10.0 * math.sin(w)) for k, w in enumerate(around)]).reshape(n, 2)
+
+
+def _moved(x: np.ndarray, y: np.ndarray, free: np.ndarray, a: np.ndarray, b: np.ndarray, rest: np.ndarray, pull: np.ndarray, o: ForceOptions) -> tuple[np.ndarray, np.ndarray]:
+    """x and y after the simulation of several graphs of equally many nodes: arrays of (nodes, graphs).
+
+    Edges go from a to b, places in the flat arrays; rest and pull are NaN where not given. The simulation magnifies
+    rounding, so each sum is taken in the order of nodes, then of edges, as a loop over single graphs takes it, and what
+    a graph gets does not depend on the others. A block of nodes meets all others at once, so memory is linear in nodes.
     """
-    ids = list(nodes["id"])
-    n, at = len(ids), {x: i for i, x in enumerate(ids)}
-    k = np.arange(n)
-    spiral = 10 * np.sqrt(k + 0.5) * np.exp(1j * k * np.pi * (3 - math.sqrt(5)))
-    own = lambda c: np.array([math.nan if _missing(v) else v for v in nodes[c]], float)
-    p = np.where(np.isnan(own("x")), spiral.real, own("x")) + 1j * np.where(np.isnan(own("y")), spiral.imag, own("y"))
-    v, free = np.zeros(n, complex), ~np.array([not _missing(v) and bool(v) for v in nodes["fixed"]], bool)
-    known = [(at[s], at[t], d, g) for s, t, d, g in zip(edges["source"], edges["target"], edges["distance"], edges["strength"], strict=True) if s in at and t in at]
-    a, b = (np.array([e[i] for e in known], int) for i in (0, 1))
-    degree = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-    rest = np.array([30.0 if _missing(e[2]) else e[2] for e in known])
-    pull = np.array([0.0 if _missing(e[3]) else e[3] for e in known])
-    if len(known):
-        pull = np.where(pull == 0, 1 / np.maximum(1, np.minimum(degree[a], degree[b])), pull)
-        share = degree[b] / np.maximum(1, degree[a] + degree[b])
+    n, graphs = x.shape
+    x, y = x.copy(), y.copy()
+    degree = np.bincount(a, minlength=x.size) + np.bincount(b, minlength=x.size)
+    rest, pull = np.where(np.isnan(rest), 30.0, rest), np.where(np.isnan(pull), 0.0, pull)
+    pull = np.where(pull == 0, 1 / np.maximum(1, np.minimum(degree[a], degree[b])), pull)
+    both = np.maximum(1, degree[a] + degree[b])
+    ends, share = np.column_stack([a, b]).ravel(), np.column_stack([degree[b] / both, -(degree[a] / both)])
     decay = 1 - 0.001 ** (1 / max(1, o.iterations)) if o.alpha_decay is None else o.alpha_decay
-    alpha = o.alpha
+    alpha, held = o.alpha, None if free.all() else ~free
+    vx, vy, fx, fy = (np.zeros_like(x) for _ in range(4))
+    # Never one column alone: numpy would sum it in another order.
+    block = min(n, max(2, _PAIRS // (n * graphs)))
+    gx, gy, s, t = (np.empty((n, block, graphs)) for _ in range(4))
     for _ in range(o.iterations):
         if alpha < 0.001:
             break
-        gap = p[:, None] - p[None, :]
-        square = np.maximum(np.abs(gap) ** 2, 1e-6)
-        push = gap / np.sqrt(square) * (o.charge * alpha / square)
-        np.fill_diagonal(push, 0)
-        v += np.where(free, push.sum(1), 0)
-        if len(known):
-            gap = p[b] - p[a]
-            length = np.maximum(np.abs(gap), 1e-6)
-            move = gap * (alpha * pull * (length - rest) / length)
-            np.add.at(v, a, np.where(free[a], move * share, 0))
-            np.add.at(v, b, np.where(free[b], -move * (1 - share), 0))
+        for i in range(0, n if n > 1 else 0, block):
+            own = slice(min(i, n - block), min(i, n - block) + block)
+            np.subtract(x[own], x[:, None], out=gx)
+            np.subtract(y[own], y[:, None], out=gy)
+            np.multiply(gx, gx, out=s)
+            np.multiply(gy, gy, out=t)
+            np.add(s, t, out=s)
+            np.maximum(s, 1e-6, out=s)
+            np.sqrt(s, out=t)
+            np.divide(o.charge * alpha, s, out=s)
+            for g, f in ((gx, fx), (gy, fy)):
+                np.divide(g, t, out=g)
+                np.multiply(g, s, out=g)
+                np.add.reduce(g, axis=0, out=f[own])
+        vx += fx
+        vy += fy
+        if len(a):
+            ex, ey = x.ravel()[b] - x.ravel()[a], y.ravel()[b] - y.ravel()[a]
+            length = np.maximum(np.sqrt(ex * ex + ey * ey), 1e-6)
+            move = alpha * pull * ((length - rest) / length)
+            for v, e in ((vx, ex), (vy, ey)):
+                np.add.at(v.reshape(-1), ends, ((e * move)[:, None] * share).ravel())
         if o.center_strength > 0:
-            v += np.where(free, (complex(o.center_x, o.center_y) - p) * o.center_strength * alpha, 0)
+            vx += (o.center_x - x) * o.center_strength * alpha
+            vy += (o.center_y - y) * o.center_strength * alpha
         if o.collide_radius > 0:
             for i in range(n):
                 for j in range(i + 1, n):
-                    gap = p[j] - p[i]
-                    length = max(abs(gap), 1e-6)
-                    if length < 2 * o.collide_radius:
-                        shift = gap / length * (2 * o.collide_radius - length) / 2
-                        p[i] -= shift * free[i]
-                        p[j] += shift * free[j]
-        v = np.where(free, v * (1 - o.velocity_decay), 0)
-        p = p + v
+                    dx, dy = x[j] - x[i], y[j] - y[i]
+                    length = np.maximum(np.sqrt(dx * dx + dy * dy), 1e-6)
+                    overlap = np.where(length < o.collide_radius * 2, (o.collide_radius * 2 - length) / 2, 0)
+                    for p, d in ((x, dx), (y, dy)):
+                        p[i] -= np.where(free[i], d / length * overlap, 0)
+                        p[j] += np.where(free[j], d / length * overlap, 0)
+        for p, v in ((x, vx), (y, vy)):
+            v *= 1 - o.velocity_decay
+            if held is not None:
+                v[held] = 0
+            p += v
         alpha *= 1 - decay
-    return {"id": ids, "x": p.real.tolist(), "y": p.imag.tolist()}
+    return x, y
+
+
+def simulate(nodes: Columns, edges: Columns, o: ForceOptions = ForceOptions()) -> dict[str, list]:
+    """nodes (id, x, y, fixed; x and y may be null) with x and y; edges (source, target, distance, strength, the last two may be null).
+
+    The charge keeps the sign that is given: with the default, velocities point to the other nodes.
+    """
+    ids = list(nodes["id"])
+    at = {x: i for i, x in enumerate(ids)}
+    numbers = lambda values: np.array([math.nan if _missing(v) else v for v in values], float)
+    x, y, spiral = numbers(nodes["x"]), numbers(nodes["y"]), _spiral(len(ids))
+    x, y = np.where(np.isnan(x), spiral[:, 0], x), np.where(np.isnan(y), spiral[:, 1], y)
+    free = ~np.array([not _missing(v) and bool(v) for v in nodes["fixed"]], bool)
+    known = [(at[s], at[t], d, g) for s, t, d, g in zip(edges["source"], edges["target"], edges["distance"], edges["strength"], strict=True) if s in at and t in at]
+    a, b = (np.array([e[i] for e in known], np.int64) for i in (0, 1))
+    if not ids:
+        return {"id": ids, "x": [], "y": []}
+    with np.errstate(all="ignore"):
+        x, y = _moved(x[:, None], y[:, None], free[:, None], a, b, numbers(e[2] for e in known), numbers(e[3] for e in known), o)
+    return {"id": ids, "x": x[:, 0].tolist(), "y": y[:, 0].tolist()}
 
 
 def _grouped(nodes: DataFrame, edges: DataFrame, key: str, fn, ddl: str) -> DataFrame:
@@ -213,6 +256,86 @@ def layered_layout(nodes: DataFrame, edges: DataFrame, key: str = "graph_id", op
     return _grouped(nodes, edges, key, lambda n, e: layered(n, e, options), "x double, y double, rank int")
 
 
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole graphs from batches in which each graph's rows follow one another."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows and sum(h.num_rows for h in held) >= _ROWS:
+            keys = pa.chunked_array([held[-1].column("key")[-1:], b.column("key")]).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new = np.flatnonzero(keys[1:] != keys[:-1])
+            if len(new):
+                yield pa.Table.from_batches([*held, b[: int(new[0])]])
+                held, b = [], b[int(new[0]) :]
+        held += [b] if b.num_rows else []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _simulated(rows: pa.Table, o: ForceOptions) -> pa.RecordBatch:
+    """The nodes of whole graphs with their places. Graphs of equally many nodes move together, and graphs that are equal but for the names of their nodes once."""
+    rows = rows.combine_chunks()
+    column = lambda t, c: pa.concat_arrays(t.column(c).chunks) if t.num_rows else pa.array([], t.schema.field(c).type)
+    numbers = lambda t, c: np.asarray(column(t, c).fill_null(math.nan))
+    keys = column(rows, "key").dictionary_encode("encode").indices.to_numpy()
+    graph, edge = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])), np.asarray(column(rows, "edge"))
+    nodes, edges = rows.filter(pa.array(~edge)), rows.filter(pa.array(edge))
+    of_node, of_edge, graphs = graph[~edge], graph[edge], int(graph[-1]) + 1
+    size = np.bincount(of_node, minlength=graphs)
+    first = np.cumsum(size) - size
+    local = np.arange(len(of_node)) - first[of_node]
+
+    # Edges know nodes by name, of several with one name the last.
+    names = pa.concat_arrays([column(nodes, "order"), column(edges, "order"), column(edges, "then")]).dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+    names += np.concatenate([of_node, of_edge, of_edge]) * (int(names.max(initial=0)) + 1)
+    own, ends = names[: len(of_node)], names[len(of_node) :]
+    sorted_by = np.argsort(own, kind="stable")
+    found = np.searchsorted(own, ends, "right", sorted_by) - 1
+    place = sorted_by[np.maximum(found, 0)] if len(own) else np.zeros(len(ends), np.int64)
+    known = (found >= 0) & (own[place] == ends) if len(own) else np.zeros(len(ends), bool)
+    known = known[: len(of_edge)] & known[len(of_edge) :]
+    of_edge, a, b = of_edge[known], local[place[: len(edges)][known]], local[place[len(edges) :][known]]
+
+    spiral, x, y = _spiral(int(size.max(initial=0)))[local], numbers(nodes, "first"), numbers(nodes, "second")
+    starts = np.column_stack([np.where(np.isnan(x), spiral[:, 0], x), np.where(np.isnan(y), spiral[:, 1], y), ~np.asarray(column(nodes, "fixed").fill_null(False))])
+    links = np.column_stack([a, b, numbers(edges, "first")[known], numbers(edges, "second")[known]])
+    arcs = np.concatenate([[0], np.cumsum(np.bincount(of_edge, minlength=graphs))])
+    kinds: dict[tuple[bytes, bytes], int] = {}
+    sample: list[int] = []  # of each kind, one graph
+    kind = np.zeros(graphs, np.int64)
+    starts_of, links_of, wide, long = starts.tobytes(), links.tobytes(), starts.itemsize * 3, links.itemsize * 4
+    for g, (i, n, j, k) in enumerate(zip(first.tolist(), size.tolist(), arcs[:-1].tolist(), arcs[1:].tolist(), strict=True)):
+        kind[g] = kinds.setdefault((starts_of[i * wide : (i + n) * wide], links_of[j * long : k * long]), len(sample))
+        if kind[g] == len(sample):
+            sample.append(g)
+
+    chosen = np.array(sample, np.int64)
+    begins = np.cumsum(size[chosen]) - size[chosen]
+    out = np.empty((int(size[chosen].sum()), 2))
+    for n in np.unique(size[chosen][size[chosen] > 0]).tolist():
+        same = np.flatnonzero(size[chosen] == n)
+        wide = max(1, _PAIRS // (n * n))
+        for part in (same[i : i + wide] for i in range(0, len(same), wide)):
+            rows_of = first[chosen[part]] + np.arange(n)[:, None]
+            x, y, free = starts[rows_of].transpose(2, 0, 1)
+            count = arcs[chosen[part] + 1] - arcs[chosen[part]]
+            at = np.repeat(arcs[chosen[part]] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            a, b = (links[at, i].astype(np.int64) * len(part) + np.repeat(np.arange(len(part)), count) for i in (0, 1))
+            with np.errstate(all="ignore"):
+                x, y = _moved(x, y, free.astype(bool), a, b, links[at, 2], links[at, 3], o)
+            to = begins[part] + np.arange(n)[:, None]
+            out[to, 0], out[to, 1] = x, y
+    done = out[begins[kind[of_node]] + local]
+    return pa.RecordBatch.from_arrays([column(nodes, "key"), column(nodes, "order"), pa.array(done[:, 0]), pa.array(done[:, 1])], names=["key", "id", "x", "y"])
+
+
 def force_layout(nodes: DataFrame, edges: DataFrame, key: str = "graph_id", options: ForceOptions = ForceOptions()) -> DataFrame:
     """(key, id, x, y) of nodes (key, id, x, y, fixed) and edges (key, source, target, distance, strength)."""
-    return _grouped(nodes, edges, key, lambda n, e: simulate(n, e, options), "x double, y double")
+    number = lambda c: F.col(c).cast("double")
+    n = nodes.select(F.col(key).alias("key"), F.lit(False).alias("edge"), F.col("id").alias("order"), F.lit(None).cast(nodes.schema["id"].dataType).alias("then"), number("x").alias("first"), number("y").alias("second"), F.col("fixed").cast("boolean").alias("fixed"))
+    e = edges.select(F.col(key).alias("key"), F.lit(True).alias("edge"), F.col("source").alias("order"), F.col("target").alias("then"), number("distance").alias("first"), number("strength").alias("second"), F.lit(None).cast("boolean").alias("fixed"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = n.unionByName(e)
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "edge", "order", "then")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("key", "order")}
+    out = rows.mapInArrow(lambda batches: (_simulated(t, options) for t in _cut(batches)), f"key {kinds['key']}, id {kinds['order']}, x double, y double")
+    return out.select(F.col("key").cast(nodes.schema[key].dataType).alias(key), F.col("id").cast(nodes.schema["id"].dataType).alias("id"), "x", "y")
