@@ -12,7 +12,7 @@ from loomtext.plans import queries
 TURNS = ["one\x0cpage\nnext", "a b c\x85d", "x\x1cy\x1dz\x1e\x0bw\n\nend", "p\rq", "p\rq", "first\nsecond\r\nthird", "é "]
 
 
-@pytest.mark.parametrize("name", ["diff_line_offsets"])
+@pytest.mark.parametrize("name", ["diff_patch", "diff_line_offsets"])
 def test_separators_within_lines(spark, tmp_path, name):
     t = pa.table({"conv_id": [1] * len(TURNS), "turn": list(range(len(TURNS))), "role": ["user"] * len(TURNS), "text": TURNS})
     pq.write_table(t, tmp_path / "conversations.parquet")
